@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -51,30 +53,34 @@ def round_trips(fills: DataFrame) -> DataFrame:
 def realized_pnl(fills: DataFrame) -> DataFrame:
     """Average-cost realized P&L in cents per fill; sells release basis in proportion.
 
-    Rounding each release makes the fold sequential inside one round trip; it
-    runs as a grouped map over (account, contract, trip).
+    Rounding each release makes the fold sequential inside one round trip. Rows
+    are partitioned by round trip, sorted on disk if need be, and streamed: the
+    task keeps only the current trip's quantity and cost, never a whole group.
     """
-    cols = ["account", "contract", "trip", "fill_no", "at_utc", "side", "quantity", "money_cents", "fee_cents"]
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["at_utc", "fill_no"])
-        held = cost = 0
-        costs, gains = [], []
-        for side, q, money, fee in zip(pdf["side"], pdf["quantity"], pdf["money_cents"], pdf["fee_cents"]):
-            q, money, fee, gain = int(q), int(money), int(fee), 0
-            if side == "BUY":
-                held, cost = held + q, cost + money + fee
-            else:
-                basis = cost if q == held else round(cost * q / held)
-                gain = money - fee - basis
-                held, cost = held - q, cost - basis
-            costs.append(cost)
-            gains.append(gain)
-        return pd.DataFrame({"account": pdf["account"], "contract": pdf["contract"], "fill_no": pdf["fill_no"], "cost_cents": costs, "realized_cents": gains})
-
-    return fills.select(*cols).groupBy("account", "contract", "trip").applyInPandas(
-        fold, "account long, contract string, fill_no long, cost_cents long, realized_cents long"
-    )
+    keys = ["account", "contract", "trip"]
+    cols = [*keys, "at_utc", "fill_no", "side", "quantity", "money_cents", "fee_cents"]
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        trip, held, cost = None, 0, 0
+        for pdf in batches:
+            costs, gains = [], []
+            rows = zip(zip(*(pdf[k].tolist() for k in keys)), pdf["side"].tolist(), *(pdf[c].tolist() for c in cols[6:]))
+            for key, side, q, money, fee in rows:
+                if key != trip:
+                    trip, held, cost = key, 0, 0
+                gain = 0
+                if side == "BUY":
+                    held, cost = held + q, cost + money + fee
+                else:
+                    basis = cost if q == held else round(cost * q / held)
+                    gain = money - fee - basis
+                    held, cost = held - q, cost - basis
+                costs.append(cost)
+                gains.append(gain)
+            yield pdf[["account", "contract", "fill_no"]].assign(cost_cents=costs, realized_cents=gains)
+
+    ordered = fills.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "at_utc", "fill_no")
+    return ordered.mapInPandas(fold, "account long, contract string, fill_no long, cost_cents long, realized_cents long")
 
 
 def reserved_cash(orders: DataFrame, fee_cents: int = FEE_CENTS) -> DataFrame:

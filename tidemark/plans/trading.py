@@ -152,7 +152,7 @@ def cash_and_position(spark, sf):
     fold AS (SELECT account, contract, rn, fill_no, quantity AS held, money + fee AS cost, 0::BIGINT AS gain FROM o WHERE rn = 1
       UNION ALL SELECT o.account, o.contract, o.rn, o.fill_no, CASE WHEN side = 'BUY' THEN held + quantity ELSE held - quantity END,
         CASE WHEN side = 'BUY' THEN cost + money + fee ELSE cost - b END, CASE WHEN side = 'BUY' THEN 0 ELSE money - fee - b END FROM
-        (SELECT o.*, f.held, f.cost, CASE WHEN o.quantity = f.held THEN f.cost ELSE CAST(round_even(f.cost * o.quantity / f.held::DOUBLE, 0) AS BIGINT) END AS b
+        (SELECT o.*, f.held, f.cost, CASE WHEN o.side = 'BUY' THEN 0 WHEN o.quantity = f.held THEN f.cost ELSE CAST(round_even(f.cost * o.quantity / f.held::DOUBLE, 0) AS BIGINT) END AS b
          FROM fold f JOIN o ON o.account = f.account AND o.contract = f.contract AND o.rn = f.rn + 1) o)
     SELECT account, contract, fill_no, cost AS cost_cents, gain AS realized_cents FROM fold""",
     "fills",
