@@ -11,7 +11,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from .guards import col, is_finite
@@ -39,19 +39,13 @@ def _horner(coefficients, x):
     return acc
 
 
-def norm_pdf(x: Column) -> Column:
-    return F.exp(x * x * F.lit(-0.5)) / F.lit(ROOT_TWO_PI)
-
-
-def norm_cdf(x: Column) -> Column:
-    a = F.abs(x)
-    e = F.exp(a * a * F.lit(-0.5))
+def upper_tail(a: Column, e: Column) -> Column:
+    """Normal mass above ``a`` >= 0, given e = exp(-a*a/2)."""
     near = e * _horner(HART_NUMERATOR, a) / _horner(HART_DENOMINATOR, a)
     tail = a + F.lit(0.65)
     for k in (4.0, 3.0, 2.0, 1.0):
         tail = a + F.lit(k) / tail
-    upper = F.when(a > 37.0, F.lit(0.0)).when(a < HART_SPLIT, near).otherwise(e / tail / F.lit(ROOT_TWO_PI))
-    return F.when(x > 0, F.lit(1.0) - upper).otherwise(upper)
+    return F.when(a > 37.0, F.lit(0.0)).when(a < HART_SPLIT, near).otherwise(e / tail / F.lit(ROOT_TWO_PI))
 
 
 def usable_inputs(s, k, t, sigma, r, q) -> Column:
@@ -61,48 +55,50 @@ def usable_inputs(s, k, t, sigma, r, q) -> Column:
     return ok
 
 
-def _terms(s, k, t, r, sigma, q):
-    s, k, t, r, sigma, q = map(col, (s, k, t, r, sigma, q))
-    vol_t = sigma * F.sqrt(t)
-    d1 = (F.log(s / k) + (r - q + sigma * sigma * 0.5) * t) / vol_t
-    return s, k, t, r, sigma, q, d1, d1 - vol_t, F.exp(-r * t), F.exp(-q * t)
-
-
-def _guarded(s, k, t, r, sigma, q, value: Column) -> Column:
-    """Evaluate ``value`` only on usable inputs; neutral literals keep ANSI quiet."""
-    return F.when(usable_inputs(s, k, t, sigma, r, q), value)
-
-
-def option_price(s, k, t, r, sigma, q, kind) -> Column:
-    """Price, or null when the inputs cannot support one or the kind is unknown."""
-    s_, k_, t_, r_, sg, q_, d1, d2, dr, dq = _terms(s, k, t, r, sigma, q)
-    call = s_ * dq * norm_cdf(d1) - k_ * dr * norm_cdf(d2)
-    put = k_ * dr * norm_cdf(-d2) - s_ * dq * norm_cdf(-d1)
-    kd = col(kind)
-    return _guarded(s, k, t, r, sigma, q, F.when(kd == "CALL", call).when(kd == "PUT", put))
-
-
-def option_greeks(s, k, t, r, sigma, q, kind) -> dict[str, Column]:
-    """delta, gamma, theta per calendar day, vega per vol point, rho per rate point."""
-    s_, k_, t_, r_, sg, q_, d1, d2, dr, dq = _terms(s, k, t, r, sigma, q)
-    kd, pdf, root_t = col(kind), norm_pdf(d1), F.sqrt(t_)
-    decay = -(s_ * dq * pdf * sg) / (root_t * 2.0)
-    by_kind = {
-        "delta": (dq * norm_cdf(d1), -dq * norm_cdf(-d1)),
-        "theta_per_day": (
-            (decay - r_ * k_ * dr * norm_cdf(d2) + q_ * s_ * dq * norm_cdf(d1)) / 365.0,
-            (decay + r_ * k_ * dr * norm_cdf(-d2) - q_ * s_ * dq * norm_cdf(-d1)) / 365.0,
-        ),
-        "rho": (k_ * t_ * dr * norm_cdf(d2) / 100.0, -k_ * t_ * dr * norm_cdf(-d2) / 100.0),
-    }
-    either = F.when(kd.isin("CALL", "PUT"), F.lit(True))
-    out = {
-        name: _guarded(s, k, t, r, sigma, q, F.when(kd == "CALL", c).when(kd == "PUT", p))
-        for name, (c, p) in by_kind.items()
-    }
-    out["gamma"] = _guarded(s, k, t, r, sigma, q, F.when(either, dq * pdf / (s_ * sg * root_t)))
-    out["vega"] = _guarded(s, k, t, r, sigma, q, F.when(either, s_ * dq * pdf * root_t / 100.0))
-    return out
+def with_option_model(
+    df: DataFrame, s, k, t, r, sigma, q, kind, price: str | None = None, greeks: bool = False
+) -> DataFrame:
+    """Add the price under ``price`` and, with ``greeks``, delta, gamma,
+    theta_per_day, vega and rho. Unusable inputs or an unknown kind give nulls.
+
+    Built as a few projections: each intermediate is used several times, so
+    Catalyst keeps the projections apart and every value is computed once.
+    """
+    base = df.columns
+    ok = F.coalesce(usable_inputs(s, k, t, sigma, r, q) & col(kind).isin("CALL", "PUT"), F.lit(False))
+    vals = {"_s": s, "_k": k, "_t": t, "_r": r, "_v": sigma, "_q": q}
+    x = df.select("*", ok.alias("_ok"), (col(kind) == "CALL").alias("_call"))
+    x = x.select("*", *[F.when(F.col("_ok"), col(c)).alias(n) for n, c in vals.items()])
+    x = x.select("*", (F.col("_v") * F.sqrt("_t")).alias("_vt"), F.exp(-F.col("_r") * F.col("_t")).alias("_dr"), F.exp(-F.col("_q") * F.col("_t")).alias("_dq"))
+    d1 = (F.log(F.col("_s") / F.col("_k")) + (F.col("_r") - F.col("_q") + F.col("_v") * F.col("_v") * 0.5) * F.col("_t")) / F.col("_vt")
+    x = x.select("*", d1.alias("_d1"))
+    x = x.select("*", (F.col("_d1") - F.col("_vt")).alias("_d2"))
+    x = x.select("*", F.abs("_d1").alias("_a1"), F.abs("_d2").alias("_a2"), F.exp(F.col("_d1") * F.col("_d1") * -0.5).alias("_e1"), F.exp(F.col("_d2") * F.col("_d2") * -0.5).alias("_e2"))
+    x = x.select("*", upper_tail(F.col("_a1"), F.col("_e1")).alias("_u1"), upper_tail(F.col("_a2"), F.col("_e2")).alias("_u2"))
+    call = F.col("_call")
+    # Mass below d for a call, below -d for a put: the one each formula needs.
+    # The partition id makes this projection non-deterministic to the optimizer, so a
+    # later filter on a result is tested on the computed column instead of being
+    # pushed down as a copy of the whole formula. Filter the input beforehand.
+    here = F.spark_partition_id() >= 0
+    below = lambda d, u: F.when(here, F.when(call == (F.col(d) > 0), 1.0 - F.col(u)).otherwise(F.col(u)))
+    sign = F.when(call, 1.0).otherwise(-1.0)
+    x = x.select("*", below("_d1", "_u1").alias("_n1"), below("_d2", "_u2").alias("_n2"), sign.alias("_sg"), (F.col("_s") * F.col("_dq")).alias("_fs"), (F.col("_k") * F.col("_dr")).alias("_fk"), (F.col("_e1") / ROOT_TWO_PI).alias("_pdf"))
+    out = []
+    if price:
+        out.append(F.when(F.col("_ok"), F.col("_sg") * (F.col("_fs") * F.col("_n1") - F.col("_fk") * F.col("_n2"))).alias(price))
+    if greeks:
+        root_t = F.sqrt("_t")
+        decay = -(F.col("_fs") * F.col("_pdf") * F.col("_v")) / (root_t * 2.0)
+        carry = F.col("_sg") * (F.col("_q") * F.col("_fs") * F.col("_n1") - F.col("_r") * F.col("_fk") * F.col("_n2"))
+        out += [
+            (F.col("_sg") * F.col("_dq") * F.col("_n1")).alias("delta"),
+            (F.col("_dq") * F.col("_pdf") / (F.col("_s") * F.col("_vt"))).alias("gamma"),
+            ((decay + carry) / 365.0).alias("theta_per_day"),
+            (F.col("_fs") * F.col("_pdf") * root_t / 100.0).alias("vega"),
+            (F.col("_sg") * F.col("_fk") * F.col("_t") * F.col("_n2") / 100.0).alias("rho"),
+        ]
+    return x.select(*base, *out)
 
 
 def _phi_np(x: np.ndarray) -> np.ndarray:
@@ -122,7 +118,7 @@ def _price_np(s, k, t, r, sigma, q, sign):
     return sign * (s * np.exp(-q * t) * _phi_np(sign * d1) - k * np.exp(-r * t) * _phi_np(sign * (d1 - vol_t)))
 
 
-@pandas_udf("double")
+@pandas_udf(T.DoubleType())
 def implied_volatility(
     price: pd.Series, s: pd.Series, k: pd.Series, t: pd.Series, r: pd.Series, q: pd.Series, kind: pd.Series
 ) -> pd.Series:

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES, compose
 
-MODULES = ("study", "pit", "trading")
+MODULES = ("study", "pit", "trading", "options")
 
 
 def _load() -> None:

@@ -233,3 +233,43 @@ def chained_events(spark: SparkSession, sf: str) -> DataFrame:
     c = build_chain(ev)
     bad = (F.col("chain") * 7 + F.col("seq")) % 53 == 0
     return c.withColumn("request", F.when(bad, F.concat("request", F.lit("x"))).otherwise(F.col("request")))
+
+
+def chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Order lines as option contracts on their brand, priced around 100."""
+    from ..functions.guards import settled as st
+    from ..functions.pricing import with_option_model
+
+    li = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_shipdate")
+    part = table(spark, sf, "part").select("p_partkey", "p_brand")
+    ok, pk = F.col("l_orderkey"), F.col("l_partkey")
+    snap = F.to_date("l_shipdate")
+    c = li.join(part, li.l_partkey == part.p_partkey).select(
+        F.col("p_brand").alias("ticker"), snap.alias("snapshot_date"),
+        ((ok * 8 + F.col("l_linenumber")) * 4096 + F.col("l_suppkey") % 1000 * 4).alias("line_no"),
+        F.when(ok % 101 == 0, "X").when(F.col("l_returnflag") == "R", "PUT").otherwise("CALL").alias("kind"),
+        F.date_add(snap, (ok % 80).cast("int")).alias("expiration"), (F.lit(80.0) + pk % 41).alias("strike"),
+        (F.lit(0.15) + pk % 40 / 100.0).alias("sigma"), "l_discount",
+        F.when(ok % 47 != 0, pk * 37 % 4000).alias("open_interest"), F.when(ok % 59 != 0, F.col("l_quantity").cast("long") * 5).alias("volume"),
+        F.concat(F.lit("K"), ok.cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"), F.lit("-"), F.col("l_suppkey").cast("string"), F.lit("-"), pk.cast("string")).alias("contract_symbol"),
+        (ok % 80 / 365.0).alias("t"),
+    ).withColumn("spot0", F.lit(100.0)).withColumn("kind0", F.when(F.col("kind") == "X", "CALL").otherwise(F.col("kind")))
+    c = with_option_model(c, "spot0", "strike", "t", F.lit(0.04), "sigma", F.lit(0.0), "kind0", price="fair")
+    bid, ask = st(F.col("fair") * (1.0 - F.col("l_discount") / 2), 2), st(F.col("fair") * (F.col("l_discount") / 2 + 1.0) + 0.01, 2)
+    c = c.withColumn("bid0", bid).withColumn("ask0", ask)
+    good = F.coalesce((F.col("bid0") > 0) & (F.col("ask0") >= F.col("bid0")), F.lit(False))
+    return c.select(
+        "ticker", "snapshot_date", "line_no", "contract_symbol", "kind", "expiration", "strike", "sigma",
+        F.when(good, F.col("bid0")).alias("bid"), F.when(good, F.col("ask0")).alias("ask"), F.when(good, rounded((F.col("bid0") + F.col("ask0")) / 2, 4)).alias("mid"),
+        "open_interest", "volume", F.when(good, "OK").otherwise("UNKNOWN").alias("status"),
+    )
+
+
+def enriched_chain(spark: SparkSession, sf: str, bars_df: DataFrame | None = None) -> DataFrame:
+    from ..operators.options import enrich_chain, underlying_context
+
+    b = bars_df if bars_df is not None else bars_table(spark, sf)
+    c = chain(spark, sf)
+    # A chain's snapshot dates are the name's own trading dates: one row per name and day.
+    days = b.filter(F.col("ticker") != BENCHMARK).select("ticker", F.col("date").alias("snapshot_date"))
+    return enrich_chain(c, materialize(underlying_context(days, b), "context"))
