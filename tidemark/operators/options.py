@@ -53,11 +53,11 @@ def underlying_context(snapshots: DataFrame, bars: DataFrame) -> DataFrame:
     """
     total = F.sum(F.coalesce("dividend", F.lit(0.0))).over(Window.partitionBy("ticker").orderBy("date"))
     b = bars.select("ticker", "date", "close", total.alias("paid"))
-    closes = b.filter(F.col("close").isNotNull()).select("ticker", "date", F.col("date").alias("underlying_close_date"), F.col("close").alias("underlying_close"))
+    # A row without a close carries no dividend either, so one match reads both.
+    closes = b.filter(F.col("close").isNotNull()).select("ticker", "date", F.col("date").alias("underlying_close_date"), F.col("close").alias("underlying_close"), "paid")
     paid = b.select("ticker", "date", "paid")
     width = 86400 * 90
-    s = asof_backward(snapshots, closes, "ticker", "snapshot_date", "date", ["underlying_close_date", "underlying_close"], strict=True, bucket_seconds=width)
-    s = asof_backward(s, paid, "ticker", "snapshot_date", "date", ["paid"], strict=True, bucket_seconds=width)
+    s = asof_backward(snapshots, closes, "ticker", "snapshot_date", "date", ["underlying_close_date", "underlying_close", "paid"], strict=True, bucket_seconds=width)
     s = s.withColumn("_year_ago", F.add_months("snapshot_date", -12)).withColumnRenamed("paid", "_upto")
     s = asof_backward(s, paid, "ticker", "_year_ago", "date", ["paid"], strict=True, bucket_seconds=width)
     cash = F.coalesce("_upto", F.lit(0.0)) - F.coalesce("paid", F.lit(0.0))

@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES, compose
 
-MODULES = ("study", "pit", "trading", "options")
+MODULES = ("study", "pit", "trading", "options", "picks", "research")
 
 
 def _load() -> None:

@@ -273,3 +273,38 @@ def enriched_chain(spark: SparkSession, sf: str, bars_df: DataFrame | None = Non
     # A chain's snapshot dates are the name's own trading dates: one row per name and day.
     days = b.filter(F.col("ticker") != BENCHMARK).select("ticker", F.col("date").alias("snapshot_date"))
     return enrich_chain(c, materialize(underlying_context(days, b), "context"))
+
+
+def picks_inputs(spark: SparkSession, sf: str):
+    """(picks, bars, chain): one proposal or abstention per variant, name and bar date."""
+    from ..operators import options as O
+    from ..operators.features import variant_scores
+    from ..operators.picks import generate_picks
+
+    b = bars_table(spark, sf)
+    c = materialize(chain(spark, sf), "chain")
+    days = b.filter(F.col("ticker") != BENCHMARK).select("ticker", F.col("date").alias("snapshot_date"))
+    e = materialize(O.enrich_chain(c, O.underlying_context(days, b)), "enriched").withColumnRenamed("snapshot_date", "decision_date")
+    keys = ["ticker", "decision_date", "kind"]
+    metrics = O.selection_metrics(0.35)
+    ok = e.filter(O.eligible()).select("*", *[m.alias(n) for n, m in metrics.items()])
+    best = O.best_contracts(ok, keys, "delta", ["contract_symbol", "expiration", "strike", "dte", "bid", "ask", "mid", "delta", "iv_solved", "round_trip_cost_1x", "underlying_close"])
+    scores = variant_scores(decision_features(b.filter(F.col("ticker") != BENCHMARK))).withColumn("score", settled("score", 8))
+    pre = F.when(F.weekday("decision_date") >= 5, "market closed: decision date is a weekend")
+    picks = generate_picks(scores.withColumn("precondition", pre), best, O.rejection_tally(e, keys))
+    return materialize(picks, "picks"), b, c
+
+
+def research_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Observations as research rows; key rules break clocks, ids and provenance."""
+    o = observations(bars_table(spark, sf))
+    day = F.col("decision_date").cast("timestamp")
+    n = F.datediff("decision_date", F.lit("1995-01-01"))
+    t = F.substring("ticker", 7, 3).cast("int")
+    k = n * 31 + t
+    return o.select(
+        F.concat("ticker", F.lit(":"), F.col("decision_date").cast("string")).alias("row_id"), F.lit(0).alias("seq"), "ticker",
+        (day + F.expr("INTERVAL '20' HOUR")).alias("decision_utc"), (day + F.make_dt_interval(hours=F.when(k % 41 == 0, 30).otherwise(14))).alias("feature_available_utc"),
+        (day + F.make_dt_interval(days=F.when(k % 53 == 0, 0).otherwise(8))).alias("label_available_utc"), F.when(k % 29 == 0, "SYNTHETIC_DEMO").otherwise("OBSERVED_QUOTES").alias("provenance"),
+        F.when(k % 67 != 0, F.col("excess_log_return")).alias("net_return"), "momentum_20d", "trend_50d", "reversion",
+    )
