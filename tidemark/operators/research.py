@@ -31,7 +31,7 @@ def eligibility(rows: DataFrame, features: list[str], evaluated: Column, allow_s
         .when(times, "unavailable_or_invalid_time").when(~F.coalesce(observed, F.lit(False)), "not_observed_quotes")
         .when(~F.coalesce(numbers, F.lit(False)) | (F.coalesce("ticker", F.lit("")) == ""), "invalid_row")
     )
-    return j.drop("_first").withColumn("reject_reason", reason)
+    return j.withColumn("reject_reason", reason).drop("_first")
 
 
 def purged_segments(rows: DataFrame, edges: dict[str, tuple[str, str]]) -> DataFrame:

@@ -297,7 +297,7 @@ def picks_inputs(spark: SparkSession, sf: str):
 
 def research_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Observations as research rows; key rules break clocks, ids and provenance."""
-    o = observations(bars_table(spark, sf))
+    o = materialize(observations(bars_table(spark, sf)), "observations")
     day = F.col("decision_date").cast("timestamp")
     n = F.datediff("decision_date", F.lit("1995-01-01"))
     t = F.substring("ticker", 7, 3).cast("int")
