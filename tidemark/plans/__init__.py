@@ -6,7 +6,7 @@ import importlib
 
 from .registry import ORACLES, QUERIES, compose
 
-MODULES = ("study", "pit", "trading", "options", "picks", "research", "ingest")
+MODULES = ("study", "pit", "trading", "options", "picks", "research", "ingest", "streams")
 
 
 def _load() -> None:
