@@ -10,7 +10,7 @@ from tidemark.session import get_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    s = get_session("tests", "local[4]", 4)
+    s = get_session("tests", "local[4]", 2)
     s.sparkContext.setLogLevel("ERROR")
     yield s
     s.stop()

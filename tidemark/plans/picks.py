@@ -126,7 +126,7 @@ def _outcomes(spark, sf):
 @query(
     "resolve_picks",
     f"""SELECT decision_date, variant, ticker, status, CASE WHEN status = 'RESOLVED' THEN trig END AS exit_trigger, CASE WHEN status = 'RESOLVED' THEN xd END AS exit_date, CASE WHEN status = 'RESOLVED' THEN fd END AS days_held,
-    CASE WHEN status = 'RESOLVED' THEN {S('xp', 3)} END AS exit_price, CASE WHEN status = 'RESOLVED' THEN xm END AS exit_mark_method, CASE WHEN status = 'RESOLVED' THEN {PROV} END AS exit_path_provenance,
+    CASE WHEN status = 'RESOLVED' THEN {S(R('xp', 4), 3)} END AS exit_price, CASE WHEN status = 'RESOLVED' THEN xm END AS exit_mark_method, CASE WHEN status = 'RESOLVED' THEN {PROV} END AS exit_path_provenance,
     CASE WHEN status = 'RESOLVED' THEN hd END AS horizon_date, CASE WHEN status = 'RESOLVED' AND nd >= 5 THEN {S('hs / s0 - 1', 8)} END AS underlying_move_pct, dir_ok AS direction_correct FROM outcomes""",
     "outcomes",
 )
