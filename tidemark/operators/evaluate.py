@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import rounded
+from ..session import materialize
 from .calendar import assign_folds
 from .features import COMPONENTS, weighted_columns
 from .running import running_sums
@@ -98,16 +99,17 @@ def block_permute(df: DataFrame, keys: list[str], position: str, label: str, blo
     return df.join(dealt, [*keys, position])
 
 
-def best_thresholds(train: DataFrame, keys: list[str], score: str = "score", label: str = "y_perm") -> DataFrame:
+def best_thresholds(train: DataFrame, keys: list[str], score: str = "score", label: str = "y_perm", weight: str | None = None) -> DataFrame:
     """Per key, the cut maximizing training accuracy of ``score > threshold``.
 
     The lowest cut wins ties. ``inclusive`` marks the all-positive candidate
     just below the smallest training score. Score ties are pre-counted; scores
-    lie in [-1, 1], so slices of the score range split hot folds.
+    lie in [-1, 1], so slices of the score range split hot folds. ``weight``
+    names a row count when the input is already collapsed.
     """
-    counts = train.groupBy(*keys, score).agg(
-        F.count_if(F.col(label) == 0).alias("n0"), F.count_if(F.col(label) == 1).alias("n1")
-    )
+    n = F.col(weight) if weight else F.lit(1).cast("long")
+    tally = lambda v: F.coalesce(F.sum(F.when(F.col(label) == v, n)), F.lit(0))
+    counts = train.groupBy(*keys, score).agg(tally(0).alias("n0"), tally(1).alias("n1"))
     slice_ = F.floor(F.col(score) * 16.0)
     swept = running_sums(counts, keys, slice_, [score], {"zeros_le": F.col("n0"), "ones_le": F.col("n1")}, totals=True)
     correct = F.col("zeros_le") + F.col("ones_le_total") - F.col("ones_le")
@@ -148,10 +150,12 @@ def fold_results(
     rows = permute_labels(tagged, permutations, seed, block)
     scored = score_variants(rows, variants, ["perm", "fold", "role", "y_perm"])
     keys = ["variant", "perm", "fold"]
-    cuts = best_thresholds(scored.filter(F.col("role") == "train"), keys)
-    # Predictions depend on the score alone, so test rows collapse before the join.
-    test = scored.filter(F.col("role") == "test").groupBy(*keys, "score", "y_perm").agg(F.count("*").alias("n"))
-    judged = predict(test, cuts, keys)
+    # Fit and prediction depend on scores and labels alone: rows collapse to counts,
+    # written once, so the permuted join is not repeated for train and test.
+    counts = scored.groupBy(*keys, "role", "score", "y_perm").agg(F.count("*").alias("n"))
+    counts = materialize(counts, "permuted-counts")
+    cuts = best_thresholds(counts.filter(F.col("role") == "train"), keys, weight="n")
+    judged = predict(counts.filter(F.col("role") == "test"), cuts, keys)
     return judged.groupBy(*keys).agg(
         F.sum("n").alias("n"),
         F.coalesce(F.sum(F.when(F.col("predicted") == F.col("y_perm"), F.col("n"))), F.lit(0)).alias("correct"),

@@ -281,7 +281,7 @@ def eligible_contracts(spark, sf):
 
 @query(
     "selection_metrics",
-    f"""SELECT contract_symbol, {S('gap', 4)} AS delta_gap, {S('cost_pct', 6)} AS round_trip_cost_pct_premium, {S('theta_pct', 4)} AS theta_pct_premium_per_day, CAST(dd AS BIGINT) AS dte_distance,
+    f"""SELECT contract_symbol, {S('abs(abs(delta) - 0.35::DOUBLE)', 4)} AS delta_gap, {S('round_trip_cost_1x / ask / 100', 6)} AS round_trip_cost_pct_premium, {S('greatest(-theta_per_day, 0) / ask', 4)} AS theta_pct_premium_per_day, CAST(dd AS BIGINT) AS dte_distance,
     {S('round_trip_cost_1x / (abs(delta) * 100) / underlying_close', 4)} AS breakeven_move_pct FROM eligible""",
     "eligible",
 )
