@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality
+from . import decontaminate, quality, secrets
 from .common import read
 
 
@@ -10,12 +10,16 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op3_secrets(spark, sf_dir):
+    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+
+
 def op4_quality(spark, sf_dir):
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op4_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_secrets, op4_quality)}
 
 
 def all_oracles():
