@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, quality, secrets
+from . import decontaminate, pii, quality, secrets
 from .common import read
 
 
@@ -18,8 +18,12 @@ def op4_quality(spark, sf_dir):
     return quality.quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op5_pii(spark, sf_dir):
+    return pii.surrogate_texts(read(spark, sf_dir, "documents"))
+
+
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op3_secrets, op4_quality)}
+    return {f.__name__: f for f in (op1_decontaminate, op3_secrets, op4_quality, op5_pii)}
 
 
 def all_oracles():
