@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, pii, quality, secrets
+from . import decontaminate, jaccard, pii, quality, secret_scan
 from .common import read
 
 
@@ -10,8 +10,12 @@ def op1_decontaminate(spark, sf_dir):
     return decontaminate.contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op2_jaccard(spark, sf_dir):
+    return jaccard.jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op3_secrets(spark, sf_dir):
-    return secrets.secret_spans(read(spark, sf_dir, "documents"))
+    return secret_scan.secret_spans(read(spark, sf_dir, "documents"))
 
 
 def op4_quality(spark, sf_dir):
@@ -23,7 +27,7 @@ def op5_pii(spark, sf_dir):
 
 
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op3_secrets, op4_quality, op5_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii)}
 
 
 def all_oracles():
