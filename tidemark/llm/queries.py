@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, pii, quality, secret_scan
+from . import decontaminate, jaccard, pii, quality, secret_scan, substrings
 from .common import read
 
 
@@ -26,9 +26,13 @@ def op5_pii(spark, sf_dir):
     return pii.surrogate_texts(read(spark, sf_dir, "documents"))
 
 
+def op6_substrings(spark, sf_dir):
+    return substrings.substring_digests(read(spark, sf_dir, "documents"))
+
+
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings)}
 
 
 def all_oracles():
-    return {"op1_decontaminate": decontaminate.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op6_substrings": substrings.SQL}
