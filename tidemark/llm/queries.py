@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, pii, quality, secret_scan, substrings
+from . import decontaminate, jaccard, packing, pii, quality, secret_scan, substrings, topk
 from .common import read
 
 
@@ -30,9 +30,17 @@ def op6_substrings(spark, sf_dir):
     return substrings.substring_digests(read(spark, sf_dir, "documents"))
 
 
+def op8_topk(spark, sf_dir):
+    return topk.top_products(read(spark, sf_dir, "embeddings"))
+
+
+def op10_packing(spark, sf_dir):
+    return packing.packed(read(spark, sf_dir, "documents"))
+
+
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op8_topk, op10_packing)}
 
 
 def all_oracles():
-    return {"op1_decontaminate": decontaminate.SQL, "op6_substrings": substrings.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op6_substrings": substrings.SQL, "op8_topk": topk.SQL}
