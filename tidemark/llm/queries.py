@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard, packing, pii, quality, secret_scan, substrings, topk
+from . import decontaminate, extract, jaccard, language, packing, pii, quality, secret_scan, substrings, topk
 from .common import read
 
 
@@ -30,16 +30,24 @@ def op6_substrings(spark, sf_dir):
     return substrings.substring_digests(read(spark, sf_dir, "documents"))
 
 
+def op7_extract(spark, sf_dir):
+    return extract.extracted(read(spark, sf_dir, "pages"))
+
+
 def op8_topk(spark, sf_dir):
     return topk.top_products(read(spark, sf_dir, "embeddings"))
 
 
+def op9_language(spark, sf_dir):
+    return language.page_languages(read(spark, sf_dir, "pages"), read(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op8_topk, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op7_extract, op8_topk, op9_language, op10_packing)}
 
 
 def all_oracles():
