@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
+
 from . import decontaminate, extract, jaccard, language, packing, pii, quality, secret_scan, substrings, topk
 from .common import read
 
@@ -46,8 +48,12 @@ def op10_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op7_extract, op8_topk, op9_language, op10_packing)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op7_extract, op8_topk, op9_language, op10_packing, pipeline)}
 
 
 def all_oracles():
