@@ -9,9 +9,9 @@ battery infers each one's encoding and tests
   letters concentrate as they do in this corpus's own long words; the second
   gives the p-value, whose power grows with length;
 * runs above and below the middle of the alphabet;
-* serial correlation of neighbouring symbols.
+* serial correlation of neighbouring symbols, and steps that repeat.
 
-A candidate that fails uniformity, runs or correlation is out. Of the others
+A candidate that fails uniformity, runs, correlation or steps is out. Of the others
 those are kept whose length-weighted p-values pass a Benjamini-Hochberg step at
 ``FDR`` over all candidates of the corpus; the step reads a histogram of
 p-values of at most ``BINS`` rows, so ties in a bin are decided alike.
@@ -119,7 +119,11 @@ def battery(token: Column, concentration: dict[str, float]) -> Column:
     runs = 1 + F.aggregate(neighbours, F.lit(0.0), lambda acc, x: acc + F.when((x.a >= k / 2) != (x.b >= k / 2), 1.0).otherwise(0.0))
     usual = 2 * above * (n - above) / n + 1
     z_runs = F.when((above > 0) & (above < n), (runs - usual) / F.sqrt(F.greatest((usual - 1) * (usual - 2) / (n - 1), F.lit(0.25)))).otherwise(F.lit(99.0))
-    return F.struct(_choose(token, [e for e, _, _ in ENCODINGS]).alias("encoding"), p.alias("p"), ((F.abs(z_serial) > VETO) | (F.abs(z_runs) > VETO) | (z_even > VETO)).alias("vetoed"))
+    steps = F.transform(neighbours, lambda x: x.b - x.a)
+    turns = F.arrays_zip(F.slice(steps, F.lit(1), F.size(steps) - 1).alias("a"), F.slice(steps, F.lit(2), F.size(steps) - 1).alias("b"))
+    steady = F.aggregate(turns, F.lit(0.0), lambda acc, x: acc + F.when(x.a == x.b, 1.0).otherwise(0.0))
+    z_steps = (steady - (n - 2) / k) / F.sqrt((n - 2) / k)
+    return F.struct(_choose(token, [e for e, _, _ in ENCODINGS]).alias("encoding"), p.alias("p"), ((F.abs(z_serial) > VETO) | (F.abs(z_runs) > VETO) | (z_steps > VETO) | (z_even > VETO)).alias("vetoed"))
 
 
 def letter_concentration(candidates: DataFrame) -> dict[str, float]:
