@@ -134,7 +134,7 @@ def _place_from_end(value: Column, i: Column) -> Column:
 
 def _phone(value: Column, seed: Column) -> Column:
     def digit(c, i):
-        j = _place_from_end(value, i)
+        j = _place_from_end(_national(value), i)
         return F.when(~c.rlike("[0-9]") | (j >= 10), c).when(j.isin(6, 9), _pick("23456789", _draw(seed, j, 8))).otherwise(_pick("0123456789", _draw(seed, j, 10)))
 
     return F.concat(_country(value), _each(_national(value), digit))
