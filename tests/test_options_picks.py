@@ -48,14 +48,25 @@ PASSING = {"independent_events": 3.0, "evidence_confidence": 0.8, "dte": 30.0, "
 )
 def test_gate(spark, change, failed, decision):
     v = {**PASSING, **change}
-    f = G.gate_failures({**{k: F.lit(x).cast("double") for k, x in v.items()}, "defined_risk": F.lit(True)})
-    row = spark.range(1).select(f.alias("f"), G.gate_decision(f).alias("d")).first()
-    assert (row.f, row.d) == (failed, decision)
+    row = G.with_gate(spark.range(1), {**{k: F.lit(x).cast("double") for k, x in v.items()}, "defined_risk": F.lit(True)}).first()
+    assert (row.gate_failed, row.gate) == (",".join(failed), decision)
 
 
 def test_undefined_risk_is_hard(spark):
-    f = G.gate_failures({k: F.lit(x) for k, x in PASSING.items()})
-    assert spark.range(1).select(G.gate_decision(f).alias("d")).first().d == "PASS"
+    assert G.with_gate(spark.range(1), {k: F.lit(x) for k, x in PASSING.items()}).first().gate == "PASS"
+
+
+def test_a_number_nobody_has_settles_the_decision(spark):
+    row = G.with_gate(spark.range(1), {"dte": F.lit(5.0), "defined_risk": F.lit(True)}).first()
+    assert row.gate == "PASS" and row.gate_failed.startswith("missing:independent_events,missing:evidence_confidence,dte_out_of_band,missing:relative_spread")
+
+
+def test_limits_of_a_small_account(spark):
+    v = {k: F.lit(x) for k, x in {**PASSING, "position_pct": 0.08, "portfolio_heat_pct": 0.1}.items()}
+    assert G.with_gate(spark.range(1), {**v, "defined_risk": F.lit(True)}).first().gate == "PASS"
+    assert G.with_gate(spark.range(1), {**v, "defined_risk": F.lit(True)}, G.SMALL_ACCOUNT).first().gate == "PAPER_TRADE_CANDIDATE"
+    with pytest.raises(TypeError):
+        G.Limits(max_everything=1)
 
 
 ROW = dict(contract_symbol="a", kind="CALL", expiration="2024-03-15", dte=40, strike=100.0, bid=2.0, ask=2.1, mid=2.05, delta=0.35, gamma=0.02, theta_per_day=-0.02, vega=0.1, iv_solved=0.3, relative_spread=0.0488, open_interest=900, volume=100, model_status="OK", liquidity_screen="PASS", round_trip_cost_1x=11.6, underlying_close=98.0)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.guards import is_finite, rounded
 from ..functions.pricing import implied_volatility, with_option_model, years_to_expiry
 from .asof import asof_backward
-from .gate import Limits, gate_decision, gate_failures
+from .gate import Limits, with_gate
 
 COMMISSION, EXCHANGE_FEE, SPREAD_CAPTURE, EQUITY_SLIPPAGE_BPS = 0.65, 0.15, 0.5, 1.0
 DELTA_TOLERANCE, PREFERRED_DTE = 0.08, 40
@@ -107,11 +107,8 @@ def enrich_chain(chain: DataFrame, context: DataFrame, rate: float = RISK_FREE,
     df = df.select("*", model.alias("model_status"), round_trip_cost().alias("round_trip_cost_1x"))
     df = df.select("*", *[c.alias(n) for n, c in screens(limits).items()])
     passed = F.col("screen_dte") & F.col("screen_spread") & F.col("screen_open_interest") & F.col("screen_volume")
-    failed = gate_failures(
-        {"dte": F.col("dte"), "relative_spread": F.col("relative_spread"), "open_interest": F.col("open_interest"), "daily_volume": F.col("volume"), "defined_risk": F.lit(True)},
-        limits,
-    )
-    return df.withColumn("liquidity_screen", F.when(passed, "PASS").otherwise("FAIL")).withColumn("gate_failed", failed).withColumn("gate", gate_decision(F.col("gate_failed")))
+    known = {"dte": F.col("dte"), "relative_spread": F.col("relative_spread"), "open_interest": F.col("open_interest"), "daily_volume": F.col("volume"), "defined_risk": F.lit(True)}
+    return with_gate(df.withColumn("liquidity_screen", F.when(passed, "PASS").otherwise("FAIL")), known, limits)
 
 
 def eligible(limits: Limits = Limits()) -> Column:

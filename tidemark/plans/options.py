@@ -265,8 +265,8 @@ def risk_gate(spark, sf):
         "relative_spread": F.col("l_discount") * 1.5 - 0.01, "open_interest": pk * 3 % 3000, "daily_volume": F.col("l_quantity") * 4, "defined_risk": ok % 19 != 0,
         "expected_edge_after_costs": F.when(ok % 23 == 0, F.lit(float("nan"))).otherwise(F.col("l_tax") - 0.02), "position_pct": sk % 4 / 100.0, "portfolio_heat_pct": sk % 9 / 100.0, "open_positions": ok % 7,
     }
-    df = li.withColumn("f", G.gate_failures(inputs))
-    return df.select("l_orderkey", "l_linenumber", "l_partkey", F.array_join("f", ",").alias("failed"), G.gate_decision(F.col("f")).alias("decision"))
+    df = G.with_gate(li, inputs)
+    return df.select("l_orderkey", "l_linenumber", "l_partkey", F.col("gate_failed").alias("failed"), F.col("gate").alias("decision"))
 
 
 @query(

@@ -38,8 +38,9 @@ def get_session(app: str = "tidemark", master: str | None = None, shuffle_partit
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: ``spark.checkpoint.dir``.
 
-    Only where the cluster names none (tests, local runs) a temporary folder is
-    chosen and set, so later calls agree on it.
+    Where the session names none, a run on one machine chooses a temporary
+    folder and sets it, so later calls agree on it; a cluster gets an error,
+    since executors would each write to a disk of their own.
     """
     current = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if current:
@@ -47,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     existing = spark.sparkContext._jsc.sc().getCheckpointDir()
     if existing.isDefined():
         return existing.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir names no folder that all executors share")
     fallback = tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", fallback)
     return fallback
