@@ -15,16 +15,27 @@ from .trading import TOL, reject_sql
 
 
 class _Streamed:
-    """A session whose tables are read as file streams, for the view builders."""
+    """A session whose tables are read as file streams, for the view builders.
 
-    def __init__(self, spark):
-        self.spark = spark
+    A table is first written again in slices, the newest first, and streamed a
+    few files per trigger: rows come late and out of order, in several batches.
+    """
+
+    def __init__(self, spark, slices=4):
+        self.spark, self.slices = spark, slices
         self.read = self
 
     def parquet(self, path):
-        schema = self.spark.read.parquet(path).schema
-        folder, name = path.rsplit("/", 1)
-        return self.spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+        rows, folder = self.spark.read.parquet(path), run_dir(self.spark, "arrivals")
+        order = F.unix_micros(F.col("ts").cast("timestamp")) if "ts" in rows.columns else F.xxhash64(*rows.columns[:3])
+        cuts = rows.agg(F.percentile_approx(order, [k / self.slices for k in range(1, self.slices)])).first()[0] or []
+        place = F.lit(0)
+        for cut in cuts:
+            place = place + (order > cut).cast("int")
+        placed = rows.withColumn("_slice", place)
+        for k in reversed(range(len(cuts) + 1)):
+            placed.filter(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(folder)
+        return self.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(folder)
 
 
 @query(
@@ -33,9 +44,9 @@ class _Streamed:
     "quotes",
 )
 def stream_quote_ingest(spark, sf):
-    q = V.quotes(_Streamed(spark), sf)
-    clean = J.run_available(J.clean_quotes(q), "quotes")
-    return clean.groupBy(F.coalesce("reject_reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("quotes"))
+    eligible, rejected = J.ingest_quotes(V.quotes(_Streamed(spark), sf))
+    books = J.distinct_books(eligible.union(rejected))
+    return books.groupBy(F.coalesce("reject_reason", F.lit("eligible")).alias("reason")).agg(F.count("*").alias("quotes"))
 
 
 @query(
@@ -45,7 +56,7 @@ def stream_quote_ingest(spark, sf):
 )
 def stream_latest_marks(spark, sf):
     marks = J.latest_marks(V.quotes(_Streamed(spark), sf))
-    return J.run_available(marks, "marks", "update", ["contract_id"]).select("contract_id", "observed_utc", "quote_no", "bid", "ask")
+    return J.run_available(marks, "marks", ["contract_id"]).select("contract_id", "observed_utc", "quote_no", "bid", "ask")
 
 
 @query(
@@ -59,9 +70,8 @@ def stream_latest_marks(spark, sf):
 )
 def stream_first_fills(spark, sf):
     s = _Streamed(spark)
-    pairs = J.run_available(J.fill_pairs(V.orders_to_fill(s, sf), V.quotes(s, sf), f"{TOL} seconds"), "fills")
-    f = pairs.groupBy("order_id").agg(F.min(F.struct("available_utc", "observed_utc", "quote_no", "fill_price")).alias("f"))
-    return f.select("order_id", F.col("f.available_utc").alias("fill_utc"), F.col("f.quote_no").alias("fill_quote"), F.col("f.fill_price").alias("fill_price"))
+    fills = J.first_fills(V.orders_to_fill(s, sf), V.quotes(s, sf), TOL)
+    return fills.select("order_id", F.col("available_utc").alias("fill_utc"), F.col("quote_no").alias("fill_quote"), "fill_price")
 
 
 @query(
@@ -70,7 +80,7 @@ def stream_first_fills(spark, sf):
 )
 def stream_daily_bars(spark, sf):
     e = V.table(_Streamed(spark), sf, "events").select(F.col("event_type").alias("ticker"), F.col("ts").cast("timestamp").alias("ts"), "value")
-    return J.run_available(J.daily_bars(e), "bars", "update", ["ticker", "date"])
+    return J.bars_of(J.bar_vintages(e)).drop("vintage")
 
 
 @query(
@@ -81,7 +91,7 @@ def stream_daily_bars(spark, sf):
 )
 def stream_evidence_counts(spark, sf):
     counts = J.evidence_counts(V.evidence(_Streamed(spark), sf))
-    return J.confirmed_events(J.run_available(counts, "evidence", "update", ["ticker_at_time", "lineage_cluster_id"]))
+    return J.confirmed_events(J.run_available(counts, "evidence", ["ticker_at_time", "lineage_cluster_id"]))
 
 
 # ---- stored vintages ---------------------------------------------------------
