@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_bars_labels import days
+from tidemark.functions.clock import bar_available_time
 from tidemark.operators import calendar as C
 from tidemark.operators import evaluate as E
 from tidemark.operators import features as FE
@@ -51,6 +52,24 @@ def test_decision_sees_only_earlier_bars_and_skips_unknown_ones(frame):
     assert again[rows[80][1]] == got[rows[80][1]]
 
 
+def test_a_late_bar_is_invisible_until_it_arrives(frame, spark):
+    df, rows = walk(frame, 120)
+    day = [r[1] for r in rows]
+    stamped = df.withColumn("available_time", F.when(F.col("date") == day[100], F.lit(f"{day[103]} 23:00:00").cast("timestamp")).otherwise(bar_available_time("date")))
+    plain = {str(r.decision_date): r for r in FE.decision_features(df).collect()}
+    got = {str(r.decision_date): r for r in FE.decision_features(stamped).collect()}
+    assert len(got) == len(plain) == 120
+    for i in range(120):
+        if i not in (101, 102, 103):
+            assert got[day[i]] == plain[day[i]]
+    without = {str(r.decision_date): r for r in FE.decision_features(df.filter(F.col("date") != day[100])).collect()}
+    assert str(got[day[101]].as_of_date) == day[99] and got[day[101]] == without[day[101]]
+    assert got[day[103]] == without[day[103]] and str(got[day[104]].as_of_date) == day[103]
+    future = stamped.withColumn("close", F.when(F.col("date") == day[100], 1.0).otherwise(F.col("close")))
+    again = {str(r.decision_date): r for r in FE.decision_features(future).collect()}
+    assert again[day[102]] == got[day[102]]
+
+
 def test_total_loss_inside_a_window(frame):
     rows = [("A", d, 10.0, x, None) for d, x in zip(days(20), [0.01] * 10 + [-1.0] + [0.01] * 9)]
     out = FE.raw_features(frame(rows, BARS)).filter(F.col("date") == rows[-1][1]).first()

@@ -12,8 +12,9 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
+from ..functions.clock import decision_time
 from ..functions.guards import clip, is_finite
-from ..session import spread
+from ..session import materialize, spread
 from .bars import by_ticker
 
 TRADING_DAYS = 252
@@ -145,13 +146,8 @@ def scale_components(df: DataFrame) -> DataFrame:
     )
 
 
-def decision_features(bars: DataFrame) -> DataFrame:
-    """Features a decision on each dated bar may see: the latest earlier bar's.
-
-    With the 17-hour availability lag a bar becomes usable the next morning, so
-    the strictly earlier bar is exactly the visible one. Rows without a close
-    are decisions too; they carry no features of their own.
-    """
+def _punctual_features(bars: DataFrame) -> DataFrame:
+    """Per dated bar, the features of the latest earlier bar that has a close."""
     feats = scale_components(all_features(bars))
     names = [c for c in feats.columns if c not in ("ticker", "date")]
     own = F.when(F.col("close").isNotNull(), F.struct(F.col("date").alias("as_of_date"), *names))
@@ -159,6 +155,37 @@ def decision_features(bars: DataFrame) -> DataFrame:
     return feats.select("ticker", F.col("date").alias("decision_date"), seen.alias("f")).select("ticker", "decision_date", "f.*")
 
 
+def decision_features(bars: DataFrame) -> DataFrame:
+    """Features a decision on each dated bar may see: those of bars received by then.
+
+    A bar that arrives by the next day's decision is on time, and the latest
+    earlier bar is the visible one. Decisions taken while an earlier bar was
+    still missing are worked out again, each from the bars it could see; these
+    are as few as late bars are. A bar without an availability is old stock and
+    counts as on time.
+    Rows without a close are decisions too; they carry no features of their own.
+    """
+    punctual = _punctual_features(bars)
+    if "available_time" not in bars.columns:
+        return punctual
+    late = bars.filter(F.col("available_time") > decision_time(F.date_add("date", 1))).select("ticker", F.col("date").alias("late_date"), F.col("available_time").alias("late_time"))
+    late = materialize(late, "late-bars")
+    if late.isEmpty():
+        return punctual
+    asked = bars.select("ticker", F.col("date").alias("decision_date")).distinct()
+    blind = asked.join(late, "ticker").filter((F.col("late_date") < F.col("decision_date")) & (F.col("late_time") > decision_time("decision_date")))
+    blind = materialize(blind.select("ticker", "decision_date").distinct(), "blind-decisions")
+    in_time = F.col("available_time").isNull() | (F.col("available_time") <= decision_time("decision_date"))
+    seen = bars.join(blind, "ticker").filter((F.col("date") < F.col("decision_date")) & in_time)
+    alone = F.concat_ws("|", F.date_format("decision_date", "yyyy-MM-dd"), "ticker")
+    feats = scale_components(all_features(seen.select(alone.alias("ticker"), "date", "close", "daily_total_return"))).filter(F.col("close").isNotNull())
+    names = [c for c in feats.columns if c not in ("ticker", "date")]
+    newest = feats.groupBy("ticker").agg(F.max_by(F.struct(F.col("date").alias("as_of_date"), *names), "date").alias("f"))
+    again = newest.select(F.substring("ticker", 1, 10).cast("date").alias("decision_date"), F.expr("substring(ticker, 12)").alias("ticker"), "f.*")
+    redone = blind.join(again, ["ticker", "decision_date"], "left").select(punctual.columns)
+    return punctual.join(blind, ["ticker", "decision_date"], "left_anti").select(punctual.columns).unionByName(redone)
+
+
 def variants_table(spark: SparkSession, variants: dict[str, dict[str, float]] | None = None) -> DataFrame:
     """(variant, component, weight) with absolute weights summing to one."""
     rows = []

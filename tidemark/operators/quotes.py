@@ -102,8 +102,8 @@ def fill_columns(execution: str | Column, max_age_seconds: int = MAX_AGE_SECONDS
 
 def first_fills(orders: DataFrame, quotes: DataFrame, tolerance_seconds: int = WINDOW_SECONDS, key: str = "order_id", end: str | None = "session_close", tie: str = "quote_no") -> DataFrame:
     """First quote in the window after submission that fills each order whole."""
-    q = quotes.select("contract_id", *[c for c in quotes.columns if c != "contract_id"])
-    pairs = forward_candidates(orders, q, "contract_id", "submitted_utc", "available_utc", tolerance_seconds, end)
+    usable = quotes.filter(quote_reject_reason("available_utc").isNull())
+    pairs = forward_candidates(orders, usable, "contract_id", "submitted_utc", "available_utc", tolerance_seconds, end)
     cols = fill_columns("available_utc")
     judged = pairs.select(key, "available_utc", "observed_utc", tie, cols["status"].alias("status"), cols["fill_price"].alias("fill_price"))
     best = judged.filter(F.col("status") == "FILLED").groupBy(key).agg(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import clip, is_finite
+from ..session import materialize
 
 # Features a study may register.
 ALLOWED_FEATURES = (
@@ -63,21 +64,57 @@ def inverse_group_weights(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def weighted_moments(rows: DataFrame, features: list[str], keys: list[str]) -> DataFrame:
-    """One row: weighted mean and scale per feature; scales floored at 1e-6."""
-    sums = rows.groupBy(*keys).agg(*[F.sum(F.col("weight") * F.col(f)).alias(f"m_{f}") for f in features], *[F.sum(F.col("weight") * F.col(f) * F.col(f)).alias(f"q_{f}") for f in features])
-    return sums.select(
-        *keys, *[F.col(f"m_{f}").alias(f"mean_{f}") for f in features],
-        *[F.greatest(F.lit(1e-6), F.sqrt(F.greatest(F.lit(0.0), F.col(f"q_{f}") - F.col(f"m_{f}") * F.col(f"m_{f}")))).alias(f"scale_{f}") for f in features],
-    )
+    """One row: weighted mean and scale per feature; scales floored at 1e-6.
+
+    Squares are taken around the mean, so a large mean costs no digits.
+    """
+    total = F.sum("weight").alias("_w")
+    means = rows.groupBy(*keys).agg(total, *[F.sum(F.col("weight") * F.col(f)).alias(f"mean_{f}") for f in features])
+    means = means.select(*keys, *[(F.col(f"mean_{f}") / F.col("_w")).alias(f"mean_{f}") for f in features])
+    apart = rows.join(means, keys) if keys else rows.crossJoin(F.broadcast(means))
+    gap = {f: F.col(f) - F.col(f"mean_{f}") for f in features}
+    spread = apart.groupBy(*keys, *[f"mean_{f}" for f in features]).agg(*[(F.sum(F.col("weight") * g * g) / F.sum("weight")).alias(f"_v_{f}") for f, g in gap.items()])
+    return spread.select(*keys, *[f"mean_{f}" for f in features], *[F.greatest(F.lit(1e-6), F.sqrt(f"_v_{f}")).alias(f"scale_{f}") for f in features])
 
 
 def standardize(rows: DataFrame, moments: DataFrame, features: list[str]) -> DataFrame:
-    """Replace features by clipped z-scores. ``moments`` is a single row."""
-    out = rows
-    for f in features:
-        mean, scale = moments.select(f"mean_{f}").scalar(), moments.select(f"scale_{f}").scalar()
-        out = out.withColumn(f, clip((F.col(f) - mean) / scale, -10.0, 10.0))
-    return out
+    """Replace features by clipped z-scores. ``moments`` is a single row, joined once."""
+    named = moments.select(*[F.col(f"{k}_{f}").alias(f"_{k}_{f}") for f in features for k in ("mean", "scale")])
+    joined = rows.crossJoin(F.broadcast(named.limit(1)))
+    z = {f: clip((F.col(f) - F.col(f"_mean_{f}")) / F.col(f"_scale_{f}"), -10.0, 10.0) for f in features}
+    return joined.select(*[z[c].alias(c) if c in z else F.col(c) for c in rows.columns])
+
+
+def calibration(scored: DataFrame, penalty: float = 0.05, steps: int = 50) -> tuple[float, float]:
+    """Intercept and slope that recalibrate logits ``z`` of rows with label and weight.
+
+    The slope is pulled to 1 by a squared penalty and stays in [0, 3]. Newton
+    steps; each is one aggregation of five sums.
+    """
+    a, b = 0.0, 1.0
+    w, y, z = F.col("weight"), F.col("label"), F.col("z")
+    for _ in range(steps):
+        p = F.lit(1.0) / (F.exp(-clip(F.lit(a) + z * b, -40.0, 40.0)) + 1.0)
+        e, v = w * (p - y), w * p * (F.lit(1.0) - p)
+        g0, g1, h00, h01, h11 = (x or 0.0 for x in scored.agg(F.sum(e), F.sum(e * z), F.sum(v), F.sum(v * z), F.sum(v * z * z)).first())
+        g1, h11, h00 = g1 + penalty * (b - 1), h11 + penalty, h00 + 1e-12
+        det = h00 * h11 - h01 * h01
+        da, db = (h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det
+        wanted = min(3.0, max(0.0, b - db))
+        if wanted != b - db:  # at a bound the intercept alone is free
+            da = (g0 + h01 * (wanted - b)) / h00
+        da = min(4.0, max(-4.0, da))
+        done = abs(da) + abs(wanted - b) < 1e-10
+        a, b = a - da, wanted
+        if done:
+            break
+    return a, b
+
+
+def segment_status(segments: DataFrame, roles: tuple[str, ...] = ("train", "validation", "holdout"), least: int = 20) -> DataFrame:
+    """One row: rows per segment, and whether each has enough for a study."""
+    counts = segments.agg(*[F.count_if(F.col("role") == r).alias(r) for r in roles])
+    return counts.withColumn("status", F.when(F.least(*roles) < least, "INSUFFICIENT_ELIGIBLE_DATA").otherwise("RESEARCH_REPORT"))
 
 
 def logistic_challenger(train: DataFrame, validation: DataFrame, holdout: DataFrame, features: list[str]) -> DataFrame:
@@ -94,10 +131,8 @@ def logistic_challenger(train: DataFrame, validation: DataFrame, holdout: DataFr
     prep = lambda d: va.transform(d.withColumn("label", (F.col("net_return") > 0).cast("double")))
     fit = LogisticRegression(featuresCol="x", weightCol="weight", regParam=0.05, standardization=False, maxIter=100).fit(prep(train))
     logit = lambda d: fit.transform(prep(d)).withColumn("z", vector_to_array("rawPrediction")[1]).drop("x", "rawPrediction", "probability", "prediction")
-    za = VectorAssembler(inputCols=["z"], outputCol="zx")
-    cal = LogisticRegression(featuresCol="zx", weightCol="weight", maxIter=100).fit(za.transform(logit(validation)))
-    slope = min(3.0, max(0.0, float(cal.coefficients[0])))
-    p = F.lit(1.0) / (F.exp(-clip(F.lit(float(cal.intercept)) + F.col("z") * slope, -40.0, 40.0)) + 1.0)
+    a, b = calibration(materialize(logit(validation).select("z", "label", "weight"), "logits"))
+    p = F.lit(1.0) / (F.exp(-clip(F.lit(a) + F.col("z") * b, -40.0, 40.0)) + 1.0)
     return logit(holdout).withColumn("probability", p).drop("z", "label")
 
 

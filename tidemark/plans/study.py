@@ -193,7 +193,7 @@ def volatility_percentile(spark, sf):
     "decision_feat",
 )
 def decision_components(spark, sf):
-    df = FE.decision_features(V.bars(spark, sf))
+    df = FE.decision_features(V.bars_table(spark, sf))
     return df.select(
         "ticker", "decision_date", "as_of_date", "bars_available",
         *[settled(c, 8).alias(c) for c in FE.COMPONENTS],
@@ -216,7 +216,7 @@ def score_sql(weights: dict[str, float], missing_as_zero: bool = False) -> str:
     "decision_feat",
 )
 def variant_scores(spark, sf):
-    return FE.variant_scores(FE.decision_features(V.bars(spark, sf))).withColumn("score", settled("score", 8))
+    return FE.variant_scores(FE.decision_features(V.bars_table(spark, sf))).withColumn("score", settled("score", 8))
 
 
 @query(
@@ -225,7 +225,7 @@ def variant_scores(spark, sf):
     "decision_feat",
 )
 def study_weighted_score(spark, sf):
-    df = FE.decision_features(V.bars(spark, sf))
+    df = FE.decision_features(V.bars_table(spark, sf))
     return df.select("ticker", "decision_date", settled(FE.weighted_columns(FE.VARIANT_WEIGHTS["balanced"], True), 8).alias("score"))
 
 
@@ -243,7 +243,7 @@ _BAL = FE.VARIANT_WEIGHTS["balanced"]
     "decision_feat",
 )
 def contributions(spark, sf):
-    df = FE.decision_features(V.bars(spark, sf))
+    df = FE.decision_features(V.bars_table(spark, sf))
     # Rounded inputs make near-equal contributions order the same everywhere.
     df = df.select("ticker", "decision_date", *[(settled(F.col(c) * w, 8) / w).alias(c) for c, w in _BAL.items()])
     out = FE.contributions(df, _BAL)

@@ -89,7 +89,7 @@ def export_research(picks: DataFrame, outcomes: DataFrame, path: str) -> DataFra
     parts = []
     for name, d in (("inputs", inputs), ("outcomes", outs)):
         back = spark.read.schema(d.schema).json(f"{path}/{name}")
-        parts.append(content_fingerprint(back, ["row_id"]).select(F.lit(name).alias("part"), "rows", "fingerprint"))
+        parts.append(content_fingerprint(back, d.columns).select(F.lit(name).alias("part"), "rows", "fingerprint"))
     return parts[0].unionByName(parts[1])
 
 
