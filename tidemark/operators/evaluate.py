@@ -132,13 +132,21 @@ def predict(test: DataFrame, thresholds: DataFrame, keys: list[str], score: str
     return test.join(thresholds, keys).withColumn("predicted", hit.cast("int"))
 
 
+def variant_cells(variants: dict[str, dict[str, float]], digits: int = 9) -> Column:
+    """Array of each variant's weighted score, in their order; a missing component adds zero."""
+    return F.array(*[rounded(weighted_columns(w, missing_as_zero=True), digits) for w in variants.values()])
+
+
 def score_variants(rows: DataFrame, variants: dict[str, dict[str, float]], keep: list[str], digits: int = 9) -> DataFrame:
-    """One row per variant with its weighted score; a missing component adds zero."""
-    cells = [
-        F.struct(F.lit(name).alias("variant"), rounded(weighted_columns(w, missing_as_zero=True), digits).alias("score"))
-        for name, w in variants.items()
-    ]
-    return rows.select(*keep, F.explode(F.array(*cells)).alias("v")).select(*keep, "v.variant", "v.score")
+    """One row per variant with its weighted score."""
+    return spread_variants(rows.select(*keep, variant_cells(variants, digits).alias("scores")), variants, keep)
+
+
+def spread_variants(rows: DataFrame, variants: dict[str, dict[str, float]], keep: list[str]) -> DataFrame:
+    """Rows with an array ``scores`` to one row per variant."""
+    names = F.array(*[F.lit(v) for v in variants])
+    out = rows.select(*keep, F.posexplode("scores").alias("nth", "score"))
+    return out.select(*keep, F.get(names, F.col("nth")).alias("variant"), "score")
 
 
 def fold_results(
@@ -147,8 +155,11 @@ def fold_results(
 ) -> DataFrame:
     """(variant, perm, fold): test rows and correct predictions, refit each time."""
     tagged = assign_folds(observations, calendar, splits)
-    rows = permute_labels(tagged, permutations, seed, block)
-    scored = score_variants(rows, variants, ["perm", "fold", "role", "y_perm"])
+    # Scores do not depend on the permutation: they are worked out once, and only
+    # they travel with the shuffled labels.
+    narrow = tagged.select("fold", "role", "decision_date", "ticker", "y", variant_cells(variants).alias("scores"))
+    rows = permute_labels(narrow, permutations, seed, block)
+    scored = spread_variants(rows, variants, ["perm", "fold", "role", "y_perm"])
     keys = ["variant", "perm", "fold"]
     # Fit and prediction depend on scores and labels alone: rows collapse to counts,
     # written once, so the permuted join is not repeated for train and test.

@@ -425,12 +425,12 @@ def make_splits(spark, sf):
     """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS opened, CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 AS INTEGER) AS closed,
     (SELECT count(*) FROM cal WHERE session_date > CAST(o_orderdate AS DATE) AND session_date < CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 AS INTEGER)) AS gap_sessions,
     CAST(o_orderdate AS DATE) >= (SELECT min(session_date) FROM cal) AND CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 AS INTEGER) <= (SELECT max(session_date) FROM cal) AS in_calendar
-    FROM orders WHERE o_custkey % 20 >= 1""",
+    FROM orders""",
     "cal",
 )
 def sessions_between(spark, sf):
     cal = V.calendar(spark, sf)
-    o = V.table(spark, sf, "orders").filter(F.col("o_custkey") % 20 >= 1).select(
+    o = V.table(spark, sf, "orders").select(
         "o_orderkey", F.to_date("o_orderdate").alias("opened"),
         F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 20).cast("int")).alias("closed"),
     )
@@ -532,7 +532,7 @@ def assessment_dates(spark, sf):
 
 # ---- evaluation ------------------------------------------------------------
 
-PERMS = 6
+PERMS = 20
 fragment(
     "slots",
     f"""SELECT *, CASE WHEN perm = 0 THEN old_start ELSE coalesce(sum(n) OVER (PARTITION BY perm, fold, role ORDER BY key, block, decision_date
@@ -552,7 +552,7 @@ fragment(
   USING (perm, fold, role, pos)""",
     "placed slots",
 )
-STUDY_VARIANTS = {k: FE.VARIANT_WEIGHTS[k] for k in ("momentum", "reversion")}
+STUDY_VARIANTS = FE.VARIANT_WEIGHTS
 fragment(
     "scored",
     " UNION ALL ".join(f"SELECT '{v}' AS variant, perm, fold, role, y_perm, {S(score_sql(w), 9)} AS score FROM permuted" for v, w in STUDY_VARIANTS.items()),
