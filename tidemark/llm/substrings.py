@@ -2,17 +2,18 @@
 
 A word goes if a window of 13 words that covers it also starts in a document
 with a smaller id. Windows are dealt by their minimiser, the least hash among
-their runs of four words; consecutive windows that share it travel as one
+their word pairs; consecutive windows that share it travel as one
 packed string of words, and each bucket sorts its windows and finds the least
 document of each. Windows are compared word by word where their hashes agree.
 
-At scale. A batch settles its own repeats first: only a window's first document
-in the batch goes on, so a passage in many documents costs one window a batch.
-A minimiser that still gathers many windows (the edges of a common passage, in
-ever new surroundings) is split by the window's own hash, into as many buckets
-as its count asks; these counts come from a first pass over all documents and
-name at most ``HOT_LIMIT`` minimisers. Packed strings use a word list per row
-and are compressed. Words are told apart by 48-bit hashes.
+At scale. A slice of a batch settles its own repeats first: only a window's
+first document in the slice goes on, so a passage in many documents costs one
+window a slice. A minimiser that still gathers many windows (a common pair, the
+edges of a common passage) is split by the window's own hash, into as many
+buckets as its count asks. These counts come from a first pass over all
+documents, name at most ``LIMIT`` minimisers, and come with the ``LIMIT``
+commonest words, which packed strings write in two bytes; other words take six,
+the 48-bit hash by which words are told apart.
 
 Defined results: rows without doc_id are left out; null, empty and blank texts
 have no words; rows that share a doc_id are one document to others and are
@@ -30,12 +31,15 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tidemark.session import materialize
+
 from .common import BLANKS, text_megabytes, words
-from .jaccard import mixed, rolled
+from .jaccard import mixed, rolled, sliced
 
-WINDOW, MINIMISER = 13, 4
-BUCKET_MB = 24
-HOT_IN_BATCH, HOT_WINDOWS, HOT_LIMIT = 64, 500_000, 65_536
+WINDOW, MINIMISER = 13, 2
+BUCKET_MB, SLICE = 12, 3_000
+HOT_IN_SLICE, HOT_WINDOWS, COMMON_IN_SLICE, LIMIT = 64, 200_000, 6, 65_535
+RARE = 65_535
 LOW48 = np.uint64((1 << 48) - 1)
 
 
@@ -86,13 +90,30 @@ def _spread_runs(row: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.nda
     return row[cut], start[cut], np.diff(np.r_[cut, len(row)])
 
 
-class Batch:
-    """The windows of one batch that have to leave it, and the repeats it can settle."""
+class Common:
+    """Two-byte codes of the commonest words; every other word has the code RARE."""
+
+    def __init__(self, words: np.ndarray):
+        self.words = np.zeros(RARE + 1, np.uint64)
+        self.words[: len(words)] = words
+        self.order = np.argsort(words).astype(np.uint16)
+        self.sorted = words[self.order]
+
+    def codes(self, flat: np.ndarray) -> np.ndarray:
+        if not len(self.sorted):
+            return np.full(len(flat), RARE, np.uint16)
+        at = np.minimum(np.searchsorted(self.sorted, flat), len(self.sorted) - 1)
+        return np.where(self.sorted[at] == flat, self.order[at], np.uint16(RARE))
+
+
+class Slice:
+    """The windows of one slice that have to leave it, and the repeats it can settle."""
 
     def __init__(self, batch: pa.RecordBatch, window: int, hot: dict[int, int]):
         ids, version = batch.column("doc_id").to_numpy(), batch.column("version").to_numpy()
         offsets = batch.column("h").offsets.to_numpy().astype(np.int64)
-        self.flat = flat = batch.column("h").values.to_numpy(zero_copy_only=False).view(np.uint64) & LOW48
+        self.flat = flat = batch.column("h").values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].view(np.uint64) & LOW48
+        offsets = offsets - offsets[0]
         self.ids, self.version, self.offsets = ids, version, offsets
         count = np.maximum(np.diff(offsets) - window + 1, 0)
         at, row = _ranges(offsets[:-1], count), np.repeat(np.arange(len(ids)), count)
@@ -115,7 +136,7 @@ class Batch:
             salt = rolled(flat, window)[at] % np.where(found, ways, np.uint64(1))
             self.key = mixed(least + salt * np.uint64(0x9E3779B97F4A7C15))
 
-    def super_kmers(self, bits: int) -> Iterator[tuple[int, bytes]]:
+    def super_kmers(self, bits: int, common: Common) -> Iterator[tuple[int, bytes]]:
         """(bucket, packed): per bucket the words, rows, starts and window counts of its super-k-mers."""
         window = WINDOW
         at, row, key = self.at, self.row, self.key
@@ -123,6 +144,7 @@ class Batch:
             return
         cut = np.flatnonzero(np.r_[True, (at[1:] != at[:-1] + 1) | (row[1:] != row[:-1]) | (key[1:] != key[:-1])])
         count = np.diff(np.r_[cut, len(at)])
+        code = common.codes(self.flat)
         bucket = (mixed(key[cut]) >> np.uint64(64 - bits)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         edges = np.searchsorted(bucket[order], np.arange((1 << bits) + 1))
@@ -131,27 +153,23 @@ class Batch:
             if not len(own):
                 continue
             begin, n = at[cut[own]], count[own]
-            text = self.flat[_ranges(begin, n + window - 1)]
-            listed, code, often = np.unique(text, return_inverse=True, return_counts=True)
-            rank = np.argsort(-often, kind="stable")
-            place = np.empty(len(rank), np.uint32)
-            place[rank] = np.arange(len(rank))
-            code = place[code].view(np.uint8).reshape(-1, 4)
-            planes = [np.ascontiguousarray(code[:, j]) for j in range(2 if len(rank) <= 65536 else 4)]
-            list48 = np.ascontiguousarray(listed[rank].view(np.uint8).reshape(-1, 8)[:, :6])
+            text = _ranges(begin, n + window - 1)
+            coded, raw = code[text], self.flat[text[code[text] == RARE]]
+            planes = [np.ascontiguousarray(coded.view(np.uint8).reshape(-1, 2)[:, j]) for j in range(2)]
+            rare = np.ascontiguousarray(raw.view(np.uint8).reshape(-1, 8)[:, :6])
             rows = row[cut[own]]
             used, nth = np.unique(rows, return_inverse=True)
-            yield k, _squeeze(list48, planes, self.ids[used], self.version[used], np.diff(nth, prepend=0).astype(np.int32), (begin - self.offsets[rows]).astype(np.int32), n.astype(np.uint16 if n.max() < 65536 else np.int32))
+            yield k, _squeeze(rare, planes, self.ids[used], self.version[used], np.diff(nth, prepend=0).astype(np.int32), (begin - self.offsets[rows]).astype(np.int32), n.astype(np.uint16 if n.max() < 65536 else np.int32))
 
 
-def _opened(packed: bytes) -> tuple:
-    list48, planes, ids, version, nth, start, n = _unsqueeze(packed)
-    listed = np.zeros((len(list48), 8), np.uint8)
-    listed[:, :6] = list48
-    code = np.zeros((len(planes[0]), 4), np.uint8)
-    for j, p in enumerate(planes):
-        code[:, j] = p
-    return listed.view(np.uint64).ravel()[code.view(np.uint32).ravel()], ids, version, np.cumsum(nth), start.astype(np.int64), n.astype(np.int64)
+def _opened(packed: bytes, common: Common) -> tuple:
+    rare, planes, ids, version, nth, start, n = _unsqueeze(packed)
+    code = np.stack(planes, axis=1).view(np.uint16).ravel()
+    wide = np.zeros((len(rare), 8), np.uint8)
+    wide[:, :6] = rare
+    flat = common.words[code]
+    flat[code == RARE] = wide.view(np.uint64).ravel()
+    return flat, ids, version, np.cumsum(nth), start.astype(np.int64), n.astype(np.int64)
 
 
 def _span_rows(ids: np.ndarray, version: np.ndarray, row: np.ndarray, start: np.ndarray) -> pd.DataFrame:
@@ -163,8 +181,8 @@ def _span_rows(ids: np.ndarray, version: np.ndarray, row: np.ndarray, start: np.
     return pd.DataFrame({"doc_id": ids[row[cut]], "version": version[row[cut]], "spans": [pair[a:b].tobytes() for a, b in zip(cut, ends)]})
 
 
-def repeated_windows(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: the windows that start in a smaller document too, with what batches had settled."""
+def repeated_windows(rows: pd.DataFrame, common: Common) -> pd.DataFrame:
+    """One bucket: the windows that start in a smaller document too, with what slices had settled."""
     out, flats, bases, ids, versions, starts = [], [], [], [], [], []
     doc_of, total = [], 0
     for packed, settled in zip(rows["packed"], rows["settled"]):
@@ -173,7 +191,7 @@ def repeated_windows(rows: pd.DataFrame) -> pd.DataFrame:
             out.append(_span_rows(own_ids, own_versions, row, start))
         if packed is None:
             continue
-        flat, own_ids, own_versions, nth, start, n = _opened(packed)
+        flat, own_ids, own_versions, nth, start, n = _opened(packed, common)
         size = n + WINDOW - 1
         bases.append(_ranges(np.r_[0, np.cumsum(size)[:-1]], n) + total)
         starts.append(_ranges(start, n))
@@ -197,32 +215,37 @@ def _hashed(docs: DataFrame) -> DataFrame:
     return docs.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("version"), F.transform(split, lambda w: F.xxhash64(w)).alias("h"))
 
 
-def hot_minimisers(docs: DataFrame, hot_windows: int = HOT_WINDOWS, in_batch: int = HOT_IN_BATCH) -> dict[int, int]:
-    """Minimisers of at least ``hot_windows`` windows after batches settled theirs -> how many buckets to split each into.
+def survey(docs: DataFrame, hot_windows: int = HOT_WINDOWS, in_slice: int = HOT_IN_SLICE) -> tuple[dict[int, int], Common]:
+    """What a first pass over all documents tells: minimisers to split, and into how many buckets; the commonest words.
 
-    Counts below ``in_batch`` in one batch are not added up.
+    A minimiser is split if at least ``hot_windows`` windows have it after slices
+    settled theirs; counts below ``in_slice`` in one slice are not added up, for
+    words below ``COMMON_IN_SLICE``. Neither changes what is found.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            names, counts = np.unique(Batch(b, WINDOW, {}).minimiser, return_counts=True)
-            many = counts >= in_batch
-            yield pa.RecordBatch.from_arrays([pa.array(names[many].view(np.int64)), pa.array(counts[many])], names=["minimiser", "n"])
+        for b in sliced(batches, SLICE):
+            own = Slice(b, WINDOW, {})
+            for kind, values, least in ((0, own.minimiser, in_slice), (1, own.flat, COMMON_IN_SLICE)):
+                names, counts = np.unique(values, return_counts=True)
+                many = counts >= least
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(many.sum(), kind, np.int32)), pa.array(names[many].view(np.int64)), pa.array(counts[many])], names=["kind", "name", "n"])
 
-    counted = _hashed(docs).mapInArrow(run, "minimiser long, n long").groupBy("minimiser").agg(F.sum("n").alias("n"))
-    top = counted.where(F.col("n") >= hot_windows).orderBy(F.desc("n"), "minimiser").limit(HOT_LIMIT).collect()
-    return {r["minimiser"] % (1 << 64): -(-int(r["n"]) * 2 // hot_windows) for r in top}
+    counted = _hashed(docs).mapInArrow(run, "kind int, name long, n long").groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    counted = materialize(counted.where((F.col("kind") == 1) | (F.col("n") >= hot_windows)), "survey")
+    top = lambda kind: counted.where(F.col("kind") == kind).orderBy(F.desc("n"), "name").limit(LIMIT).collect()
+    return {r["name"] % (1 << 64): -(-int(r["n"]) * 2 // hot_windows) for r in top(0)}, Common(np.array([r["name"] for r in top(1)], np.int64).view(np.uint64))
 
 
-def repeated_spans(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int = HOT_WINDOWS, in_slice: int = HOT_IN_SLICE) -> DataFrame:
     """(doc_id, version, spans): the windows of each row that a smaller document has too."""
     bits = max(3, int(np.ceil(np.log2(max(1.0, text_megabytes(docs, "text") / bucket_mb)))))
-    hot = hot_minimisers(docs, hot_windows)
+    hot, common = survey(docs, hot_windows, in_slice)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            own = Batch(b, WINDOW, hot)
-            rows = [(k, packed, None) for k, packed in own.super_kmers(bits)]
+        for b in sliced(batches, SLICE):
+            own = Slice(b, WINDOW, hot)
+            rows = [(k, packed, None) for k, packed in own.super_kmers(bits, common)]
             row, start = own.settled
             if len(row):
                 spot = int.from_bytes(hashlib.blake2b(own.ids.tobytes(), digest_size=4).digest()) % (1 << bits)
@@ -230,12 +253,12 @@ def repeated_spans(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: i
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "packed", "settled"])
 
     dealt = _hashed(docs).mapInArrow(run, "bucket int, packed binary, settled binary")
-    return dealt.groupBy("bucket").applyInPandas(lambda rows: repeated_windows(rows), "doc_id long, version long, spans binary")
+    return dealt.groupBy("bucket").applyInPandas(lambda rows: repeated_windows(rows, common), "doc_id long, version long, spans binary")
 
 
-def deduplicated(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def deduplicated(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int = HOT_WINDOWS, in_slice: int = HOT_IN_SLICE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every document: ``kept`` is what is left, joined by one space."""
-    spans = repeated_spans(docs, bucket_mb, hot_windows).groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans"))
+    spans = repeated_spans(docs, bucket_mb, hot_windows, in_slice).groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans"))
     own = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("version")).join(spans, ["doc_id", "version"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
