@@ -172,23 +172,40 @@ def _opened(packed: bytes, common: Common) -> tuple:
     return flat, ids, version, np.cumsum(nth), start.astype(np.int64), n.astype(np.int64)
 
 
-def _span_rows(ids: np.ndarray, version: np.ndarray, row: np.ndarray, start: np.ndarray) -> pd.DataFrame:
-    """(doc_id, version, spans): per row, packed (start, count) pairs of windows."""
+def _span_parts(ids: np.ndarray, version: np.ndarray, row: np.ndarray, start: np.ndarray, parts: int) -> list[tuple[int, bytes]]:
+    """(part, packed): runs of windows per part of the documents, as rows' ids and versions, and row, start and count of each run."""
     row, start, count = _spread_runs(row, start)
-    pair = np.stack([start, count], axis=1).astype(np.int32) if len(row) else np.empty((0, 2), np.int32)
-    cut = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else np.empty(0, np.int64)
-    ends = np.r_[cut[1:], len(row)]
-    return pd.DataFrame({"doc_id": ids[row[cut]], "version": version[row[cut]], "spans": [pair[a:b].tobytes() for a, b in zip(cut, ends)]})
+    part = ids[row] % parts
+    order = np.argsort(part, kind="stable")
+    edges = np.flatnonzero(np.r_[True, np.diff(part[order]) != 0]) if len(order) else np.empty(0, np.int64)
+    out = []
+    for a, b in zip(edges, np.r_[edges[1:], len(order)]):
+        own = order[a:b]
+        used, nth = np.unique(row[own], return_inverse=True)
+        out.append((int(part[own[0]]), _squeeze(ids[used], version[used], nth.astype(np.int32), start[own].astype(np.int32), count[own].astype(np.int32))))
+    return out
+
+
+def spans_of_part(rows: pd.DataFrame) -> pd.DataFrame:
+    """(doc_id, version, spans): packed (start, count) pairs of windows, one row per document row."""
+    opened = [_unsqueeze(p) for p in rows["packed"]]
+    doc, version = (np.concatenate([o[i][o[2]] for o in opened]) for i in (0, 1))
+    start, count = (np.concatenate([o[i] for o in opened]) for i in (3, 4))
+    order = np.lexsort((start, version, doc))
+    doc, version = doc[order], version[order]
+    pair = np.stack([start[order], count[order]], axis=1).astype(np.int32)
+    cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (version[1:] != version[:-1])])
+    return pd.DataFrame({"doc_id": doc[cut], "version": version[cut], "spans": [pair[a:b].tobytes() for a, b in zip(cut, np.r_[cut[1:], len(doc)])]})
 
 
-def repeated_windows(rows: pd.DataFrame, common: Common) -> pd.DataFrame:
-    """One bucket: the windows that start in a smaller document too, with what slices had settled."""
+def repeated_windows(rows: pd.DataFrame, common: Common, parts: int) -> pd.DataFrame:
+    """One bucket: the windows that start in a smaller document too, with what slices had settled; a row per part of the documents."""
     out, flats, bases, ids, versions, starts = [], [], [], [], [], []
     doc_of, total = [], 0
     for packed, settled in zip(rows["packed"], rows["settled"]):
         if settled is not None:
             own_ids, own_versions, row, start = _unsqueeze(settled)
-            out.append(_span_rows(own_ids, own_versions, row, start))
+            out += _span_parts(own_ids, own_versions, row, start, parts)
         if packed is None:
             continue
         flat, own_ids, own_versions, nth, start, n = _opened(packed, common)
@@ -206,8 +223,8 @@ def repeated_windows(rows: pd.DataFrame, common: Common) -> pd.DataFrame:
         again = least_documents(flat, at, doc[row], WINDOW) != doc[row]
         row, start = row[again], start[again]
         order = np.lexsort((start, row))
-        out.append(_span_rows(doc, version, row[order], start[order]))
-    return pd.concat(out) if out else pd.DataFrame({"doc_id": [], "version": [], "spans": []})
+        out += _span_parts(doc, version, row[order], start[order], parts)
+    return pd.DataFrame(out, columns=["part", "packed"])
 
 
 def _hashed(docs: DataFrame) -> DataFrame:
@@ -238,7 +255,7 @@ def survey(docs: DataFrame, hot_windows: int = HOT_WINDOWS, in_slice: int = HOT_
 
 
 def repeated_spans(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int = HOT_WINDOWS, in_slice: int = HOT_IN_SLICE) -> DataFrame:
-    """(doc_id, version, spans): the windows of each row that a smaller document has too."""
+    """(doc_id, version, spans): the windows of each row that a smaller document has too, a row each."""
     bits = max(3, int(np.ceil(np.log2(max(1.0, text_megabytes(docs, "text") / bucket_mb)))))
     hot, common = survey(docs, hot_windows, in_slice)
 
@@ -253,12 +270,14 @@ def repeated_spans(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: i
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "packed", "settled"])
 
     dealt = _hashed(docs).mapInArrow(run, "bucket int, packed binary, settled binary")
-    return dealt.groupBy("bucket").applyInPandas(lambda rows: repeated_windows(rows, common), "doc_id long, version long, spans binary")
+    parts = next(p for p in range(1 << bits, 1 << (bits + 2)) if all(p % q for q in range(2, int(p**0.5) + 1)))
+    found = dealt.groupBy("bucket").applyInPandas(lambda rows: repeated_windows(rows, common, parts), "part long, packed binary")
+    return found.groupBy("part").applyInPandas(lambda rows: spans_of_part(rows), "doc_id long, version long, spans binary")
 
 
 def deduplicated(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int = HOT_WINDOWS, in_slice: int = HOT_IN_SLICE) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every document: ``kept`` is what is left, joined by one space."""
-    spans = repeated_spans(docs, bucket_mb, hot_windows, in_slice).groupBy("doc_id", "version").agg(F.collect_list("spans").alias("spans"))
+    spans = repeated_spans(docs, bucket_mb, hot_windows, in_slice)
     own = docs.where("doc_id is not null").select("doc_id", "text", F.xxhash64("text").alias("version")).join(spans, ["doc_id", "version"], "left")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -268,7 +287,7 @@ def deduplicated(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int
                 own = (text or "").encode("utf-8", "surrogatepass").split()
                 n = len(own)
                 if found is not None:
-                    pair = np.frombuffer(b"".join(found), np.int32).reshape(-1, 2)
+                    pair = np.frombuffer(found, np.int32).reshape(-1, 2)
                     change = np.zeros(n + 1, np.int64)
                     np.add.at(change, pair[:, 0], 1)
                     np.add.at(change, pair[:, 0] + pair[:, 1] + WINDOW - 1, -1)
@@ -279,9 +298,9 @@ def deduplicated(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int
     return own.select("doc_id", "text", "spans").mapInPandas(run, "doc_id long, n_words long, n_removed long, kept string")
 
 
-def substring_digests(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int = HOT_WINDOWS) -> DataFrame:
+def substring_digests(docs: DataFrame, bucket_mb: float = BUCKET_MB, hot_windows: int = HOT_WINDOWS, in_slice: int = HOT_IN_SLICE) -> DataFrame:
     """Contract of op6: (doc_id, n_words, n_removed, kept_sha256)."""
-    return deduplicated(docs, bucket_mb, hot_windows).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+    return deduplicated(docs, bucket_mb, hot_windows, in_slice).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 SQL = """
