@@ -14,8 +14,9 @@ its greatest possible overlap, common bits plus that slack, is below what 0.75
 needs. Pairs that are left are compared exactly, unless they are already
 connected: components are the result, so a group of copies costs one link each.
 
-At scale. Shingles travel once, as five bytes in rows packed per (batch,
-bucket); those frequent in a batch go once per batch. Trees larger than
+At scale. Shingles travel once, as five bytes in rows packed per (slice of a
+batch, bucket), and back packed per (bucket, part of the nodes); those frequent
+in a slice go once per slice. Trees larger than
 ``UNIT`` shingles are split into chunks: chunks link inside, their
 representatives link next, and chunk pairs are then traversed only where they
 still hold different components. Shingles are told apart by 64-bit hashes when
@@ -43,7 +44,8 @@ from .common import BLANKS, broadcast_if_small, text_megabytes, words
 from .components import components
 
 SHINGLE, PERCENT = 5, 75
-CAP = 256
+CAP = 64
+SLICE = 2_000
 UNIT = 2_000_000
 BUCKET_MB = 24
 FANOUT = 8
@@ -75,6 +77,7 @@ def shingle_sets(batch: pa.RecordBatch, k: int = SHINGLE) -> Iterator[tuple[int,
     """(doc_id, sorted distinct shingle hashes) of each document."""
     column = batch.column("h")
     offsets, flat = column.offsets.to_numpy(), column.values.to_numpy(zero_copy_only=False).view(np.uint64)
+    flat, offsets = flat[offsets[0] : offsets[-1]], offsets - offsets[0]
     hashes = rolled(flat, k) if len(flat) >= k else np.empty(0, np.uint64)
     for doc, a, b in zip(batch.column("doc_id").to_pylist(), offsets, offsets[1:]):
         if b - a >= k:
@@ -85,11 +88,18 @@ def shingle_sets(batch: pa.RecordBatch, k: int = SHINGLE) -> Iterator[tuple[int,
             yield doc, np.empty(0, np.uint64)
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, to bound the arrays made of each."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, n) of each document's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             rows = [(d, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s)) for d, s in shingle_sets(b)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "digest", "n"])
 
@@ -124,7 +134,7 @@ def packed_shingles(node_words: DataFrame, bits: int) -> DataFrame:
     shift = np.uint64(64 - bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in sliced(batches):
             docs, sets = [], []
             for d, s in shingle_sets(b):
                 docs.append(d)
@@ -165,40 +175,57 @@ def _unpack(rows: pd.DataFrame, prefix: str, tokens: str) -> tuple[np.ndarray, n
     return np.repeat(nodes, counts), _from_five(b"".join(rows[tokens]))
 
 
-def shared_shingles(rows: pd.DataFrame) -> pd.DataFrame:
-    """One bucket: (node, bucket, tokens, held), the shingles that several nodes hold and by how many, up to CAP."""
+SHARED = "part long, bucket int, nodes binary, counts binary, tokens binary, held binary"
+
+
+def shared_shingles(rows: pd.DataFrame, parts: int) -> pd.DataFrame:
+    """One bucket: the shingles that several nodes hold and by how many, up to CAP; a row per part of the nodes."""
     node, token = _unpack(rows, "", "tokens")
     values, inverse, counts = np.unique(token, return_inverse=True, return_counts=True)
     full = np.unique(_from_five(b"".join(rows["full"])))
-    counts = np.where(np.isin(values, full), CAP, np.minimum(counts, CAP))
-    held = counts[inverse] if len(token) else np.empty(0, np.int64)
+    counts = np.where(np.isin(values, full), CAP, np.minimum(counts, CAP)).astype(np.uint16)
+    held = counts[inverse] if len(token) else np.empty(0, np.uint16)
     keep = held >= 2
     more_node, more = _unpack(rows, "known_", "known")
-    node, token, held = np.r_[node[keep], more_node], np.r_[token[keep], more], np.r_[held[keep], np.full(len(more), CAP)]
+    node, token, held = np.r_[node[keep], more_node], np.r_[token[keep], more], np.r_[held[keep], np.full(len(more), CAP, np.uint16)]
+    part = node % parts
+    order = np.lexsort((node, part))
+    node, token, held, part = node[order], token[order], held[order], part[order]
+    out = []
+    for a, n in zip(*_runs(part)):
+        own = slice(a, a + n)
+        starts, lengths = _runs(node[own])
+        out.append((int(part[a]), int(rows["bucket"].iloc[0]), node[own][starts].tobytes(), lengths.astype(np.int32).tobytes(), _five(token[own]).tobytes(), held[own].tobytes()))
+    return pd.DataFrame(out, columns=[c.split()[0] for c in SHARED.split(", ")])
+
+
+def _linkable_part(nodes: pd.DataFrame, shared: pd.DataFrame) -> pd.DataFrame:
+    """The nodes of one part whose shared shingles suffice, with their rarest as prefix."""
+    size = dict(zip(nodes["node"], nodes["n"]))
+    node, token = _unpack(shared, "", "tokens")
+    counts = np.frombuffer(b"".join(shared["counts"]), np.int32)
+    per_row = [len(c) // 4 for c in shared["counts"]]
+    token |= np.repeat(np.repeat(shared["bucket"].to_numpy(np.uint64), per_row), counts) << np.uint64(40)
+    held = np.frombuffer(b"".join(shared["held"]), np.uint16)
     order = np.argsort(node, kind="stable")
-    node, token, held = node[order], token[order], held[order].astype(np.uint16)
-    starts, lengths = _runs(node)
-    ends = starts + lengths
-    raw = _five(token)
-    return pd.DataFrame({"node": node[starts], "bucket": np.int32(rows["bucket"].iloc[0]), "tokens": [raw[a:b].tobytes() for a, b in zip(starts, ends)], "held": [held[a:b].tobytes() for a, b in zip(starts, ends)]})
-
-
-def linkable(nodes: DataFrame, shared: DataFrame) -> DataFrame:
-    """(node, n, tokens, prefix) of the nodes whose shared shingles suffice; tokens and prefix as packed longs."""
-    per_node = shared.groupBy("node").agg(F.collect_list(F.struct("bucket", "tokens", "held")).alias("parts"), F.sum(F.octet_length("held") / 2).alias("s")).join(nodes, "node").where(f"100 * s >= {PERCENT} * n")
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for node, n, parts in zip(b["node"], b["n"], b["parts"]):
-                token = np.concatenate([_from_five(p["tokens"]) | (np.uint64(p["bucket"]) << np.uint64(40)) for p in parts])
-                held = np.concatenate([np.frombuffer(p["held"], np.uint16) for p in parts])
-                least = -(-PERCENT * int(n) // 100)
-                first = np.lexsort((token, held))[: len(token) - least + 1]
-                rows.append((node, n, np.sort(token).tobytes(), token[first].astype(np.int64).tolist()))
-            yield pd.DataFrame(rows, columns=["node", "n", "tokens", "prefix"])
-
-    return per_node.select("node", "n", "parts").mapInPandas(run, "node long, n long, tokens binary, prefix array<long>")
+    node, token, held = node[order], token[order], held[order]
+    rows = []
+    for a, s in zip(*_runs(node)):
+        n = int(size[int(node[a])])
+        least = -(-PERCENT * n // 100)
+        if s >= least:
+            own, how = token[a : a + s], held[a : a + s]
+            rows.append((int(node[a]), n, np.sort(own).tobytes(), own[np.lexsort((own, how))[: s - least + 1]].astype(np.int64).tolist()))
+    return pd.DataFrame(rows, columns=["node", "n", "tokens", "prefix"])
+
+
+def linkable(nodes: DataFrame, packed: DataFrame, bits: int) -> DataFrame:
+    """(node, n, tokens, prefix) of the nodes whose shared shingles suffice; tokens as packed longs."""
+    parts = next(p for p in range(1 << bits, 1 << (bits + 2)) if all(p % q for q in range(2, int(p**0.5) + 1)))
+    shared = packed.groupBy("bucket").applyInPandas(lambda rows: shared_shingles(rows, parts), SHARED)
+    own = nodes.withColumn("part", F.pmod("node", F.lit(parts)))
+    met = own.groupBy("part").cogroup(shared.groupBy("part"))
+    return met.applyInPandas(lambda a, b: _linkable_part(a, b), "node long, n long, tokens binary, prefix array<long>")
 
 
 def forest(nodes: DataFrame) -> DataFrame:
@@ -333,8 +360,7 @@ def jaccard_components(docs: DataFrame, unit: int = UNIT, bucket_mb: float = BUC
     own = docs.where("doc_id is not null").select("doc_id", "text").join(broadcast_if_small(classes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     bits = max(3, int(np.ceil(np.log2(max(1.0, text_megabytes(docs, "text") / bucket_mb)))))
     packed = packed_shingles(hashed_words(own), bits)
-    shared = packed.groupBy("bucket").applyInPandas(lambda rows: shared_shingles(rows), "node long, bucket int, tokens binary, held binary")
-    nodes = materialize(linkable(classes.select("node", "n"), shared), "linkable")
+    nodes = materialize(linkable(classes.select("node", "n"), packed, bits), "linkable")
     placed = nodes.select("node", "n", "tokens").dropDuplicates(["node"]).join(forest(nodes), "node")
     known = components(forest_links(placed, unit))
     members = sets.join(classes.select("digest", "node"), "digest", "left")
