@@ -16,8 +16,8 @@ connected: components are the result, so a group of copies costs one link each.
 
 At scale. Shingles travel once, as five bytes in rows packed per (slice of a
 batch, bucket), and back packed per (bucket, part of the nodes); those frequent
-in a slice go once per slice. Trees larger than
-``UNIT`` shingles are split into chunks: chunks link inside, their
+in a slice go once per slice. Trees of more
+than ``UNIT`` shingles or ``MOST`` nodes are split into chunks: chunks link inside, their
 representatives link next, and chunk pairs are then traversed only where they
 still hold different components. Shingles are told apart by 64-bit hashes when
 sets are counted, and by 40 bits and their bucket in intersections.
@@ -46,7 +46,7 @@ from .components import components
 SHINGLE, PERCENT = 5, 75
 CAP = 64
 SLICE = 2_000
-UNIT = 2_000_000
+UNIT, MOST = 2_000_000, 2_000
 BUCKET_MB = 24
 FANOUT = 8
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -317,7 +317,7 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
 
 def _chunked(placed: DataFrame, unit: int) -> DataFrame:
     """``placed`` with chunks (how many its cluster needs) and chunk."""
-    need = placed.groupBy("cluster").agg(F.ceil(F.sum("n") / unit).cast("int").alias("chunks"))
+    need = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / unit), F.ceil(F.count("*") / MOST)).cast("int").alias("chunks"))
     return placed.join(need, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
 
 
@@ -365,3 +365,16 @@ def jaccard_components(docs: DataFrame, unit: int = UNIT, bucket_mb: float = BUC
     known = components(forest_links(placed, unit))
     members = sets.join(classes.select("digest", "node"), "digest", "left")
     return members.join(known, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "node", "doc_id").alias("component_id"))
+
+
+SQL = """
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents WHERE doc_id IS NOT NULL),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n n1 ON x = n1.doc_id JOIN n n2 ON y = n2.doc_id WHERE 100 * c >= 75 * (n1.n + n2.n - c)),
+e AS (SELECT x AS a, y AS b FROM l UNION SELECT y, x FROM l),
+r AS (SELECT a AS node, a AS seen FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a),
+m AS (SELECT node, min(seen) AS component FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN m ON m.node = d.doc_id
+"""

@@ -1,7 +1,8 @@
 """Personal data: every detected entity is replaced by a keyed surrogate of its own kind and shape.
 
-DataFrame operations only. One pattern with a group per kind finds entities; a
-text is rebuilt from the pieces between them. A surrogate depends on the key,
+DataFrame operations only. One pattern finds entities, and only texts with a
+digit, an @ or a title are searched by it; their form tells the kind. A text is
+rebuilt from the pieces between them. A surrogate depends on the key,
 the kind and the entity's canonical form alone, so an entity gets the same
 replacement wherever it appears and however it is written, without a lookup.
 Only where two entities would share a surrogate, or a surrogate equals an
@@ -53,8 +54,12 @@ KINDS = {
     "woman": _titled(FEMALE),
     "person": _titled(OTHER),
 }
-PATTERN = "|".join(f"({p})" for p in KINDS.values())
 NAMES = ("man", "woman", "person")
+#: The pattern for texts without titles, and with them; the latter has a group for each kind of name.
+PLAIN = "(?=[0-9A-Za-z._%+(-])(?:" + "|".join(p for k, p in KINDS.items() if k not in NAMES) + ")"
+PATTERN = PLAIN + "|" + "|".join(f"({KINDS[k]})" for k in NAMES)
+MARKS = "[0-9@]"
+TITLES = rf"(?<![\p{{L}}\d])(?=[\p{{Lu}}гп])(?:{MALE}|{FEMALE}|{OTHER})\.?\x20\p{{Lu}}"
 #: (vowels, consonants, endings of men, of women) of each script that names are made in.
 SCRIPTS = {
     "latin": ("aeiou", "bcdfghklmnprstvz", "nrsk", "aea"),
@@ -68,18 +73,37 @@ def _let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
+def _searched(text: Column, found, none: Column) -> Column:
+    """found(pattern) with the pattern that the text needs, or ``none``."""
+    return F.when(text.rlike(TITLES), found(PATTERN)).when(text.rlike(MARKS), found(PLAIN)).otherwise(none)
+
+
+def _form(value: Column) -> Column:
+    """The kind of an entity that is no name."""
+    return (
+        F.when(value.contains("@"), "email").when(value.rlike("^(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}$"), "mac").when(value.rlike("^[A-Z]{2}"), "iban")
+        .when(value.rlike(r"^\d+\.\d+\.\d+\.\d+$"), "address").when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(value.rlike(r"^[+(]|^\d{3}[.-]\d{3}[.-]\d{4}$"), "phone").otherwise("card")
+    )
+
+
 def entities(text: Column) -> Column:
     """Array of (kind, value) in text order."""
-    groups = [F.regexp_extract_all(text, F.lit(PATTERN), F.lit(i + 1)).alias(k) for i, k in enumerate(KINDS)]
 
-    def told(m: Column) -> Column:
-        kind = F.lit(None).cast("string")
-        for k in reversed(KINDS):
-            kind = F.when(m[k] != "", F.lit(k)).otherwise(kind)
-        return F.struct(kind.alias("kind"), F.concat(*[m[k] for k in KINDS]).alias("value"))
+    def found(pattern: str) -> Column:
+        every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        if pattern == PLAIN:
+            return F.transform(every, lambda v: F.struct(_form(v).alias("kind"), v.alias("value")))
+        groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(k) for i, k in enumerate(NAMES)]
+
+        def told(m: Column) -> Column:
+            kind = _form(m.value)
+            for k in NAMES:
+                kind = F.when(m[k] != "", F.lit(k)).otherwise(kind)
+            return F.struct(kind.alias("kind"), m.value.alias("value"))
+
+        return F.transform(F.arrays_zip(every.alias("value"), *groups), told)
 
-    none = F.array().cast("array<struct<kind:string,value:string>>")
-    return F.when(text.rlike(PATTERN), F.transform(F.arrays_zip(*groups), told)).otherwise(none)
+    return _searched(text, found, F.array().cast("array<struct<kind:string,value:string>>"))
 
 
 def _country(value: Column) -> Column:
@@ -263,7 +287,7 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFr
         return surrogate(e.kind, e.value, taken, key)
 
     held = held.withColumn("_made", F.transform("_found", replaced))
-    pieces = F.split(whole, PATTERN, -1)
+    pieces = _searched(whole, lambda pattern: F.split(whole, pattern, -1), F.array(whole))
     rebuilt = F.array_join(F.flatten(F.zip_with(pieces, "_made", lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
     out = held.withColumn("n_entities", F.size("_found").cast("long"))
     return out.withColumn(text, F.when(F.size("_found") > 0, rebuilt).otherwise(F.col(text))).drop("_draws", "_found", "_made")

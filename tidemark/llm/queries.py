@@ -57,4 +57,4 @@ def all_queries():
 
 
 def all_oracles():
-    return {"op1_decontaminate": decontaminate.SQL, "op6_substrings": substrings.SQL, "op8_topk": topk.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op2_jaccard": jaccard.SQL, "op6_substrings": substrings.SQL, "op8_topk": topk.SQL}
