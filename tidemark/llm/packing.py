@@ -36,7 +36,7 @@ from tidemark.session import materialize
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Entries that a worker process remembers: pieces of text, and words.
-PIECES, WORDS = 400_000, 500_000
+PIECES, WORDS = 700_000, 800_000
 SUB_BATCH = 200
 SHARD_ROWS, STRIPES = 200_000, 64
 
