@@ -174,3 +174,8 @@ def forward_returns(bars: DataFrame, horizon: int = HORIZON) -> DataFrame:
     return known.select(
         "ticker", "date", "close", F.coalesce("daily_total_return", F.col("close") / prev - 1.0).alias("forward_return")
     )
+
+
+def with_excess_return(labels: DataFrame) -> DataFrame:
+    """Add excess_return_pct, the plain return behind the logarithmic one; null where that is."""
+    return labels.withColumn("excess_return_pct", F.expm1("excess_log_return"))

@@ -93,6 +93,23 @@ def verify(picks: DataFrame, envelopes: DataFrame) -> DataFrame:
     return j.select(*envelopes.columns, F.when(ok, "OK").otherwise("VOID").alias("integrity"))
 
 
+def pick_history(picks: DataFrame, envelopes: DataFrame, outcomes: DataFrame) -> DataFrame:
+    """Every pick and abstention with its run's integrity and, where it was a position, its outcome.
+
+    A run whose contents no longer match its envelope, or that has none, is VOID
+    on every row; it stays visible. ``trusted`` keeps it out of summaries.
+    """
+    keys = ["decision_date", "variant", "ticker"]
+    checked = verify(picks, envelopes).select("decision_date", "integrity")
+    results = outcomes.select(*keys, *[c for c in outcomes.columns if c not in picks.columns])
+    rows = picks.join(checked, "decision_date", "left").join(results, keys, "left")
+    return rows.withColumn("integrity", F.coalesce("integrity", F.lit("VOID")))
+
+
+def trusted(history: DataFrame) -> DataFrame:
+    return history.filter(F.col("integrity") == "OK")
+
+
 def numbered_bars(bars: DataFrame) -> DataFrame:
     """Add ``known_upto``: bars with a close up to and including each row."""
     w = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)

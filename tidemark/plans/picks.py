@@ -151,3 +151,39 @@ def summarise_outcomes(spark, sf):
         "variant", "selection_policy", "exit_path_provenance", "resolved", "direction_scored", "direction_hits", settled("mean_return", 4).alias("mean_return"), settled("best_return", 3).alias("best_return"),
         settled("worst_return", 3).alias("worst_return"), "wins", "losses", "exit_triggers",
     )
+
+
+VOIDED = "day(decision_date) % 5 = 0"
+
+
+def _history(spark, sf):
+    """Runs of some days carry an altered seal."""
+    picks, b, c = V.picks_inputs(spark, sf)
+    sealed = PK.freeze(picks)
+    altered = sealed.withColumn("picks_sha256", F.when(F.dayofmonth("decision_date") % 5 == 0, F.sha2("picks_sha256", 256)).otherwise(F.col("picks_sha256")))
+    out = PK.with_direction(PK.resolve_picks(PK.mark_path(picks, b, c)), PK.direction_labels(b, V.BENCHMARK))
+    return PK.pick_history(picks, altered, out)
+
+
+@query(
+    "pick_history",
+    f"""SELECT decision_date, variant, ticker, action, CASE WHEN {VOIDED} THEN 'VOID' ELSE 'OK' END AS integrity, status
+    FROM (SELECT decision_date, variant, ticker, {ACTION} AS action FROM picks) LEFT JOIN (SELECT decision_date, variant, ticker, status FROM outcomes) USING (decision_date, variant, ticker)""",
+    "picks outcomes",
+)
+def pick_history(spark, sf):
+    return _history(spark, sf).select("decision_date", "variant", "ticker", "action", "integrity", "status")
+
+
+@query(
+    "pick_performance",
+    f"""WITH d AS (SELECT *, {PROV} AS prov, {R('xr', 4)} AS r FROM outcomes WHERE status = 'RESOLVED' AND NOT ({VOIDED}))
+    SELECT variant, prov AS exit_path_provenance, count(*) AS resolved, count(*) FILTER (WHERE dir_ok) AS direction_hits, {S('avg(r)', 4)} AS mean_return, count(*) FILTER (WHERE r > 0) AS wins FROM d GROUP BY 1, 2""",
+    "outcomes",
+)
+def pick_performance(spark, sf):
+    """Summaries over trusted runs alone."""
+    s = PK.summarise(PK.trusted(_history(spark, sf)))
+    return s.groupBy("variant", "exit_path_provenance").agg(
+        F.sum("resolved").alias("resolved"), F.sum("direction_hits").alias("direction_hits"), settled(F.sum(F.col("mean_return") * F.col("resolved")) / F.sum("resolved"), 4).alias("mean_return"), F.sum("wins").alias("wins")
+    )

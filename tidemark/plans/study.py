@@ -285,6 +285,16 @@ def build_labels(spark, sf):
     return df.withColumn("excess_log_return", settled("excess_log_return", 9)).withColumn("y", F.col("y").cast("long"))
 
 
+@query(
+    "excess_return_pct",
+    f"""SELECT ticker, decision_date, {S('exp(excess) - 1', 8)} AS excess_return_pct, status FROM labels""",
+    "labels",
+)
+def excess_return_pct(spark, sf):
+    df = L.with_excess_return(L.build_labels(V.bars_table(spark, sf), V.BENCHMARK))
+    return df.select("ticker", "decision_date", settled("excess_return_pct", 8).alias("excess_return_pct"), "status")
+
+
 @query(
     "label_coverage",
     f"""WITH b AS (SELECT ticker, count(*) AS bars, min(date) AS first_date, max(date) AS last_date,
