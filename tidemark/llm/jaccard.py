@@ -47,7 +47,7 @@ SHINGLE, PERCENT = 5, 75
 CAP = 64
 SLICE = 2_000
 UNIT, MOST = 2_000_000, 2_000
-BUCKET_MB = 24
+BUCKET_MB = 10
 FANOUT = 8
 STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
