@@ -37,7 +37,7 @@ from .common import BLANKS, text_megabytes, words
 from .jaccard import mixed, rolled, sliced
 
 WINDOW, MINIMISER = 13, 2
-BUCKET_MB, SLICE = 7, 2_000
+BUCKET_MB, SLICE = 7, 3_000
 HOT_IN_SLICE, HOT_WINDOWS, COMMON_IN_SLICE, LIMIT = 64, 200_000, 6, 65_535
 RARE = 65_535
 LOW48 = np.uint64((1 << 48) - 1)
