@@ -109,6 +109,23 @@ def test_colliding_surrogates_move_on(spark):
     assert moved.count() >= 2 and moved.agg(F.min("attempt")).first()[0] >= 1
 
 
+def test_shapes_with_too_few_surrogates_get_wider_ones(spark, documents):
+    women = [a + b for a in "BCDFGHKLMN" for b in "aeiou"]
+    local = "abcdefghijklmnopqrstuvwxyz"
+    docs = [(i, f"Ms {w} came.") for i, w in enumerate(women)] + [(100 + i, f"{c}@mail8.com") for i, c in enumerate(local)]
+    got = {r.doc_id: r.text for r in pii.surrogate_texts(documents(docs)).collect()}
+    new = [got[i].split()[1] for i in range(50)]
+    assert len(set(new)) == 50 and not set(new) & set(women) and all(w[0].isupper() and w[-1] in "ae" and len(w) >= 2 for w in new)
+    mails = [got[100 + i] for i in range(26)]
+    assert len(set(mails)) == 26 and len({m.split("@")[1] for m in mails}) == 1
+    wide = [("address", "10.0.0.1"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (988) 555-2485"), ("phone", "9885552485"), ("mac", "00:1a:2b:3c:4d:5e"), ("ssn", "123-45-6789"), ("iban", "GB82WEST12345698765432")]
+    table = spark.createDataFrame(wide, "kind string, value string")
+    rows = table.select("kind", "value", pii.surrogate(F.col("kind"), F.col("value"), F.lit(pii.NARROW)).alias("made")).collect()
+    made = {r.value: r.made for r in rows}
+    assert all(sum(c.isalnum() for c in m) > sum(c.isalnum() for c in v) for v, m in made.items() if v != "10.0.0.1") and made["10.0.0.1"].count(".") == 4
+    assert _luhn(made["4111 1111 1111 1111"]) and "".join(c for c in made["+1 (988) 555-2485"][2:] if c.isdigit()) == made["9885552485"]
+
+
 def test_no_surrogates_in_an_empty_table(documents):
     assert pii.surrogate_texts(documents([])).count() == 0
 

@@ -8,9 +8,11 @@ replacement wherever it appears and however it is written, without a lookup.
 Only where two entities would share a surrogate, or a surrogate equals an
 original of the corpus, do the later ones move on to their next draw; these
 exceptions are found on distinct entities, and joined to the documents if
-there are any.
+there are any. An entity still without a free surrogate after ``NARROW`` draws
+gets wider ones, a letter, digit or group more every ``STEP`` draws, so every
+entity is settled however few surrogates its shape leaves.
 
-Shapes: digits, punctuation, spaces, letter case and script stay as written;
+Shapes (while free surrogates of them are found): digits, punctuation, spaces, letter case and script stay as written;
 phones keep their country code and valid leading digits, cards their check
 digit, IBANs country and check digits, e-mail domains map alike and end in a
 reserved name, addresses go to a reserved range, and titled names keep gender
@@ -28,7 +30,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tidemark.session import materialize
 
 KEY = "surrogates of this corpus"
-ROUNDS = 30
+#: Draws in an entity's own shape, and at each width beyond it.
+NARROW, STEP = 8, 3
 
 # Titles that tell a name's gender.
 MALE = "Mr|Sir|Lord|Herr|Herrn|Monsieur|Señor|Don|Sr|господин"
@@ -156,10 +159,27 @@ def _place_from_end(value: Column, i: Column) -> Column:
     return F.length(F.regexp_replace(F.substring(value, i + 1, F.length(value)), "[^0-9]", ""))
 
 
-def _phone(value: Column, seed: Column) -> Column:
+def _extra(attempt: Column) -> Column:
+    """How many places wider than the entity its surrogate is on this draw."""
+    return F.when(attempt < NARROW, 0).otherwise(F.floor((attempt - NARROW) / STEP) + 1).cast("int")
+
+
+def _widened(kind: Column, value: Column, extra: Column) -> Column:
+    """``value`` with so many more places of its kind to draw; addresses get theirs when drawn."""
+    last = F.substring(value, -1, 1)
+    wide = (
+        F.when(kind == "email", F.concat(F.substring_index(value, "@", 1), F.repeat(F.lit("a"), extra), F.lit("@"), F.substring_index(value, "@", -1)))
+        .when(kind == "mac", F.concat(value, F.repeat(F.concat(F.substring(value, 3, 1), F.lit("00")), extra)))
+        .when(kind.isin("iban", "ssn", "card", "phone"), F.concat(value, F.repeat(F.lit("0"), extra)))
+        .when(kind == "address", value).otherwise(F.concat(value, F.repeat(last, extra)))
+    )
+    return F.when(extra > 0, wide).otherwise(value)
+
+
+def _phone(value: Column, seed: Column, extra: Column) -> Column:
     def digit(c, i):
         j = _place_from_end(_national(value), i)
-        return F.when(~c.rlike("[0-9]") | (j >= 10), c).when(j.isin(6, 9), _pick("23456789", _draw(seed, j, 8))).otherwise(_pick("0123456789", _draw(seed, j, 10)))
+        return F.when(~c.rlike("[0-9]") | (j >= 10 + extra), c).when(j.isin(6, 9) & (extra == 0), _pick("23456789", _draw(seed, j, 8))).otherwise(_pick("0123456789", _draw(seed, j, 10)))
 
     return F.concat(_country(value), _each(_national(value), digit))
 
@@ -171,7 +191,7 @@ def luhn(value: Column) -> Column:
     return F.aggregate(doubled, F.lit(0), lambda a, x: a + x) % 10
 
 
-def _card(value: Column, seed: Column) -> Column:
+def _card(value: Column, seed: Column, valid: Column) -> Column:
     """Same grouping; the check digit holds if it held. Leading 9 belongs to no card network."""
     first = F.length(F.regexp_replace(value, "[^0-9]", "")) - 1
 
@@ -180,7 +200,7 @@ def _card(value: Column, seed: Column) -> Column:
         return F.when(~c.rlike("[0-9]"), c).when(j == first, F.lit("9")).when(j == 0, F.lit("0")).otherwise(_pick("0123456789", _draw(seed, j, 10)))
 
     def checked(made: Column) -> Column:
-        check = F.when(luhn(value) == 0, _pick("0123456789", (10 - luhn(made)) % 10)).otherwise(_pick("0123456789", _draw(seed, F.lit(0), 10)))
+        check = F.when(valid, _pick("0123456789", (10 - luhn(made)) % 10)).otherwise(_pick("0123456789", _draw(seed, F.lit(0), 10)))
         return F.concat(F.substring(made, F.lit(1), F.length(made) - 1), check)
 
     return _let(_each(value, digit), checked)
@@ -193,8 +213,10 @@ def _email(value: Column, seed: Column, key: str) -> Column:
     return F.concat(_each(local, lambda c, i: _same_class(c, seed, i)), F.lit("@"), _each(labels, lambda c, i: _same_class(c, own, i)), F.lit(".example"))
 
 
-def _address(seed: Column) -> Column:
-    return F.concat_ws(".", 240 + _draw(seed, F.lit(0), 15), _draw(seed, F.lit(1), 256), _draw(seed, F.lit(2), 256), 1 + _draw(seed, F.lit(3), 254))
+def _address(seed: Column, extra: Column) -> Column:
+    own = F.concat_ws(".", 240 + _draw(seed, F.lit(0), 15), _draw(seed, F.lit(1), 256), _draw(seed, F.lit(2), 256), 1 + _draw(seed, F.lit(3), 254))
+    more = F.transform(F.sequence(F.lit(1), F.greatest(extra, F.lit(1))), lambda i: _draw(seed, 3 + i, 256).cast("string"))
+    return F.when(extra > 0, F.concat_ws(".", own, F.array_join(more, "."))).otherwise(own)
 
 
 def _iban(value: Column, seed: Column) -> Column:
@@ -236,27 +258,37 @@ def _name(kind: Column, value: Column, seed: Column) -> Column:
 
 def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
     """The replacement of one entity, on its given draw."""
+    extra = _extra(attempt)
+
     def drawn(seed: Column) -> Column:
-        return (
-            F.when(kind == "email", _email(value, seed, key)).when(kind == "mac", _hex(value, seed)).when(kind == "iban", _iban(value, seed))
-            .when(kind == "address", _address(seed)).when(kind == "ssn", _each(value, lambda c, i: _same_class(c, seed, _place_from_end(value, i))))
-            .when(kind == "card", _card(value, seed)).when(kind == "phone", _phone(value, seed)).otherwise(_name(kind, value, seed))
-        )
+        def of(wide: Column) -> Column:
+            return (
+                F.when(kind == "email", _email(wide, seed, key)).when(kind == "mac", _hex(wide, seed)).when(kind == "iban", _iban(wide, seed))
+                .when(kind == "address", _address(seed, extra)).when(kind == "ssn", _each(wide, lambda c, i: _same_class(c, seed, _place_from_end(wide, i))))
+                .when(kind == "card", _card(wide, seed, luhn(value) == 0)).when(kind == "phone", _phone(wide, seed, extra)).otherwise(_name(kind, wide, seed))
+            )
+
+        return _let(_widened(kind, value, extra), of)
 
     return _let(_seed(key, kind, canonical(kind, value), attempt), drawn)
 
 
-def collision_exceptions(found: DataFrame, key: str = KEY, rounds: int = ROUNDS) -> DataFrame:
+def _told_apart(kind: Column, made: Column) -> Column:
+    """The form by which surrogates of canonical forms are compared: all digits of a phone, also of a wider one."""
+    return F.when(kind == "phone", made).otherwise(canonical(kind, made))
+
+
+def collision_exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first draw was taken; stored. ``found``: distinct (kind, canon).
 
     Draws are settled per kind: of those that want one surrogate the earliest
     attempt, then the smallest canonical form, keeps it; no surrogate may equal
-    an original. Raises if an entity finds no free surrogate in ``rounds`` draws.
+    an original. Widths grow with the draws, so the rounds end.
     """
     state = found.withColumn("attempt", F.lit(0))
     originals = found.select("kind", F.col("canon").alias("made"), F.lit(1).alias("original"))
-    for _ in range(rounds):
-        drawn = state.withColumn("made", _let(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key), lambda made: canonical(F.col("kind"), made)))
+    while True:
+        drawn = state.withColumn("made", _let(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key), lambda made: _told_apart(F.col("kind"), made)))
         first = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("wanted"))
         clash = first.join(originals, ["kind", "made"], "left").where("wanted > 1 or original = 1")
         lost = drawn.join(clash, ["kind", "made"]).where("original = 1 or canon != first.canon").select("kind", "canon", F.lit(1).alias("again"))
@@ -264,7 +296,6 @@ def collision_exceptions(found: DataFrame, key: str = KEY, rounds: int = ROUNDS)
         if lost.isEmpty():
             return state.where("attempt > 0")
         state = materialize(state.join(lost, ["kind", "canon"], "left").select("kind", "canon", (F.col("attempt") + F.coalesce("again", F.lit(0))).alias("attempt")), "draws")
-    raise ValueError("no free surrogate for some entities: the format leaves too few")
 
 
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
