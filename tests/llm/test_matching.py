@@ -79,6 +79,19 @@ def test_near_duplicates_equal_brute_force(documents, odd_texts):
         assert got == want
 
 
+def test_repeated_rows_link_no_more_than_single_ones(documents):
+    rng = random.Random(11)
+    base, other = some_text(rng, 150, 10**6).split(), some_text(rng, 150, 10**6).split()
+    half = " ".join(base[:115] + some_text(rng, 35, 10**6).split())  # Jaccard about 0.6
+    docs = [(1, " ".join(base))] * 2 + [(2, half)] + [(3, " ".join(other))] * 2 + [(4, " ".join(other[:60] + some_text(rng, 90, 10**6).split()))] * 3
+    docs += [(5, " ".join(base[:147] + ["x", "y", "z"])), (6, "a b c d e"), (6, " ".join(base))]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(documents(docs)).collect()}
+    chosen = {"a b c d e": 1, " ".join(base): 146}  # of document 6 one text counts, by digest
+    six = next(t for t, n in chosen.items() if n == got[6][0])
+    assert got == cases.near_duplicates([d for d in docs[:-2]] + [(6, six)])
+    assert got[1][1] == got[5][1] == 1 and [got[i][1] for i in (2, 3, 4)] == [2, 3, 4]
+
+
 def test_near_duplicates_of_an_empty_table(documents):
     assert jaccard.jaccard_components(documents([])).count() == 0
     assert [tuple(r) for r in jaccard.jaccard_components(documents([(5, None)])).collect()] == [(5, 0, 5)]

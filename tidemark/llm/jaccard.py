@@ -53,10 +53,10 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xBF58476D1CE4E5B9)
 
 
-def hashed_words(docs: DataFrame) -> DataFrame:
-    """(doc_id, h): the 64-bit hash of every word."""
+def hashed_words(docs: DataFrame, *also: str) -> DataFrame:
+    """(doc_id, h): the 64-bit hash of every word; and the columns ``also``."""
     split = words(F.col("text"), BLANKS, True)
-    return docs.where("doc_id is not null").select("doc_id", F.transform(split, lambda w: F.xxhash64(w)).alias("h"))
+    return docs.where("doc_id is not null").select("doc_id", F.transform(split, lambda w: F.xxhash64(w)).alias("h"), *also)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -95,17 +95,39 @@ def sliced(batches: Iterator[pa.RecordBatch], rows: int = SLICE) -> Iterator[pa.
             yield b.slice(i, rows)
 
 
+def digest_of(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def set_digests(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, n) of each document's set."""
+    """(doc_id, digest, n) of each row's set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            rows = [(d, hashlib.blake2b(s.tobytes(), digest_size=16).digest(), len(s)) for d, s in shingle_sets(b)]
+            rows = [(d, digest_of(s), len(s)) for d, s in shingle_sets(b)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.int64()))], names=["doc_id", "digest", "n"])
 
     return hashed_words(docs).mapInArrow(run, "doc_id long, digest binary, n long")
 
 
+def representative_words(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """(doc_id, h) of each class's node, once: of a node with several rows, of one whose set is the class's."""
+    held = docs.select("doc_id", "text")
+    once = classes.where("held = 1").select(F.col("node").alias("doc_id"))
+    spelled = hashed_words(held.join(broadcast_if_small(once), "doc_id", "left_semi"))
+    repeated = classes.where("held > 1").select(F.col("node").alias("doc_id"), "digest")
+    if repeated.isEmpty():
+        return spelled
+
+    def matching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            same = [digest_of(s) == d for (_, s), d in zip(shingle_sets(b), b.column("digest").to_pylist())]
+            yield b.filter(pa.array(same, pa.bool_())).select(["doc_id", "h"])
+
+    rows = hashed_words(held.join(broadcast_if_small(repeated), "doc_id"), "digest").mapInArrow(matching, "doc_id long, h array<long>")
+    return spelled.unionByName(rows.groupBy("doc_id").agg(F.first("h").alias("h")))
+
+
 def _five(x: np.ndarray) -> np.ndarray:
     """The low 40 bits, as bytes."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
@@ -354,12 +376,11 @@ def forest_links(placed: DataFrame, unit: int = UNIT) -> DataFrame:
 
 def jaccard_components(docs: DataFrame, unit: int = UNIT, bucket_mb: float = BUCKET_MB) -> DataFrame:
     """Contract of op2: (doc_id, n_shingles, component_id) of every document."""
-    sets = set_digests(docs).groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("s")).select("doc_id", "s.digest", "s.n")
+    sets = set_digests(docs).groupBy("doc_id").agg(F.min(F.struct("digest", "n")).alias("s"), F.count("*").alias("held")).select("doc_id", "s.digest", "s.n", "held")
     sets = materialize(sets, "sets")
-    classes = materialize(sets.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("n").alias("n")), "classes")
-    own = docs.where("doc_id is not null").select("doc_id", "text").join(broadcast_if_small(classes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
+    classes = materialize(sets.where("n > 0").groupBy("digest").agg(F.min(F.struct("doc_id", "held")).alias("first"), F.min("n").alias("n")).select("digest", "first.doc_id", "first.held", "n").withColumnRenamed("doc_id", "node"), "classes")
     bits = max(3, int(np.ceil(np.log2(max(1.0, text_megabytes(docs, "text") / bucket_mb)))))
-    packed = packed_shingles(hashed_words(own), bits)
+    packed = packed_shingles(representative_words(docs, classes), bits)
     nodes = materialize(linkable(classes.select("node", "n"), packed, bits), "linkable")
     placed = nodes.select("node", "n", "tokens").dropDuplicates(["node"]).join(forest(nodes), "node")
     known = components(forest_links(placed, unit))
