@@ -176,3 +176,17 @@ def test_language_uses_all_evidence(spark, documents):
     assert got[(200, "http://www.a.de/none")] == "de" and got[(201, None)] == "en" and got[(202, "http://b.com/x")] == "en"
     assert {r.lang for r in language.page_languages(table, taught.limit(0)).collect()} == {None}
     assert language.page_languages(table.limit(0), taught).count() == 0
+
+
+def test_every_language_is_fitted(spark):
+    rng = random.Random(12)
+    langs = [f"l{i:02d}" for i in range(70)]
+    sound = {x: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for x in langs}
+    say = lambda x, n: " ".join(rng.choice(sound[x]) for _ in range(n))
+    docs = [(i, x, say(x, 60)) for i, x in enumerate(langs * 2)] + [(1000 + i, x, say(x, 60)) for i, x in enumerate(langs[:64])]
+    taught = spark.createDataFrame(docs, "doc_id long, lang string, text string")
+    pages = spark.createDataFrame([(i, None, f"<p>{say(x, 60)}.</p>") for i, x in enumerate(langs)], "page_id long, url string, html string")
+    rows = {r.page_id: r for r in language.page_languages(pages, taught).collect()}
+    assert [rows[i].text_lang for i in range(70)] == langs == [rows[i].lang for i in range(70)]
+    again = {r.page_id: r for r in language.page_languages(pages, taught, 100).collect()}
+    assert all(again[i].lang == rows[i].lang and abs(again[i].probability - rows[i].probability) < 1e-9 for i in rows)
