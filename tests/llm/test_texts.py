@@ -126,6 +126,31 @@ def test_shapes_with_too_few_surrogates_get_wider_ones(spark, documents):
     assert _luhn(made["4111 1111 1111 1111"]) and "".join(c for c in made["+1 (988) 555-2485"][2:] if c.isdigit()) == made["9885552485"]
 
 
+def test_names_are_replaced_wherever_they_stand(documents):
+    said = {
+        1: "Mr John Smith came. Smith said that SMITH left; smith no. Smithson stayed.",
+        2: "Dr Anna Maria Lopez met Lopez and Maria.",
+        3: "Mrs Anne-Marie Lopez-Vega and Herr Dr. J. R. O'Brien spoke. Marie, Vega's and Brien left.",
+        4: "Dr Smith came.",
+        5: "Dr Weber met Frau Weber. Weber left.",
+        6: "GB82 WEST 1234 5698 7654 32",
+        7: "GB82WEST12345698765432 00-1A-2B-3C-4D-5E",
+        8: "no. 1, 00:1a:2b:3c:4d:5e",
+    }
+    got = {r.doc_id: r.text for r in pii.surrogate_texts(documents(list(said.items()))).collect()}
+    one = got[1].replace(".", "").replace(";", "").split()
+    assert one[2] == one[4] and one[7] == one[2].upper() and one[9] == "smith" and one[11:] == ["Smithson", "stayed"] and "John" not in got[1] and "Smith " not in got[1]
+    assert not any(x in got[2] for x in ("Anna", "Maria", "Lopez"))
+    two = got[2].replace(".", "").split()
+    assert two[3] == two[5] and two[2] == two[7]
+    assert not any(x in got[3] for x in ("Anne", "Marie", "Lopez", "Vega", "Brien")) and "Herr Dr. J. R. O'" in got[3] and "'s and" in got[3]
+    assert got[4] == f"Dr {one[2]} came."
+    five = got[5].replace(".", "").split()
+    assert five[1] == five[4] == five[5] and five[1][-1] in "ae"
+    assert got[6].replace(" ", "") == got[7].split()[0] and [len(x) for x in got[6].split()] == [4, 4, 4, 4, 4, 2]
+    assert got[7].split()[1].lower().replace("-", ":") == got[8].split()[-1]
+
+
 def test_no_surrogates_in_an_empty_table(documents):
     assert pii.surrogate_texts(documents([])).count() == 0
 

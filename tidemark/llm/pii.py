@@ -1,10 +1,16 @@
 """Personal data: every detected entity is replaced by a keyed surrogate of its own kind and shape.
 
 DataFrame operations only. One pattern finds entities, and only texts with a
-digit, an @ or a title are searched by it; their form tells the kind. A text is
-rebuilt from the pieces between them. A surrogate depends on the key,
-the kind and the entity's canonical form alone, so an entity gets the same
+digit, an @ or a title are searched by it; their form tells the kind. A title
+is followed by a run of capitalised words, also hyphenated or after initials,
+which are the names; the pattern of a text with titles holds its names, so they
+are found wherever else they stand in it, with a capital or all in capitals. A
+text is rebuilt from the pieces between entities. A surrogate depends on the
+key, the kind and the entity's canonical form alone, so an entity gets the same
 replacement wherever it appears and however it is written, without a lookup.
+A name after a neutral title, or without one, is a woman's if its text uses it
+after women's titles only, else a man's. Initials and particles (van, de) stay,
+and a run ends at a particle.
 Only where two entities would share a surrogate, or a surrogate equals an
 original of the corpus, do the later ones move on to their next draw; these
 exceptions are found on distinct entities, and joined to the documents if
@@ -40,9 +46,19 @@ OTHER = "Dr|Prof|Professor"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 
 
+NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{L}+"
+RUN = rf"(?:\p{{Lu}}\.\x20?)*{NAME}(?:(?:-|\x20(?:\p{{Lu}}\.\x20?)*){NAME})*"
+
+
 def _titled(titles: str) -> str:
-    before = rf"(?<![\p{{L}}\d])(?:{titles})\.?\x20"
-    return rf"(?=\p{{Lu}})(?:(?<={before})|(?<={before}\p{{Lu}}\p{{L}}{{1,20}}\x20))\p{{Lu}}\p{{L}}+"
+    """A run of names after one of ``titles``, which other titles may follow."""
+    return rf"(?<=(?<![\p{{L}}\d])(?:{titles})\.?\x20)(?:(?:{MALE}|{FEMALE}|{OTHER})\.?\x20)*{RUN}"
+
+
+def _addressed(titles: str) -> str:
+    """A place that such a title stands before, with up to four names between."""
+    name = r"\p{Lu}?['’]?\p{Lu}(?:\p{L}{1,20}|\.)[\x20-]"
+    return rf"(?<=(?<![\p{{L}}\d])(?:{titles})\.?\x20(?:{'|'.join(name * k for k in range(5))})\p{{Lu}}?['’]?)"
 
 
 KINDS = {
@@ -53,14 +69,12 @@ KINDS = {
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
     "card": r"(?<![\d+-])\d(?:[\x20-]?\d){12,18}(?!\d)",
     "phone": r"(?<![\w+])(?:\+1[\x20.-]?\(?\d{3}\)?[\x20.-]?\d{3}[\x20.-]?\d{4}|\+\d{1,3}[\x20.-]?\(?\d{1,4}\)?[\x20.-]?\d{2,4}(?:[\x20.-]?\d{2,4}){1,3}|\(\d{3}\)\x20?\d{3}[\x20.-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "man": _titled(MALE),
-    "woman": _titled(FEMALE),
-    "person": _titled(OTHER),
 }
-NAMES = ("man", "woman", "person")
-#: The pattern for texts without titles, and with them; the latter has a group for each kind of name.
-PLAIN = "(?=[0-9A-Za-z._%+(-])(?:" + "|".join(p for k, p in KINDS.items() if k not in NAMES) + ")"
-PATTERN = PLAIN + "|" + "|".join(f"({KINDS[k]})" for k in NAMES)
+NAMES = ("man", "woman", "other")
+#: The pattern for texts without titles; with them, groups of the text's names follow.
+PLAIN = "(?=[0-9A-Za-z._%+(-])(?:" + "|".join(KINDS.values()) + ")"
+#: Titles that are no names themselves.
+NO_NAMES = tuple(t for t in f"{MALE}|{FEMALE}|{OTHER}".split("|") if t not in ("Don", "Lord"))
 MARKS = "[0-9@]"
 TITLES = rf"(?<![\p{{L}}\d])(?=[\p{{Lu}}гп])(?:{MALE}|{FEMALE}|{OTHER})\.?\x20\p{{Lu}}"
 #: (vowels, consonants, endings of men, of women) of each script that names are made in.
@@ -76,9 +90,29 @@ def _let(value: Column, fn) -> Column:
     return F.transform(F.array(value), fn)[0]
 
 
-def _searched(text: Column, found, none: Column) -> Column:
+def _titled_names(text: Column, titles: str) -> Column:
+    """The words of the runs after such titles, each once."""
+    runs = F.regexp_extract_all(text, F.lit(_titled(titles)), F.lit(0))
+    return F.array_except(F.flatten(F.transform(runs, lambda run: F.regexp_extract_all(run, F.lit(r"\p{L}{2,}"), F.lit(0)))), F.array(*map(F.lit, NO_NAMES)))
+
+
+def titled_names(text: Column) -> Column:
+    """(men, women, pattern) of a text with titles: its men's and women's names in lower case, and what finds its entities; else null."""
+    men, women, other = (_titled_names(text, t) for t in (MALE, FEMALE, OTHER))
+
+    def pattern(names: Column) -> Column:
+        whole = F.concat(F.lit(r"(?:"), F.array_join(F.array_union(names, F.transform(names, lambda n: F.upper(n))), "|"), F.lit(r")(?![\p{L}\p{M}\d])"))
+        start = rf"(?<![\p{{L}}\p{{M}}\d])(?=\p{{Lu}})"
+        groups = [F.concat(F.lit(f"|({start}{_addressed(t) if t else ''}"), whole, F.lit(")")) for t in (MALE, FEMALE, "")]
+        return F.when(F.size(names) > 0, F.concat(F.lit(PLAIN), *groups)).otherwise(F.lit(PLAIN + "|(?!)()()()"))
+
+    lower = lambda names: F.transform(names, lambda n: F.lower(n))
+    return F.when(text.rlike(TITLES), F.struct(lower(men).alias("men"), lower(women).alias("women"), _let(F.array_union(F.array_union(men, women), other), pattern).alias("pattern")))
+
+
+def _searched(text: Column, names: Column, found, none: Column) -> Column:
     """found(pattern) with the pattern that the text needs, or ``none``."""
-    return F.when(text.rlike(TITLES), found(PATTERN)).when(text.rlike(MARKS), found(PLAIN)).otherwise(none)
+    return F.when(names.isNotNull(), found(names.pattern)).when(text.rlike(MARKS), found(None)).otherwise(none)
 
 
 def _form(value: Column) -> Column:
@@ -89,24 +123,24 @@ def _form(value: Column) -> Column:
     )
 
 
-def entities(text: Column) -> Column:
-    """Array of (kind, value) in text order."""
+def entities(text: Column, names: Column) -> Column:
+    """Array of (kind, value) in text order. ``names``: of titled_names."""
 
-    def found(pattern: str) -> Column:
-        every = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        if pattern == PLAIN:
-            return F.transform(every, lambda v: F.struct(_form(v).alias("kind"), v.alias("value")))
-        groups = [F.regexp_extract_all(text, F.lit(pattern), F.lit(i + 1)).alias(k) for i, k in enumerate(NAMES)]
+    def found(pattern: Column | None) -> Column:
+        if pattern is None:
+            return F.transform(F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)), lambda v: F.struct(_form(v).alias("kind"), v.alias("value")))
+        every = F.regexp_extract_all(text, pattern, F.lit(0))
+        groups = [F.regexp_extract_all(text, pattern, F.lit(i + 1)).alias(k) for i, k in enumerate(NAMES)]
 
         def told(m: Column) -> Column:
-            kind = _form(m.value)
-            for k in NAMES:
-                kind = F.when(m[k] != "", F.lit(k)).otherwise(kind)
+            canon = F.lower(m.value)
+            told_by_text = F.when(F.array_contains(names.women, canon) & ~F.array_contains(names.men, canon), "woman").otherwise("man")
+            kind = F.when(m.man != "", "man").when(m.woman != "", "woman").when(m.other != "", told_by_text).otherwise(_form(m.value))
             return F.struct(kind.alias("kind"), m.value.alias("value"))
 
         return F.transform(F.arrays_zip(every.alias("value"), *groups), told)
 
-    return _searched(text, found, F.array().cast("array<struct<kind:string,value:string>>"))
+    return _searched(text, names, found, F.array().cast("array<struct<kind:string,value:string>>"))
 
 
 def _country(value: Column) -> Column:
@@ -123,7 +157,7 @@ def canonical(kind: Column, value: Column) -> Column:
     digits = F.regexp_replace(value, "[^0-9]", "")
     return (
         F.when(kind == "phone", F.substring(F.regexp_replace(_national(value), "[^0-9]", ""), -10, 10)).when(kind.isin("ssn", "card"), digits)
-        .when(kind == "iban", F.regexp_replace(value, " ", "")).otherwise(F.lower(value))
+        .when(kind == "iban", F.regexp_replace(value, " ", "")).when(kind == "mac", F.lower(F.translate(value, "-", ":"))).otherwise(F.lower(value))
     )
 
 
@@ -221,7 +255,9 @@ def _address(seed: Column, extra: Column) -> Column:
 
 def _iban(value: Column, seed: Column) -> Column:
     number = lambda c: F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
-    body = _each(F.substring(value, F.lit(5), F.length(value)), lambda c, i: _same_class(c, seed, i))
+    written = F.substring(value, F.lit(5), F.length(value))
+    place = lambda i: F.length(F.regexp_replace(F.substring(written, F.lit(1), i), " ", ""))
+    body = _each(written, lambda c, i: _same_class(c, seed, place(i)))
 
     def checked(body: Column) -> Column:
         turned = F.split(F.concat(F.regexp_replace(body, " ", ""), F.substring(value, 1, 2), F.lit("00")), "")
@@ -244,7 +280,7 @@ def _name(kind: Column, value: Column, seed: Column) -> Column:
 
     def spelled(own: Column) -> Column:
         def letter(c, i):
-            last = (i == F.length(value)) & (kind != "person")
+            last = i == F.length(value)
             ending = F.when(kind == "man", own.men).otherwise(own.women)
             inner = F.when((i + _draw(seed, F.lit("phase"), 2)) % 2 == 0, own.vowels).otherwise(own.consonants)
             made = _let(F.when(last, ending).otherwise(inner), lambda symbols: F.substring(symbols, (_draw(seed, i, F.length(symbols)) + 1).cast("int"), F.lit(1)))
@@ -300,9 +336,9 @@ def collision_exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
 
 def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     """``docs`` with ``text`` rewritten, and n_entities."""
-    held = docs.where("doc_id is not null")
     whole = F.coalesce(F.col(text), F.lit(""))
-    listed = held.select("doc_id", F.explode(entities(whole)).alias("e")).select("doc_id", "e.kind", canonical(F.col("e.kind"), F.col("e.value")).alias("canon"))
+    held = docs.where("doc_id is not null").withColumn("_names", titled_names(whole))
+    listed = held.select("doc_id", F.explode(entities(whole, F.col("_names"))).alias("e")).select("doc_id", "e.kind", canonical(F.col("e.kind"), F.col("e.value")).alias("canon"))
     listed = materialize(listed.distinct(), "entities")
     exceptions = collision_exceptions(listed.select("kind", "canon").distinct(), key)
     attempts = listed.join(exceptions, ["kind", "canon"])
@@ -311,17 +347,17 @@ def pseudonymised(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFr
     else:
         per_doc = attempts.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("|", "kind", "canon"), "attempt"))).alias("_draws"))
         held = held.join(per_doc, "doc_id", "left")
-    held = held.withColumn("_found", entities(whole))
+    held = held.withColumn("_found", entities(whole, F.col("_names")))
 
     def replaced(e: Column) -> Column:
         taken = F.coalesce(F.element_at("_draws", F.concat_ws("|", e.kind, canonical(e.kind, e.value))), F.lit(0))
         return surrogate(e.kind, e.value, taken, key)
 
     held = held.withColumn("_made", F.transform("_found", replaced))
-    pieces = _searched(whole, lambda pattern: F.split(whole, pattern, -1), F.array(whole))
+    pieces = _searched(whole, F.col("_names"), lambda pattern: F.split(whole, PLAIN if pattern is None else pattern, -1), F.array(whole))
     rebuilt = F.array_join(F.flatten(F.zip_with(pieces, "_made", lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))))), "")
     out = held.withColumn("n_entities", F.size("_found").cast("long"))
-    return out.withColumn(text, F.when(F.size("_found") > 0, rebuilt).otherwise(F.col(text))).drop("_draws", "_found", "_made")
+    return out.withColumn(text, F.when(F.size("_found") > 0, rebuilt).otherwise(F.col(text))).drop("_draws", "_found", "_made", "_names")
 
 
 def surrogate_texts(docs: DataFrame, key: str = KEY) -> DataFrame:
