@@ -151,6 +151,11 @@ def test_names_are_replaced_wherever_they_stand(documents):
     assert got[7].split()[1].lower().replace("-", ":") == got[8].split()[-1]
 
 
+def test_addresses_of_letters_alone_are_found(documents):
+    row = pii.surrogate_texts(documents([(1, "at aa:bb:cc:dd:ee:ff now")])).first()
+    assert row.n_entities == 1 and "aa:bb" not in row.text
+
+
 def test_no_surrogates_in_an_empty_table(documents):
     assert pii.surrogate_texts(documents([])).count() == 0
 

@@ -1,7 +1,7 @@
 """Personal data: every detected entity is replaced by a keyed surrogate of its own kind and shape.
 
 DataFrame operations only. One pattern finds entities, and only texts with a
-digit, an @ or a title are searched by it; their form tells the kind. A title
+digit, an @, a title or six pairs of letters are searched by it; their form tells the kind. A title
 is followed by a run of capitalised words, also hyphenated or after initials,
 which are the names; the pattern of a text with titles holds its names, so they
 are found wherever else they stand in it, with a capital or all in capitals. A
@@ -75,7 +75,7 @@ NAMES = ("man", "woman", "other")
 PLAIN = "(?=[0-9A-Za-z._%+(-])(?:" + "|".join(KINDS.values()) + ")"
 #: Titles that are no names themselves.
 NO_NAMES = tuple(t for t in f"{MALE}|{FEMALE}|{OTHER}".split("|") if t not in ("Don", "Lord"))
-MARKS = "[0-9@]"
+MARKS = r"[0-9@]|(?:[A-Fa-f]{2}[:-]){5}[A-Fa-f]{2}"
 TITLES = rf"(?<![\p{{L}}\d])(?=[\p{{Lu}}гп])(?:{MALE}|{FEMALE}|{OTHER})\.?\x20\p{{Lu}}"
 #: (vowels, consonants, endings of men, of women) of each script that names are made in.
 SCRIPTS = {
