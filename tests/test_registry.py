@@ -14,3 +14,14 @@ def test_registry_is_consistent():
 def test_flagship_runs(spark):
     rows = entry.entry(spark).collect()
     assert rows and "base_rate_y1" in rows[0].asDict()
+
+
+def test_bench_runs_the_whole_study(spark, monkeypatch):
+    import bench
+    from tidemark.operators import evaluate
+
+    asked = []
+    monkeypatch.setattr(evaluate, "fold_results", lambda *a, **k: asked.append((a, k)) or "folds")
+    monkeypatch.setattr(evaluate, "evaluation_report", lambda folds: folds)
+    monkeypatch.setattr(bench.study.V, "study_inputs", lambda spark, sf: (None, None, None))
+    assert bench.walk_forward_200(spark, "") == "folds" and asked[0][0][-1] == 200 and len(asked[0][0][3]) == 5
