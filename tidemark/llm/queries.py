@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, extract, jaccard, language, packing, pii, quality, secret_scan, substrings, topk
+from . import collocations, decontaminate, extract, jaccard, language, packing, pii, quality, search, secret_scan, substrings, topk
 from .common import read
 
 
@@ -48,13 +48,21 @@ def op10_packing(spark, sf_dir):
     return packing.packed(read(spark, sf_dir, "documents"))
 
 
+def op11_collocations(spark, sf_dir):
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+def op12_search(spark, sf_dir):
+    return search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op7_extract, op8_topk, op9_language, op10_packing, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op7_extract, op8_topk, op9_language, op10_packing, op11_collocations, op12_search, pipeline)}
 
 
 def all_oracles():
-    return {"op1_decontaminate": decontaminate.SQL, "op2_jaccard": jaccard.SQL, "op6_substrings": substrings.SQL, "op8_topk": topk.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op2_jaccard": jaccard.SQL, "op6_substrings": substrings.SQL, "op8_topk": topk.SQL, "op11_collocations": collocations.SQL, "op12_search": search.SQL}
