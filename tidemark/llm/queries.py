@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import collocations, decontaminate, extract, jaccard, language, packing, pii, quality, search, secret_scan, substrings, topk
+from . import collocations, decontaminate, extract, jaccard, language, packing, pii, quality, repeats, search, secret_scan, substrings, topk
 from .common import read
 
 
@@ -56,13 +56,17 @@ def op12_search(spark, sf_dir):
     return search.ranked(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
 
+def op13_repeats(spark, sf_dir):
+    return repeats.repeat_digests(read(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
 def all_queries():
-    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op7_extract, op8_topk, op9_language, op10_packing, op11_collocations, op12_search, pipeline)}
+    return {f.__name__: f for f in (op1_decontaminate, op2_jaccard, op3_secrets, op4_quality, op5_pii, op6_substrings, op7_extract, op8_topk, op9_language, op10_packing, op11_collocations, op12_search, op13_repeats, pipeline)}
 
 
 def all_oracles():
-    return {"op1_decontaminate": decontaminate.SQL, "op2_jaccard": jaccard.SQL, "op6_substrings": substrings.SQL, "op8_topk": topk.SQL, "op11_collocations": collocations.SQL, "op12_search": search.SQL}
+    return {"op1_decontaminate": decontaminate.SQL, "op2_jaccard": jaccard.SQL, "op6_substrings": substrings.SQL, "op8_topk": topk.SQL, "op11_collocations": collocations.SQL, "op12_search": search.SQL, "op13_repeats": repeats.SQL}
