@@ -1,6 +1,6 @@
 """Phrase collocations by SON partitioning.
 
-Texts are stored as shards: about half a million words of one language, coded by
+Texts are stored as shards: about a million words of one language, coded by
 the shard's own vocabulary. Each shard is mined completely at a local support
 lowered in proportion to its share of the language's words; what is frequent in
 some shard is a candidate; a last pass counts all candidates exactly, word by
@@ -15,9 +15,9 @@ is mined only where its parts are candidates.
 
 At scale. Frequent words and candidates come back to the shards as bitmaps of
 ``BITS`` bits (8 MB) at every size of input; where two hashes share a bit, a
-phrase too many is counted, never one too few. A shard sends one row for each
-distinct phrase it names, however often it holds it, so a phrase in a third of
-all texts costs one row a shard. With an absolute support and many shards the
+phrase too many is counted, never one too few. A shard names each distinct phrase
+once, however often it holds it, in one packed row a bucket of hashes, so a
+phrase in a third of all texts costs some bytes a shard. With an absolute support and many shards the
 local support falls to one: then every pair of frequent words is named, and the
 longer phrases whose pairs are candidates. The last ranking takes the first
 ``most`` per (language, slice) before it takes those of a language.
@@ -33,18 +33,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tidemark.session import materialize
+from tidemark.session import materialize, spread
 
 from .common import broadcast_if_small
-from .flat import by_bytes, byte_table, flat_words, opened, squeezed
+from .flat import by_bytes, byte_table, flat_words, from_planes, low_planes, opened, places, squeezed
 from .jaccard import mixed
 
 SUPPORT, LONGEST, INSIDE_PERCENT, MOST = 30, 4, 80, 2_000
-SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 3_000_000, 12_000_000, 4_000_000
+SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 6_000_000, 16_000_000, 4_000_000
+BUCKET_WORDS = 8_000_000
 BITS = 26
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = byte_table(b"\t", PIECE_ENDS, b".")
@@ -166,15 +168,36 @@ def _each_shard(table: DataFrame, words_bitmap: np.ndarray, mine, schema: str, *
     return table.select("h", "codes", *columns).mapInArrow(run, schema)
 
 
-def _named(hashes: np.ndarray, counts: np.ndarray, local: int, need: int) -> pa.RecordBatch:
-    """What a shard reports: hash, count beyond what a silent shard may hold, and what the sum must reach."""
+NAMED = "bucket int, need long, packed binary"
+
+
+def _named(hashes: np.ndarray, counts: np.ndarray, local: int, need: int, bits: int) -> pa.RecordBatch:
+    """What a shard reports, a row per bucket of hashes: each with its count beyond what a silent shard may hold, and what the sum must reach."""
     own = counts >= local
-    columns = [hashes[own].view(np.int64), counts[own] - (local - 1), np.full(own.sum(), need)]
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["h", "gain", "need"])
+    order = np.argsort(hashes[own])
+    hashes, gain = hashes[own][order], counts[own][order] - (local - 1)
+    gain = gain.astype(np.uint8 if len(gain) and gain.max() < 256 else np.int64)
+    keys = (hashes >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
+    rows = [(k, need, squeezed(low_planes(keys[i:j]), gain[i:j])) for k, i, j in places((hashes >> np.uint64(64 - bits)).astype(np.int64))]
+    kinds = {"bucket": pa.int32(), "need": pa.int64(), "packed": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+
+
+def _union(named: DataFrame, bits: int) -> DataFrame:
+    """(h): what may be frequent in all, by the highest bits of its hash."""
 
+    def reached(rows: pd.DataFrame) -> pd.DataFrame:
+        unpacked = [opened(p) for p in rows["packed"]]
+        keys = np.concatenate([from_planes(u[0]) for u in unpacked])
+        gain = np.concatenate([u[1] for u in unpacked]).astype(np.int64)
+        need = np.repeat(rows["need"].to_numpy(), [len(u[1]) for u in unpacked])
+        order = np.argsort(keys, kind="stable")
+        keys = keys[order]
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+        kept = keys[first][np.add.reduceat(gain[order], first) >= np.minimum.reduceat(need[order], first)]
+        return pd.DataFrame({"h": ((np.uint64(rows["bucket"].iloc[0]) << np.uint64(64 - bits)) | (kept << np.uint64(24 - bits))).view(np.int64)})
 
-def _union(named: DataFrame) -> DataFrame:
-    return named.groupBy("h").agg(F.sum("gain").alias("gain"), F.min("need").alias("need")).where("gain >= need").select("h")
+    return spread(named, "bucket").groupBy("bucket").applyInPandas(reached, "h long")
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
@@ -185,6 +208,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     shared = stored.select("lang", "n").join(broadcast_if_small(sizes), "lang").groupBy("lang").agg(F.first("total").alias("total"), (F.lit(support) - F.sum(local - 1)).alias("need"))
     totals = materialize(shared, "collocation-totals")
     table = stored.join(broadcast_if_small(totals), "lang").withColumn("local", local)
+    all_words = totals.agg(F.sum("total")).first()[0] or 0
+    bits = min(24, max(3, int(np.ceil(np.log2(max(1.0, all_words / BUCKET_WORDS))))))
 
     spelled = stored.select("lang", F.explode(F.arrays_zip("vocabulary", "counts")).alias("x"))
     counted = spelled.groupBy("lang", F.col("x.vocabulary").alias("phrase")).agg(F.sum("x.counts").alias("f")).where(F.col("f") >= support)
@@ -193,9 +218,9 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
 
     def pairs(row: dict, own: Mined) -> Iterator[pa.RecordBatch]:
         _, counts, hashes = own.lengthen()
-        yield _named(hashes, counts, row["local"].as_py(), row["need"].as_py())
+        yield _named(hashes, counts, row["local"].as_py(), row["need"].as_py(), bits)
 
-    pair_bits = bitmap_of(_union(_each_shard(table, word_bits, pairs, "h long, gain long, need long", "local", "need")))
+    pair_bits = bitmap_of(_union(_each_shard(table, word_bits, pairs, NAMED, "local", "need"), bits))
 
     def longer(row: dict, own: Mined) -> Iterator[pa.RecordBatch]:
         _, counts, hashes = own.lengthen()
@@ -203,17 +228,17 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
         for _ in range(longest - 2):
             _, counts, hashes = own.lengthen()
             own.keep(counts >= row["local"].as_py())
-            yield _named(hashes, counts, row["local"].as_py(), row["need"].as_py())
+            yield _named(hashes, counts, row["local"].as_py(), row["need"].as_py(), bits)
 
-    bits = pair_bits
+    candidates = pair_bits
     if longest > 2:
-        bits = bits | bitmap_of(_union(_each_shard(table, word_bits, longer, "h long, gain long, need long", "local", "need")))
+        candidates = candidates | bitmap_of(_union(_each_shard(table, word_bits, longer, NAMED, "local", "need"), bits))
 
     def exact(row: dict, own: Mined) -> Iterator[pa.RecordBatch]:
         vocabulary = row["vocabulary"].values
         for _ in range(longest - 1):
             first, counts, hashes = own.lengthen()
-            chosen = flagged(bits, hashes)
+            chosen = flagged(candidates, hashes)
             own.keep(chosen)
             first, counts = first[chosen], counts[chosen]
             parts = [vocabulary.take(pa.array(own.codes[first + j])) for j in range(own.length)]

@@ -65,3 +65,21 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     if not len(starts):
         return np.empty(0, np.int64)
     return np.repeat(starts - np.r_[0, np.cumsum(lengths)[:-1]], lengths) + np.arange(lengths.sum())
+
+
+def places(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(bucket, from, to) of each run in sorted buckets."""
+    if len(bucket):
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
+        yield from zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)])
+
+
+def low_planes(keys: np.ndarray) -> np.ndarray:
+    """The low 40 bits of sorted keys, byte by byte: the high bytes compress."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
+
+
+def from_planes(planes: np.ndarray) -> np.ndarray:
+    wide = np.zeros((planes.shape[1], 8), np.uint8)
+    wide[:, :5] = planes.T
+    return wide.view("<u8").ravel()

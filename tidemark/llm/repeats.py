@@ -46,7 +46,7 @@ from pyspark.sql import DataFrame, functions as F
 from tidemark.session import materialize, spread
 
 from .enhanced import END, byte_hashes, repeat_groups
-from .flat import by_bytes, opened, ranges, squeezed
+from .flat import by_bytes, from_planes, low_planes, opened, places, ranges, squeezed
 
 SHORTEST, GRAM = 50, 24
 SPAN = SHORTEST - GRAM + 1
@@ -116,23 +116,6 @@ class Anchored:
         self.group[order] = np.cumsum(head) - 1
 
 
-def _places(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
-    """(bucket, from, to) of each run in sorted buckets."""
-    if len(bucket):
-        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-        yield from zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)])
-
-
-def _low_planes(keys: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
-
-
-def _from_planes(planes: np.ndarray) -> np.ndarray:
-    wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :5] = planes.T
-    return wide.view("<u8").ravel()
-
-
 def _table(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
@@ -148,7 +131,7 @@ def anchor_survey(stored: DataFrame, bits: int) -> DataFrame:
                 bucket = (own.distinct >> np.uint64(64 - bits)).astype(np.int64)
                 keys = (own.distinct >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
                 uses = np.minimum(own.uses, 65_535).astype(np.uint16)
-                rows = [(k, number, squeezed(_low_planes(keys[i:j]), uses[i:j], np.packbits(own.many[i:j]))) for k, i, j in _places(bucket)]
+                rows = [(k, number, squeezed(low_planes(keys[i:j]), uses[i:j], np.packbits(own.many[i:j]))) for k, i, j in places(bucket)]
                 yield _table(rows, {"bucket": pa.int32(), "slice": pa.int64(), "packed": pa.binary()})
 
     return stored.select("slice", "ids", "text").mapInArrow(run, "bucket int, slice long, packed binary")
@@ -157,7 +140,7 @@ def anchor_survey(stored: DataFrame, bits: int) -> DataFrame:
 def shared_anchors(rows: pd.DataFrame, hot: int) -> pd.DataFrame:
     """One bucket: to each slice, which of its anchors other rows have too, and which are hot."""
     unpacked = [opened(p) for p in rows["packed"]]
-    keys = np.concatenate([_from_planes(u[0]) for u in unpacked])
+    keys = np.concatenate([from_planes(u[0]) for u in unpacked])
     uses = np.concatenate([u[1] for u in unpacked]).astype(np.int64)
     many = np.concatenate([np.unpackbits(u[2], count=len(u[1])) for u in unpacked])
     order = np.argsort(keys, kind="stable")
@@ -204,7 +187,7 @@ def _sent(own: Anchored, flags: list, bits: int) -> Iterator[tuple[list[tuple[in
         sizes = np.array([len(t) for t in texts], np.uint8)[by_bucket]
         part = ((place[by_bucket] >> np.uint64(48 - bits)) & np.uint64(0xFFFF)).astype(np.uint16)
         rows = []
-        for k, i, j in _places((place[by_bucket] >> np.uint64(64 - bits)).astype(np.int64)):
+        for k, i, j in places((place[by_bucket] >> np.uint64(64 - bits)).astype(np.int64)):
             a, b = np.searchsorted(of_text, [i, j])
             held = kept[a:b]
             packed = squeezed(b"".join(texts[t] for t in by_bucket[i:j].tolist()), sizes[i:j], part[i:j], (of_text[a:b] - i).astype(np.int32), begin[held], doc[held])
@@ -297,7 +280,7 @@ def repeated_bytes(rows: pd.DataFrame, part_windows: int) -> pd.DataFrame:
         where = np.r_[slice_of[later], slice_of[entry]]
         start, length = np.r_[begin[later], begin[entry] + at[run]], np.r_[sizes[text[later]], n[run]]
         order = np.argsort(where, kind="stable")
-        out += [(number, squeezed(start[order[a:b]], length[order[a:b]])) for number, a, b in _places(where[order])]
+        out += [(number, squeezed(start[order[a:b]], length[order[a:b]])) for number, a, b in places(where[order])]
     return pd.DataFrame(out, columns=["slice", "packed"])
 
 
