@@ -47,11 +47,13 @@ from tidemark.session import materialize, spread
 
 from .enhanced import END, byte_hashes, repeat_groups
 from .flat import by_bytes, from_planes, low_planes, opened, places, ranges, squeezed
+from .jaccard import mixed
 
 SHORTEST, GRAM = 50, 24
 SPAN = SHORTEST - GRAM + 1
 SLICE_BYTES, BUCKET_MB, CHUNK = 4_000_000, 20, 1_000_000
 HOT, FRAGMENTS, PART_WINDOWS = 20_000, 200_000, 300_000
+REMIX = np.uint64(0xD6E8FEB86659FD93)
 
 
 def slices(docs: DataFrame, slice_bytes: int = SLICE_BYTES) -> DataFrame:
@@ -100,7 +102,8 @@ class Anchored:
             counts.append(np.minimum(stop[own] - first, SPAN))
             grams.append(least[first])
         joined = lambda xs, t: np.concatenate(xs) if xs else np.empty(0, t)
-        self.start, self.count, self.gram = joined(starts, np.int64), joined(counts, np.int64), joined(grams, np.uint64)
+        self.start, self.count = joined(starts, np.int64), joined(counts, np.int64)
+        self.gram = mixed(joined(grams, np.uint64) ^ REMIX)  # least hashes are small; buckets need even ones
         self.row = np.searchsorted(self.ends, self.start)
 
     def by_gram(self) -> None:
