@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 BLANK = 0x20
+LEVEL = 3
 
 
 def byte_table(blanks: bytes, marks: bytes = b"", mark: bytes = b".") -> bytes:
@@ -38,7 +39,7 @@ def flat_words(raw: bytes) -> pa.Array:
 def squeezed(*arrays) -> bytes:
     """Arrays as one compressed value."""
     raw = pickle.dumps(arrays, protocol=5)
-    return pa.compress(raw, codec="zstd", asbytes=True) + len(raw).to_bytes(8, "little")
+    return pa.Codec("zstd", compression_level=LEVEL).compress(raw, asbytes=True) + len(raw).to_bytes(8, "little")
 
 
 def opened(packed: bytes) -> tuple:

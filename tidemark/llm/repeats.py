@@ -205,7 +205,7 @@ def sent_fragments(flagged: DataFrame, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for number, ids, text, flags in zip(*(b.column(c).to_pylist() for c in ("slice", "ids", "text", "flags"))):
-                for rows, settled in _sent(Anchored(ids, text), flags, bits):
+                for rows, settled in _sent(Anchored(ids, text), flags, bits) if flags else ():
                     out = [(k, number, packed, None) for k, packed in rows]
                     if settled is not None:
                         out.append((number * 0x9E3779B1 % (1 << bits), number, None, settled))
@@ -294,7 +294,8 @@ def deduplicated(docs: DataFrame, slice_bytes: int = SLICE_BYTES, bucket_mb: flo
     bits = min(24, max(3, int(np.ceil(np.log2(max(1.0, megabytes / bucket_mb))))))
     answers = spread(anchor_survey(stored, bits), "bucket").groupBy("bucket").applyInPandas(lambda rows: shared_anchors(rows, hot), "slice long, bucket int, packed binary")
     flags = spread(answers, "slice").groupBy("slice").agg(F.collect_list(F.struct("bucket", "packed")).alias("flags"))
-    flagged = spread(stored, "slice").join(flags, "slice")
+    by_slice = spread(stored.select("slice", "ids", "text"), "slice")  # one exchange for both joins
+    flagged = by_slice.join(flags, "slice", "left")
     found = spread(sent_fragments(flagged, bits), "bucket").groupBy("bucket").applyInPandas(lambda rows: repeated_bytes(rows, part_windows), "slice long, packed binary")
     spans = spread(found, "slice").groupBy("slice").agg(F.collect_list("packed").alias("spans"))
     kinds = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
@@ -323,7 +324,7 @@ def deduplicated(docs: DataFrame, slice_bytes: int = SLICE_BYTES, bucket_mb: flo
                         rows.append((doc, n, 0, 0, whole[a:z]))
                 yield _table(rows, kinds)
 
-    own = spread(stored, "slice").join(spans, "slice", "left").select("ids", "text", "spans")
+    own = by_slice.join(spans, "slice", "left").select("ids", "text", "spans")
     return own.mapInArrow(cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
