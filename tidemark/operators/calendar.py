@@ -41,7 +41,10 @@ def calendar_position(calendar: DataFrame) -> DataFrame:
 
 
 def sessions_between(df: DataFrame, calendar: DataFrame, start: str, end: str, name: str = "gap_sessions") -> DataFrame:
-    """Sessions strictly inside (start, end), none if it is empty; days outside the range clamp to its ends."""
+    """Sessions strictly inside (start, end); days outside the range clamp to its ends.
+
+    An inverted interval, or one that is a single session, counts zero or less: callers test the order first.
+    """
     pos = calendar_position(calendar)
     n = calendar.agg(F.count("*")).scalar()
     first = calendar.agg(F.min("session_date")).scalar()
@@ -51,7 +54,7 @@ def sessions_between(df: DataFrame, calendar: DataFrame, start: str, end: str, n
     joined = df.join(a, start, "left").join(b, end, "left")
     upto = F.when(F.col(start) < first, F.lit(0)).when(F.col(start) > last, n).otherwise(F.col("_upto_start"))
     before = F.when(F.col(end) < first, F.lit(0)).when(F.col(end) > last, n).otherwise(F.col("_before_end"))
-    return joined.select(*df.columns, F.greatest(before - upto, F.lit(0)).cast("long").alias(name))
+    return joined.select(*df.columns, (before - upto).cast("long").alias(name))
 
 
 def spans(df: DataFrame, calendar: DataFrame, start: str, end: str, name: str = "in_calendar") -> DataFrame:

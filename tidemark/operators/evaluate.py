@@ -1,25 +1,32 @@
 """Walk-forward evaluation with a refit, date-block-permuted noise floor.
 
-Permutations are a data dimension: permutation 0 is the real labelling, 1..N
-are shuffles, and one plan fits and scores all of them. A shuffle moves whole
-dates in blocks, so it is worked out on the small (fold, role, date) table and
-only then applied to rows by position.
+Permutation 0 is the real labelling, 1..N are shuffles, and one plan fits and
+scores all of them. A shuffle moves whole dates in blocks. The study packs a
+row's labels under all permutations into bits (``label_matrix``); learners that
+need rows get one row per permutation (``permute_labels``).
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
 from typing import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import rounded
-from ..session import materialize
+from ..session import materialize, spread
 from .calendar import assign_folds
 from .features import COMPONENTS, weighted_columns
 from .running import running_sums
 
 PERMUTATIONS, SEED, BLOCK = 200, 7, 10
+#: Rows that a fold's task writes at a time; slices of scores per unit.
+CHUNK, SLICES = 50_000, 8
+#: Rows below which a study says nothing of an edge.
+LEAST_ROWS = 20
 
 
 def build_observations(features: DataFrame, labels: DataFrame, benchmark: str, required: tuple[str, ...] = COMPONENTS) -> DataFrame:
@@ -149,29 +156,136 @@ def spread_variants(rows: DataFrame, variants: dict[str, dict[str, float]], keep
     return out.select(*keep, F.get(names, F.col("nth")).alias("variant"), "score")
 
 
+def _bytes_of(permutations: int) -> int:
+    return permutations // 8 + 1
+
+
+def label_matrix(rows: DataFrame, permutations: int = PERMUTATIONS, seed: int = SEED, block: int = BLOCK, chunk: int = CHUNK) -> DataFrame:
+    """(fold, role, decision_date, bits): each row's label under every permutation, one bit each.
+
+    ``rows`` carry fold, role, decision_date, ticker, y (0 or 1). A fold's labels
+    travel once, a byte per row; its task moves the blocks of dates and writes
+    ``chunk`` rows at a time. ``bits`` holds the date's rows one after the other,
+    in order of ticker, ``permutations // 8 + 1`` bytes each; bit 0 is the real label.
+    """
+    width = _bytes_of(permutations)
+    keys = ["fold", "role"]
+    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ticker", "y"))), lambda r: r["y"].cast("string")), "")
+    dated = spread(rows, *keys).groupBy(*keys, "decision_date").agg(letters.alias("labels"))
+    whole = dated.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("decision_date", "labels"))).alias("dates"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for fold, role, dates in zip(batch["fold"], batch["role"], batch["dates"]):
+                days, n = [d["decision_date"] for d in dates], np.array([len(d["labels"]) for d in dates])
+                y = np.frombuffer("".join(d["labels"] for d in dates).encode(), np.uint8) & 1
+                old = np.r_[0, np.cumsum(n)]
+                head = np.arange(0, len(days), block)
+                first, size = old[head], np.diff(old[np.r_[head, len(days)]])
+                orders = [np.arange(len(head))]
+                for perm in range(1, permutations + 1):
+                    names = [hashlib.md5(f"{seed}:{perm}:{fold}:{role}:{i}".encode()).hexdigest() for i in range(len(head))]
+                    orders.append(np.array(sorted(range(len(head)), key=lambda i: (names[i], i))))
+                at = 0
+                while at < len(days):
+                    stop = max(at + 1, int(np.searchsorted(old, old[at] + chunk, "right")) - 1)
+                    place = np.arange(old[at], old[stop])
+                    bits = np.zeros((len(place), width), np.uint8)
+                    for perm, order in enumerate(orders):
+                        new = np.r_[0, np.cumsum(size[order])]
+                        nth = np.searchsorted(new, place, "right") - 1
+                        bits[:, perm // 8] |= y[first[order][nth] + place - new[nth]] << (perm % 8)
+                    edges = (old[at : stop + 1] - old[at]).tolist()
+                    yield pd.DataFrame({"fold": fold, "role": role, "decision_date": days[at:stop], "bits": [bits[i:j].tobytes() for i, j in zip(edges, edges[1:])]})
+                    at = stop
+
+    types = dict(rows.dtypes)
+    return whole.mapInPandas(run, f"fold {types['fold']}, role string, decision_date {types['decision_date']}, bits binary")
+
+
+def _swept(rows: pd.DataFrame, permutations: int) -> pd.DataFrame:
+    """One slice of a fold's scores: what its cuts gain under each permutation, or, for test rows, the rows packed."""
+    width = _bytes_of(permutations)
+    rows = rows.sort_values("score", kind="stable")
+    score = rows["score"].to_numpy()
+    bits = np.frombuffer(b"".join(rows["bits"]), np.uint8).reshape(-1, width)
+    head = {c: rows[c].iloc[0] for c in ("variant", "fold", "role")}
+    if head["role"] != "train":
+        return pd.DataFrame([head | {"slice": 0, "n": len(score), "ones": None, "gain": None, "cut": None, "lowest": 0.0, "scores": score.tobytes(), "bits": bits.tobytes()}])
+    last = np.flatnonzero(np.r_[score[1:] != score[:-1], True])
+    ones, gain, cut = [], [], []
+    for i in range(0, width, 4):  # a few permutations at a time, to bound the sums
+        labels = np.unpackbits(bits[:, i : i + 4], axis=1, bitorder="little").astype(np.int8)
+        ones.append(labels.sum(axis=0, dtype=np.int64))
+        lead = np.cumsum(1 - 2 * labels, axis=0, dtype=np.int32)[last]
+        best = lead.argmax(axis=0)
+        gain.append(lead[best, np.arange(lead.shape[1])].astype(np.int64))
+        cut.append(score[last][best])
+    kept = permutations + 1
+    joined = [np.concatenate(x)[:kept].tobytes() for x in (ones, gain, cut)]
+    return pd.DataFrame([head | {"slice": int(rows["slice"].iloc[0]), "n": len(score), "ones": joined[0], "gain": joined[1], "cut": joined[2], "lowest": float(score[0]), "scores": None, "bits": None}])
+
+
+def _fold_cuts(slices: pd.DataFrame) -> pd.DataFrame:
+    """The best cut of each permutation over a fold's slices, in their order; the lowest cut wins ties."""
+    slices = slices.sort_values("slice")
+    ones, gain, cut = (np.stack([np.frombuffer(x, t) for x in slices[c]]) for c, t in (("ones", np.int64), ("gain", np.int64), ("cut", np.float64)))
+    zeros_lead = slices["n"].to_numpy()[:, None] - 2 * ones
+    before = np.cumsum(zeros_lead, axis=0) - zeros_lead
+    correct = before + gain + ones.sum(axis=0)
+    best, every = correct.argmax(axis=0), np.arange(correct.shape[1])
+    all_positive = ones.sum(axis=0) >= correct[best, every]
+    threshold = np.where(all_positive, slices["lowest"].min(), cut[best, every])
+    return pd.DataFrame([{"variant": slices["variant"].iloc[0], "fold": slices["fold"].iloc[0], "threshold": threshold.tobytes(), "inclusive": all_positive.tobytes()}])
+
+
+def _judged(batches: Iterator[pd.DataFrame], permutations: int) -> Iterator[pd.DataFrame]:
+    width = _bytes_of(permutations)
+    for batch in batches:
+        out = []
+        for r in batch.itertuples():
+            score, threshold, inclusive = np.frombuffer(r.scores, np.float64), np.frombuffer(r.threshold, np.float64), np.frombuffer(r.inclusive, bool)
+            correct, ones = np.zeros(permutations + 1, np.int64), np.zeros(permutations + 1, np.int64)
+            bits = np.frombuffer(r.bits, np.uint8).reshape(-1, width)
+            for i in range(0, len(score), 4096):
+                labels = np.unpackbits(bits[i : i + 4096], axis=1, bitorder="little")[:, : permutations + 1]
+                own = score[i : i + 4096, None]
+                correct += (((own > threshold) | (inclusive & (own >= threshold))) == labels).sum(axis=0)
+                ones += labels.sum(axis=0, dtype=np.int64)
+            out.append((r.variant, r.fold, r.n, correct.tolist(), ones.tolist()))
+        yield pd.DataFrame(out, columns=["variant", "fold", "n", "correct", "ones"])
+
+
 def fold_results(
     observations: DataFrame, calendar: DataFrame, splits: DataFrame, variants: dict[str, dict[str, float]],
     permutations: int = PERMUTATIONS, seed: int = SEED, block: int = BLOCK,
 ) -> DataFrame:
-    """(variant, perm, fold): test rows and correct predictions, refit each time."""
+    """(variant, perm, fold): test rows and correct predictions, refit each time.
+
+    Scores do not depend on the permutation: a row carries all its permuted labels
+    as bits, and each slice of a fold's scores is sorted once and swept for all
+    permutations together. A cut's standing within its slice does not depend on
+    the other slices, so a fold's choice needs one row per slice.
+    """
     tagged = assign_folds(observations, calendar, splits)
-    # Scores do not depend on the permutation: they are worked out once, and only
-    # they travel with the shuffled labels.
-    narrow = tagged.select("fold", "role", "decision_date", "ticker", "y", variant_cells(variants).alias("scores"))
-    rows = permute_labels(narrow, permutations, seed, block)
-    scored = spread_variants(rows, variants, ["perm", "fold", "role", "y_perm"])
-    keys = ["variant", "perm", "fold"]
-    # Fit and prediction depend on scores and labels alone: rows collapse to counts,
-    # written once, so the permuted join is not repeated for train and test.
-    counts = scored.groupBy(*keys, "role", "score", "y_perm").agg(F.count("*").alias("n"))
-    counts = materialize(counts, "permuted-counts")
-    cuts = best_thresholds(counts.filter(F.col("role") == "train"), keys, weight="n")
-    judged = predict(counts.filter(F.col("role") == "test"), cuts, keys)
-    return judged.groupBy(*keys).agg(
-        F.sum("n").alias("n"),
-        F.coalesce(F.sum(F.when(F.col("predicted") == F.col("y_perm"), F.col("n"))), F.lit(0)).alias("correct"),
-        F.coalesce(F.sum(F.when(F.col("y_perm") == 1, F.col("n"))), F.lit(0)).alias("ones"),
-    )
+    keys = ["fold", "role", "decision_date"]
+    narrow = materialize(tagged.select(*keys, "ticker", "y", variant_cells(variants).alias("scores")), "study-rows")
+    width = _bytes_of(permutations)
+    nth = F.row_number().over(Window.partitionBy(*keys).orderBy("ticker")) - 1
+    placed = narrow.select(*keys, "scores", nth.alias("nth")).join(label_matrix(narrow, permutations, seed, block), keys)
+    own = placed.select("fold", "role", "scores", F.expr(f"substring(bits, nth * {width} + 1, {width})").alias("bits"))
+    cells = spread_variants(own, variants, ["fold", "role", "bits"]).withColumn("slice", F.floor(F.col("score") * SLICES).cast("int"))
+    types = dict(cells.dtypes)
+    schema = f"variant string, fold {types['fold']}, role string, slice int, n long, ones binary, gain binary, cut binary, lowest double, scores binary, bits binary"
+    group = ["variant", "fold", "role", "slice"]
+    swept = spread(cells, *group).groupBy(*group).applyInPandas(lambda rows: _swept(rows, permutations), schema)
+    swept = materialize(swept, "study-slices")
+    cuts = swept.where("role = 'train'").select("variant", "fold", "slice", "n", "ones", "gain", "cut", "lowest")
+    cuts = cuts.groupBy("variant", "fold").applyInPandas(lambda rows: _fold_cuts(rows), f"variant string, fold {types['fold']}, threshold binary, inclusive binary")
+    test = swept.where("role = 'test'").select("variant", "fold", "n", "scores", "bits").join(cuts, ["variant", "fold"])
+    judged = test.mapInPandas(lambda batches: _judged(batches, permutations), f"variant string, fold {types['fold']}, n long, correct array<long>, ones array<long>")
+    each = judged.select("variant", "fold", "n", F.posexplode(F.arrays_zip("correct", "ones")).alias("perm", "of"))
+    return each.groupBy("variant", "perm", "fold").agg(F.sum("n").alias("n"), F.sum("of.correct").alias("correct"), F.sum("of.ones").alias("ones"))
 
 
 def evaluation_report(results: DataFrame) -> DataFrame:
@@ -204,6 +318,24 @@ def evaluation_report(results: DataFrame) -> DataFrame:
     return df.withColumn("verdict", verdict())
 
 
+def study_result(observations: DataFrame, splits: DataFrame, calendar: DataFrame, report: DataFrame, ic: DataFrame, variants: dict[str, dict[str, float]]) -> DataFrame:
+    """One row per (variant, component it weighs): the variant's report beside the component's rank IC and the study's extent.
+
+    ``status`` says whether the training and test rows suffice to speak of an edge.
+    """
+    tagged = assign_folds(observations, calendar, splits)
+    sides = tagged.groupBy("role").agg(F.count("*").alias("n")).groupBy().pivot("role", ["train", "test"]).agg(F.first("n")).na.fill(0)
+    extent = observations.agg(
+        F.count("*").alias("study_rows"), F.count_distinct("ticker").alias("instruments"), F.min("decision_date").alias("first_decision"), F.max("decision_date").alias("last_decision")
+    ).crossJoin(F.broadcast(calendar.agg(F.count("*").alias("sessions")))).crossJoin(F.broadcast(sides.withColumnsRenamed({"train": "n_train", "test": "n_test"})))
+    spark = observations.sparkSession
+    weights = spark.createDataFrame([(v, c, float(w)) for v, own in variants.items() for c, w in own.items()], "variant string, component string, weight double")
+    summary = ic.select("component", "mean_ic", "t_stat", "thin_universe", F.col("folds").alias("ic_folds"))
+    joined = F.broadcast(weights).join(summary, "component", "left").join(report, "variant", "left").crossJoin(F.broadcast(extent))
+    enough = (F.col("n_train") >= LEAST_ROWS) & (F.col("n_test") >= LEAST_ROWS)
+    return joined.withColumn("status", F.when(enough, "STUDY_REPORT").otherwise("INSUFFICIENT_ELIGIBLE_DATA")).withColumn("verdict", F.when(enough, F.col("verdict")))
+
+
 def verdict() -> Column:
     """Harsh by design: the default answer is no edge."""
     return (

@@ -432,9 +432,9 @@ def make_splits(spark, sf):
 
 @query(
     "sessions_between",
-    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS opened, CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 AS INTEGER) AS closed,
-    (SELECT count(*) FROM cal WHERE session_date > CAST(o_orderdate AS DATE) AND session_date < CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 AS INTEGER)) AS gap_sessions,
-    CAST(o_orderdate AS DATE) >= (SELECT min(session_date) FROM cal) AND CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 AS INTEGER) <= (SELECT max(session_date) FROM cal) AS in_calendar
+    """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS opened, CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 - 4 AS INTEGER) AS closed,
+    (SELECT count(*) FROM cal WHERE session_date < CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 - 4 AS INTEGER)) - (SELECT count(*) FROM cal WHERE session_date <= CAST(o_orderdate AS DATE)) AS gap_sessions,
+    CAST(o_orderdate AS DATE) >= (SELECT min(session_date) FROM cal) AND CAST(o_orderdate AS DATE) + CAST(o_custkey % 20 - 4 AS INTEGER) <= (SELECT max(session_date) FROM cal) AS in_calendar
     FROM orders""",
     "cal",
 )
@@ -442,7 +442,7 @@ def sessions_between(spark, sf):
     cal = V.calendar(spark, sf)
     o = V.table(spark, sf, "orders").select(
         "o_orderkey", F.to_date("o_orderdate").alias("opened"),
-        F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 20).cast("int")).alias("closed"),
+        F.date_add(F.to_date("o_orderdate"), (F.col("o_custkey") % 20 - 4).cast("int")).alias("closed"),
     )
     return C.spans(C.sessions_between(o, cal, "opened", "closed"), cal, "opened", "closed")
 
@@ -592,17 +592,32 @@ def _study(spark, sf, variants=STUDY_VARIANTS, permutations=PERMS):
 
 @query(
     "grouped_block_permutation",
-    """SELECT perm, CAST(fold AS BIGINT) AS fold, role, decision_date, ticker, y, y_perm FROM permuted WHERE perm <= 2""",
+    """SELECT perm, CAST(fold AS BIGINT) AS fold, role, decision_date, count(*) AS rows, CAST(sum(y_perm) AS BIGINT) AS ones, string_agg(CAST(y_perm AS VARCHAR), '' ORDER BY ticker) AS labels FROM permuted GROUP BY 1, 2, 3, 4""",
     "permuted",
 )
 def grouped_block_permutation(spark, sf):
+    """Each date's labels under every permutation, in order of ticker."""
     obs, cal, splits = V.study_inputs(spark, sf)
-    tagged = C.assign_folds(obs, cal, splits)
-    rows = E.permute_labels(tagged.withColumn("y0", F.col("y")), 2)
-    return rows.select(
-        F.col("perm").cast("long").alias("perm"), F.col("fold").cast("long").alias("fold"), "role", "decision_date", "ticker",
-        F.col("y0").cast("long").alias("y"), F.col("y_perm").cast("long").alias("y_perm"),
-    )
+    rows = E.permute_labels(C.assign_folds(obs, cal, splits), PERMS)
+    dated = rows.groupBy(F.col("perm").cast("long").alias("perm"), F.col("fold").cast("long").alias("fold"), "role", "decision_date")
+    letters = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ticker", "y_perm"))), lambda r: r["y_perm"].cast("string")), "")
+    return dated.agg(F.count("*").alias("rows"), F.sum("y_perm").cast("long").alias("ones"), letters.alias("labels"))
+
+
+@query(
+    "label_matrix",
+    """SELECT CAST(fold AS BIGINT) AS fold, role, decision_date, string_agg(labels, ',' ORDER BY ticker) AS labels FROM
+    (SELECT fold, role, decision_date, ticker, string_agg(CAST(y_perm AS VARCHAR), '' ORDER BY perm) AS labels FROM permuted GROUP BY 1, 2, 3, 4) GROUP BY 1, 2, 3""",
+    "permuted",
+)
+def label_matrix(spark, sf):
+    """The packed labels of each date's rows, read back bit by bit."""
+    obs, cal, splits = V.study_inputs(spark, sf)
+    packed = E.label_matrix(C.assign_folds(obs, cal, splits).select("fold", "role", "decision_date", "ticker", "y"), PERMS)
+    width = PERMS // 8 + 1
+    bit = f"cast(shiftright(cast(conv(hex(substring(bits, r * {width} + p div 8 + 1, 1)), 16, 10) as int), p % 8) & 1 as string)"
+    letters = F.expr(f"array_join(transform(sequence(0, length(bits) div {width} - 1), r -> array_join(transform(sequence(0, {PERMS}), p -> {bit}), '')), ',')")
+    return packed.select(F.col("fold").cast("long").alias("fold"), "role", "decision_date", letters.alias("labels"))
 
 
 @query(
@@ -629,9 +644,7 @@ def walk_forward_folds(spark, sf):
     )
 
 
-@query(
-    "walk_forward_report",
-    f"""WITH runs AS (SELECT variant, perm, sum(n)::DOUBLE AS n, sum(correct)::DOUBLE AS c, sum(ones)::DOUBLE AS o, count(*) AS folds,
+REPORT_SQL = f"""WITH runs AS (SELECT variant, perm, sum(n)::DOUBLE AS n, sum(correct)::DOUBLE AS c, sum(ones)::DOUBLE AS o, count(*) AS folds,
       max(correct / n::DOUBLE) - min(correct / n::DOUBLE) AS spread FROM fold_res GROUP BY 1, 2),
     rl AS (SELECT *, c / n AS acc, greatest(o, n - o) / n AS maj FROM runs WHERE perm = 0),
     st AS (SELECT r.variant, avg(r.c / r.n) AS m, stddev_pop(r.c / r.n) AS sd, (count(*) FILTER (WHERE r.c / r.n >= acc) + 1) / (count(*) + 1)::DOUBLE AS p,
@@ -639,9 +652,10 @@ def walk_forward_folds(spark, sf):
     z AS (SELECT *, CASE WHEN sd < 1e-12 THEN 0 ELSE (acc - m) / sd END AS z FROM rl JOIN st USING (variant))
     SELECT variant, CAST(n AS BIGINT) AS observations, folds, {S('acc', 8)} AS accuracy, {S('maj', 8)} AS majority_rate, {S('spread', 8)} AS fold_accuracy_spread,
     {S('m', 8)} AS permutation_mean, {S('sd', 7)} AS permutation_std, {S('p', 8)} AS p_value, k AS permutations, {S('z', 5)} AS z_vs_noise,
-    CASE WHEN acc <= maj THEN 'NO_EDGE_MAJORITY' WHEN p > 0.05 THEN 'NO_EDGE_CHANCE' WHEN z < 2 THEN 'INCONCLUSIVE' ELSE 'SIGNAL_CANDIDATE' END AS verdict FROM z""",
-    "fold_res",
-)
+    CASE WHEN acc <= maj THEN 'NO_EDGE_MAJORITY' WHEN p > 0.05 THEN 'NO_EDGE_CHANCE' WHEN z < 2 THEN 'INCONCLUSIVE' ELSE 'SIGNAL_CANDIDATE' END AS verdict FROM z"""
+
+
+@query("walk_forward_report", REPORT_SQL, "fold_res")
 def walk_forward_report(spark, sf):
     r = E.evaluation_report(_study(spark, sf))
     r = _rounded(r, 8, "accuracy", "majority_rate", "fold_accuracy_spread", "permutation_mean", "p_value")
@@ -705,6 +719,31 @@ def rank_ic_summary(spark, sf):
     return _rounded(_rounded(df, 8, "mean_ic", "stdev_ic", "hit_rate"), 5, "t_stat")
 
 
+WEIGHTS_SQL = ", ".join(f"('{v}', '{c}', {float(w)!r}::DOUBLE)" for v, own in STUDY_VARIANTS.items() for c, w in own.items())
+
+
+@query(
+    "study_result",
+    f"""WITH report AS ({REPORT_SQL}), summary AS ({SUMMARY_SQL}), sides AS (SELECT count(*) FILTER (WHERE role = 'train') AS n_train, count(*) FILTER (WHERE role = 'test') AS n_test FROM folded),
+    extent AS (SELECT count(*) AS study_rows, count(DISTINCT ticker) AS instruments, min(decision_date) AS first_decision, max(decision_date) AS last_decision, (SELECT count(*) FROM cal) AS sessions FROM obs)
+    SELECT w.variant, w.component, w.weight, mean_ic, i.t_stat, i.folds AS ic_folds, thin_universe, r.folds, accuracy, majority_rate, p_value, z_vs_noise, permutations, study_rows, instruments, first_decision, last_decision, sessions, n_train, n_test,
+    CASE WHEN n_train >= 20 AND n_test >= 20 THEN 'STUDY_REPORT' ELSE 'INSUFFICIENT_ELIGIBLE_DATA' END AS status, CASE WHEN n_train >= 20 AND n_test >= 20 THEN verdict END AS verdict
+    FROM (VALUES {WEIGHTS_SQL}) w(variant, component, weight) LEFT JOIN summary i USING (component) LEFT JOIN report r USING (variant), extent, sides""",
+    "fold_res fold_ic folded obs cal",
+)
+def study_result(spark, sf):
+    """Every variant's verdict beside the rank IC of the components it weighs, from one set of observations."""
+    obs, cal, splits = V.study_inputs(spark, sf)
+    report = E.evaluation_report(E.fold_results(obs, cal, splits, STUDY_VARIANTS, PERMS))
+    ic = IC.ic_summary(IC.fold_ic(obs, cal, splits))
+    df = E.study_result(obs, splits, cal, report, ic, STUDY_VARIANTS)
+    df = _rounded(_rounded(df, 8, "mean_ic", "accuracy", "majority_rate", "p_value"), 5, "t_stat", "z_vs_noise")
+    return df.select(
+        "variant", "component", "weight", "mean_ic", "t_stat", "ic_folds", "thin_universe", "folds", "accuracy", "majority_rate", "p_value", "z_vs_noise", "permutations", "study_rows", "instruments",
+        "first_decision", "last_decision", "sessions", "n_train", "n_test", "status", "verdict",
+    )
+
+
 @query(
     "rank_ic_pooled",
     f"""SELECT * FROM (SELECT component, CAST(fold AS BIGINT) AS fold, count(*) AS n, {S(SPEARMAN, 8)} AS ic FROM
