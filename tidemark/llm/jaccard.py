@@ -17,9 +17,10 @@ connected: components are the result, so a group of copies costs one link each.
 At scale. Shingles travel once, as five bytes in rows packed per (slice of a
 batch, bucket), and back packed per (bucket, part of the nodes); those frequent
 in a slice go once per slice. Trees of more
-than ``UNIT`` shingles or ``MOST`` nodes are split into chunks: chunks link inside, their
-representatives link next, and chunk pairs are then traversed only where they
-still hold different components. Shingles are told apart by 64-bit hashes when
+than ``UNIT`` shingles or ``MOST`` nodes are split into chunks of neighbouring
+sizes: chunks link inside, their representatives link next, and chunk pairs are
+then traversed only where their size ranges allow a link and they still hold
+different components. Shingles are told apart by 64-bit hashes when
 sets are counted, and by 40 bits and their bucket in intersections.
 
 Defined results: rows without doc_id are left out; rows that share a doc_id are
@@ -36,7 +37,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.session import materialize
 
@@ -338,9 +339,17 @@ def _linked(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def _chunked(placed: DataFrame, unit: int) -> DataFrame:
-    """``placed`` with chunks (how many its cluster needs) and chunk."""
-    need = placed.groupBy("cluster").agg(F.greatest(F.ceil(F.sum("n") / unit), F.ceil(F.count("*") / MOST)).cast("int").alias("chunks"))
-    return placed.join(need, "cluster").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
+    """``placed`` with chunks (how many its cluster needs) and chunk: sets of neighbouring sizes, so that chunks far apart need not meet.
+
+    A set weighs its shingles, at least a share that lets ``MOST`` sets fit; a size
+    that outweighs a chunk is cut by hash.
+    """
+    weight = F.greatest(F.col("n"), F.lit(max(1, unit // MOST))).cast("long")
+    sizes = placed.groupBy("cluster", "n").agg((F.count("*") * F.first(weight)).alias("w"))
+    upto = F.sum("w").over(Window.partitionBy("cluster").orderBy("n"))
+    sizes = sizes.select("cluster", "n", F.floor((upto - F.col("w")) / unit).alias("band"), F.ceil(F.col("w") / unit).cast("int").alias("ways"), F.ceil(F.sum("w").over(Window.partitionBy("cluster")) / unit).cast("int").alias("chunks"))
+    cut = F.when(F.col("chunks") == 1, F.lit(0).cast("long")).otherwise(F.col("band") * F.lit(1 << 20) + F.pmod(F.xxhash64("node"), F.col("ways")))
+    return placed.join(sizes, ["cluster", "n"]).withColumn("chunk", cut).drop("band", "ways")
 
 
 def forest_links(placed: DataFrame, unit: int = UNIT) -> DataFrame:
@@ -366,9 +375,10 @@ def forest_links(placed: DataFrame, unit: int = UNIT) -> DataFrame:
     known = components(now).withColumnRenamed("component", "known")
     parts = large.drop("component").join(known, "node", "left").withColumn("component", F.coalesce("known", "node")).drop("known")
     parts = materialize(parts, "parts")
-    chunks = parts.groupBy("cluster", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"))
+    chunks = parts.groupBy("cluster", "chunk").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"), F.max("n").alias("most"))
+    near = (100 * F.col("l.most") >= PERCENT * F.col("r.least")) & (100 * F.col("r.most") >= PERCENT * F.col("l.least"))
     left, right = chunks.alias("l"), chunks.alias("r")
-    mixed_pairs = left.join(right, (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.chunk") < F.col("r.chunk"))).where("not (l.low = l.high and r.low = r.high and l.low = r.low)")
+    mixed_pairs = left.join(right, (F.col("l.cluster") == F.col("r.cluster")) & (F.col("l.chunk") < F.col("r.chunk")) & near).where("not (l.low = l.high and r.low = r.high and l.low = r.low)")
     pairs = mixed_pairs.select("l.cluster", F.struct("l.chunk", F.col("r.chunk").alias("other")).alias("pair"), F.explode(F.array("l.chunk", "r.chunk")).alias("chunk"))
     crossed = parts.join(pairs, ["cluster", "chunk"]).groupBy("cluster", "pair").applyInPandas(lambda rows: _linked(rows), "a long, b long")
     return now.union(materialize(crossed, "found"))
