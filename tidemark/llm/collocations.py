@@ -1,6 +1,6 @@
 """Phrase collocations by SON partitioning.
 
-Texts are stored as shards: about a million words of one language, coded by
+Texts are stored as shards: about a quarter of a million words of one language, coded by
 the shard's own vocabulary. Each shard is mined completely at a local support
 lowered in proportion to its share of the language's words; what is frequent in
 some shard is a candidate; a last pass counts all candidates exactly, word by
@@ -17,7 +17,8 @@ At scale. Frequent words and candidates come back to the shards as bitmaps of
 ``BITS`` bits (8 MB) at every size of input; where two hashes share a bit, a
 phrase too many is counted, never one too few. A shard names each distinct phrase
 once, however often it holds it, in one packed row a bucket of hashes, so a
-phrase in a third of all texts costs some bytes a shard. With an absolute support and many shards the
+phrase in a third of all texts costs some bytes a shard; the last pass adds up a
+task's shards before it sends them. With an absolute support and many shards the
 local support falls to one: then every pair of frequent words is named, and the
 longer phrases whose pairs are candidates. The last ranking takes the first
 ``most`` per (language, slice) before it takes those of a language.
@@ -45,8 +46,9 @@ from .flat import by_bytes, byte_table, flat_words, from_planes, low_planes, ope
 from .jaccard import mixed
 
 SUPPORT, LONGEST, INSIDE_PERCENT, MOST = 30, 4, 80, 2_000
-SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 6_000_000, 16_000_000, 4_000_000
-BUCKET_WORDS = 8_000_000
+SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 1_500_000, 6_000_000, 2_000_000
+#: Words of the corpus per bucket of the exchanges; phrases that a task adds up before it sends them.
+BUCKET_WORDS, TALLY = 4_000_000, 200_000
 BITS = 26
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = byte_table(b"\t", PIECE_ENDS, b".")
@@ -169,6 +171,11 @@ def _each_shard(table: DataFrame, words_bitmap: np.ndarray, mine, schema: str, *
 
 
 NAMED = "bucket int, need long, packed binary"
+KEY_BYTES = 4
+
+
+def _packed_rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
 
 def _named(hashes: np.ndarray, counts: np.ndarray, local: int, need: int, bits: int) -> pa.RecordBatch:
@@ -177,14 +184,13 @@ def _named(hashes: np.ndarray, counts: np.ndarray, local: int, need: int, bits:
     order = np.argsort(hashes[own])
     hashes, gain = hashes[own][order], counts[own][order] - (local - 1)
     gain = gain.astype(np.uint8 if len(gain) and gain.max() < 256 else np.int64)
-    keys = (hashes >> np.uint64(24 - bits)) & np.uint64((1 << 40) - 1)
-    rows = [(k, need, squeezed(low_planes(keys[i:j]), gain[i:j])) for k, i, j in places((hashes >> np.uint64(64 - bits)).astype(np.int64))]
-    kinds = {"bucket": pa.int32(), "need": pa.int64(), "packed": pa.binary()}
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+    keys = (hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
+    rows = [(k, need, squeezed(low_planes(keys[i:j], KEY_BYTES), gain[i:j])) for k, i, j in places((hashes >> np.uint64(64 - bits)).astype(np.int64))]
+    return _packed_rows(rows, {"bucket": pa.int32(), "need": pa.int64(), "packed": pa.binary()})
 
 
 def _union(named: DataFrame, bits: int) -> DataFrame:
-    """(h): what may be frequent in all, by the highest bits of its hash."""
+    """(h): what may be frequent in all, by the highest bits of its hash; two phrases that share them are both kept."""
 
     def reached(rows: pd.DataFrame) -> pd.DataFrame:
         unpacked = [opened(p) for p in rows["packed"]]
@@ -195,11 +201,59 @@ def _union(named: DataFrame, bits: int) -> DataFrame:
         keys = keys[order]
         first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
         kept = keys[first][np.add.reduceat(gain[order], first) >= np.minimum.reduceat(need[order], first)]
-        return pd.DataFrame({"h": ((np.uint64(rows["bucket"].iloc[0]) << np.uint64(64 - bits)) | (kept << np.uint64(24 - bits))).view(np.int64)})
+        return pd.DataFrame({"h": ((np.uint64(rows["bucket"].iloc[0]) << np.uint64(64 - bits)) | (kept << np.uint64(32 - bits))).view(np.int64)})
 
     return spread(named, "bucket").groupBy("bucket").applyInPandas(reached, "h long")
 
 
+class Tally:
+    """Exact counts of a task's phrases, added up across its shards and put out packed per bucket."""
+
+    def __init__(self, bits: int, most: int = TALLY):
+        self.bits, self.most, self.held, self.rows = bits, most, [], 0
+
+    def add(self, lang: str, phrases: pa.Array, length: int, counts: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(counts)
+        columns = [pa.array([lang] * n, pa.string()).dictionary_encode().cast(pa.string()), phrases, pa.array(np.full(n, length, np.int32)), pa.array(counts.astype(np.int64)), pa.array((hashes >> np.uint64(64 - self.bits)).astype(np.int32))]
+        self.held.append(pa.table(columns, names=["lang", "phrase", "k", "f", "bucket"]))
+        self.rows += n
+        if self.rows > 2 * self.most:
+            self.combine()
+            if self.rows > self.most:
+                yield from self.flush()
+
+    def combine(self) -> None:
+        whole = pa.concat_tables(self.held).group_by(["lang", "phrase", "k", "bucket"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+        self.held, self.rows = [whole.select(["lang", "phrase", "k", "f", "bucket"])], whole.num_rows
+
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        if not self.held:
+            return
+        self.combine()
+        (whole,), self.held, self.rows = self.held, [], 0
+        whole = whole.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+        rows = []
+        for k, i, j in places(whole.column("bucket").to_numpy().astype(np.int64)):
+            own = whole.slice(i, j - i).combine_chunks()
+            words = own.column("phrase").cast(pa.binary()).combine_chunks()
+            sizes = pc.binary_length(words).to_numpy().astype(np.int32)
+            langs = own.column("lang").combine_chunks().dictionary_encode()
+            rows.append((k, squeezed(langs.dictionary.to_pylist(), langs.indices.to_numpy().astype(np.int32), b"".join(words.to_pylist()), sizes, own.column("k").to_numpy().astype(np.int8), own.column("f").to_numpy())))
+        yield _packed_rows(rows, {"bucket": pa.int32(), "packed": pa.binary()})
+
+
+def _added_up(rows: pd.DataFrame, support: int) -> pd.DataFrame:
+    """One bucket: phrases that reach the support, word by word."""
+    tables = []
+    for packed in rows["packed"]:
+        names, lang, raw, sizes, k, f = opened(packed)
+        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
+        words = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
+        tables.append(pa.table([pa.array(names, pa.string()).take(pa.array(lang)), words, pa.array(k.astype(np.int32)), pa.array(f)], names=["lang", "phrase", "k", "f"]))
+    whole = pa.concat_tables(tables).group_by(["lang", "phrase", "k"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
+    return whole.filter(pc.field("f") >= support).select(["lang", "phrase", "k", "f"]).to_pandas()
+
+
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f): words and phrases of at least ``support``; (lang, n): all words)."""
     stored = materialize(shards(docs, shard_bytes), "collocation-shards")
@@ -211,16 +265,18 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     all_words = totals.agg(F.sum("total")).first()[0] or 0
     bits = min(24, max(3, int(np.ceil(np.log2(max(1.0, all_words / BUCKET_WORDS))))))
 
-    spelled = stored.select("lang", F.explode(F.arrays_zip("vocabulary", "counts")).alias("x"))
-    counted = spelled.groupBy("lang", F.col("x.vocabulary").alias("phrase")).agg(F.sum("x.counts").alias("f")).where(F.col("f") >= support)
-    single = materialize(counted.withColumn("k", F.lit(1)), "collocation-words")
-    word_bits = bitmap_of(single.select(F.xxhash64("lang", "phrase").alias("h")))
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, counts, least, need in zip(*(batch.column(c) for c in ("h", "counts", "local", "need"))):
+                yield _named(h.values.to_numpy(zero_copy_only=False).view(np.uint64), counts.values.to_numpy(zero_copy_only=False), least.as_py(), need.as_py(), bits)
+
+    words_bitmap = bitmap_of(_union(table.select("h", "counts", "local", "need").mapInArrow(single, NAMED), bits))
 
     def pairs(row: dict, own: Mined) -> Iterator[pa.RecordBatch]:
         _, counts, hashes = own.lengthen()
         yield _named(hashes, counts, row["local"].as_py(), row["need"].as_py(), bits)
 
-    pair_bits = bitmap_of(_union(_each_shard(table, word_bits, pairs, NAMED, "local", "need"), bits))
+    pair_bits = bitmap_of(_union(_each_shard(table, words_bitmap, pairs, NAMED, "local", "need"), bits))
 
     def longer(row: dict, own: Mined) -> Iterator[pa.RecordBatch]:
         _, counts, hashes = own.lengthen()
@@ -232,22 +288,30 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
 
     candidates = pair_bits
     if longest > 2:
-        candidates = candidates | bitmap_of(_union(_each_shard(table, word_bits, longer, NAMED, "local", "need"), bits))
-
-    def exact(row: dict, own: Mined) -> Iterator[pa.RecordBatch]:
-        vocabulary = row["vocabulary"].values
-        for _ in range(longest - 1):
-            first, counts, hashes = own.lengthen()
-            chosen = flagged(candidates, hashes)
-            own.keep(chosen)
-            first, counts = first[chosen], counts[chosen]
-            parts = [vocabulary.take(pa.array(own.codes[first + j])) for j in range(own.length)]
-            phrase = pc.binary_join_element_wise(*parts, " ") if len(first) else pa.array([], pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([row["lang"].as_py()] * len(first), pa.string()), phrase, pa.array(np.full(len(first), own.length, np.int32)), pa.array(counts, pa.int64())], names=["lang", "phrase", "k", "f"])
-
-    found = _each_shard(stored, word_bits, exact, "lang string, phrase string, k int, f long", "lang", "vocabulary")
-    phrases = found.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f")).where(F.col("f") >= support)
-    both = phrases.unionByName(single)
+        candidates = candidates | bitmap_of(_union(_each_shard(table, words_bitmap, longer, NAMED, "local", "need"), bits))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(bits)
+        for batch in batches:
+            for lang, vocabulary, uses, h, packed in zip(*(batch.column(c) for c in ("lang", "vocabulary", "counts", "h", "codes"))):
+                lang, vocabulary, (codes,) = lang.as_py(), vocabulary.values, opened(packed.as_py())
+                hashes = h.values.to_numpy(zero_copy_only=False).view(np.uint64)
+                frequent = flagged(words_bitmap, hashes)
+                at = np.flatnonzero(frequent)
+                yield from tally.add(lang, vocabulary.take(pa.array(at)), 1, uses.values.to_numpy(zero_copy_only=False)[at], hashes[at])
+                own = Mined(codes, hashes, frequent)
+                for _ in range(longest - 1):
+                    first, counts, names = own.lengthen()
+                    chosen = flagged(candidates, names)
+                    own.keep(chosen)
+                    first = first[chosen]
+                    if len(first):
+                        parts = [vocabulary.take(pa.array(own.codes[first + j])) for j in range(own.length)]
+                        yield from tally.add(lang, pc.binary_join_element_wise(*parts, " "), own.length, counts[chosen], names[chosen])
+        yield from tally.flush()
+
+    found = stored.select("lang", "vocabulary", "counts", "h", "codes").mapInArrow(exact, "bucket int, packed binary")
+    both = spread(found, "bucket").groupBy("bucket").applyInPandas(lambda rows: _added_up(rows, support), "lang string, phrase string, k int, f long")
     return materialize(both, "collocation-phrases"), totals.select("lang", F.col("total").alias("n"))
 
 

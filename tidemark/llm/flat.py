@@ -75,12 +75,12 @@ def places(bucket: np.ndarray) -> Iterator[tuple[int, int, int]]:
         yield from zip(bucket[cut].tolist(), cut.tolist(), [*cut[1:].tolist(), len(bucket)])
 
 
-def low_planes(keys: np.ndarray) -> np.ndarray:
-    """The low 40 bits of sorted keys, byte by byte: the high bytes compress."""
-    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T)
+def low_planes(keys: np.ndarray, width: int = 5) -> np.ndarray:
+    """The low bytes of sorted keys, plane by plane: the high ones compress."""
+    return np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T)
 
 
 def from_planes(planes: np.ndarray) -> np.ndarray:
     wide = np.zeros((planes.shape[1], 8), np.uint8)
-    wide[:, :5] = planes.T
+    wide[:, : len(planes)] = planes.T
     return wide.view("<u8").ravel()
