@@ -59,7 +59,27 @@ def test_run_equals_the_stages(spark, corpus):
     assert got.agg(F.max(F.col("offset") + F.col("length"))).first()[0] <= 2048
 
 
+def test_rows_of_one_id_go_together(spark, corpus):
+    path, texts, leak = corpus
+    rows = [(207, texts[0]), (207, leak + " " + texts[1]), (208, texts[2]), (208, texts[2]), (209, texts[100]), (209, texts[5]), (None, texts[6]), (210, texts[7])]
+    extra = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    docs = spark.read.parquet(f"{path}/documents.parquet").unionByName(extra).selectExpr("*", "1 AS item_id", "2 AS predicted", "3 AS contaminated", "4 AS good")
+    kept = lambda stage: sorted(r.doc_id for r in stage(spark, docs, path).where("doc_id > 200").collect())
+    assert kept(corpus_pipeline.keep_uncontaminated) == [208, 208, 209, 209, 210]
+    assert kept(corpus_pipeline.keep_good) == [207, 207, 208, 208, 210]
+    assert corpus_pipeline.keep_good(spark, docs, path).where("doc_id is null").isEmpty()
+
+
+def test_empty_table_passes_every_stage(spark, corpus, tmp_path):
+    path, _, _ = corpus
+    docs = spark.read.parquet(f"{path}/documents.parquet").limit(0)
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, path).write.parquet(f"{tmp_path}/empty{k}")
+        docs = spark.read.parquet(f"{tmp_path}/empty{k}")
+        assert docs.count() == 0
+
+
 def test_registered():
     names = {m[1] for n in entry.queries() if (m := re.match(r"op(\d+)_", n))}
-    assert names == {str(i) for i in range(1, 11)} and "pipeline" in entry.queries()
+    assert names == {str(i) for i in range(1, 14)} and "pipeline" in entry.queries()
     assert set(entry.oracle_sql()) <= set(entry.queries())

@@ -95,11 +95,14 @@ def test_plan_matches_large_items_best():
 
 
 def test_worker_memory_is_bounded(monkeypatch):
-    monkeypatch.setattr(packing, "PIECES", 3)
-    monkeypatch.setattr(packing, "WORDS", 2)
+    monkeypatch.setattr(packing, "PIECE_BYTES", 2 * packing.ENTRY)
+    monkeypatch.setattr(packing, "WORD_BYTES", packing.ENTRY)
     encoder = packing.Encoder(packing.tokenizer_path())
     texts = ["one two three four, five", "six seven one two", "four five six"]
     whole = Tokenizer.from_file(packing.tokenizer_path())
     for _ in range(2):
         assert encoder.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
-    assert len(encoder.pieces) <= 3 and len(encoder.words) <= 2
+    assert 0 < len(encoder.pieces) <= 3 and 0 < len(encoder.words) <= 2
+    encoder.forget()
+    assert not encoder.pieces and not encoder.words
+    assert packing.Encoder.of(packing.tokenizer_path()) is packing.Encoder.of(packing.tokenizer_path())

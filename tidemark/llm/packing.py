@@ -2,8 +2,9 @@
 
 Tokenising runs in Arrow batches. A text's tokens are those of its pieces
 between spaces and line ends, since the tokenizer never joins across white
-space; pieces, and the words in them, are remembered per worker process up to
-a fixed number, and everything unusual goes to the tokenizer whole.
+space; pieces, and the words in them, are remembered by a task up to a fixed
+number of bytes, and everything unusual goes to the tokenizer whole. Only the
+tokenizer itself stays in a worker process when its task ends.
 
 The packing is planned on the histogram of lengths, at most ``CAPACITY`` rows,
 and applied to all pieces as a join. Documents above a third of the capacity
@@ -29,15 +30,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from tidemark.session import materialize
 
+from .common import broadcast_if_small
+from .flat import by_bytes
+
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
-#: Entries that a worker process remembers: pieces of text, and words.
-PIECES, WORDS = 700_000, 800_000
-SUB_BATCH = 200
+#: Bytes, Python's overhead included, of the pieces of text and of the words that a task remembers.
+PIECE_BYTES, WORD_BYTES, ENTRY = 32_000_000, 16_000_000, 200
+BATCH_BYTES = 1_000_000
 SHARD_ROWS, STRIPES = 200_000, 64
 
 BETWEEN = re.compile("[ \n\t\r]+").split
@@ -61,12 +66,16 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.lean = Tokenizer(self.whole.model)
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.forget()
+
+    def forget(self) -> None:
         self.pieces: dict[str, bytes] = {}
         self.words: dict[str, bytes] = {}
+        self.room = {"pieces": PIECE_BYTES, "words": WORD_BYTES}
 
     @staticmethod
     def of(path: str) -> Encoder:
-        """This process's encoder, kept between tasks."""
+        """This process's encoder; what it has learned from texts is forgotten with each task."""
         kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders")).__dict__
         if path not in kept:
             kept[path] = Encoder(path)
@@ -76,14 +85,15 @@ class Encoder:
     def _new(tokenizer, texts: list[str]) -> Iterator[bytes]:
         return (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
 
-    def _learn(self, known: dict[str, bytes], limit: int, fresh: dict[str, bytes]) -> dict[str, bytes]:
-        """``known`` with what fits of ``fresh``, and a lookup for this call that holds the rest."""
-        room = limit - len(known)
-        if room >= len(fresh):
-            known.update(fresh)
-            return known
-        known.update(list(fresh.items())[: max(room, 0)])
-        return _Both(known, fresh)
+    def _learn(self, kind: str, fresh: dict[str, bytes]) -> dict[str, bytes]:
+        """What is known of a kind with what fits of ``fresh``, and a lookup for this call that holds the rest."""
+        known = getattr(self, kind)
+        for k, v in fresh.items():
+            if self.room[kind] <= 0:
+                return _Both(known, fresh)
+            known[k] = v
+            self.room[kind] -= len(k) + len(v) + ENTRY
+        return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [BETWEEN(t) for t in texts]
@@ -95,10 +105,10 @@ class Encoder:
             else:
                 odd.append(p)
         unknown = list({u for units in plain.values() for u in units if u not in self.words})
-        words = self._learn(self.words, WORDS, dict(zip(unknown, self._new(self.lean, unknown))))
+        words = self._learn("words", dict(zip(unknown, self._new(self.lean, unknown))))
         fresh = {p: b"".join([words[u] for u in units]) for p, units in plain.items()}
         fresh.update(zip(odd, self._new(self.whole, odd)))
-        pieces = self._learn(self.pieces, PIECES, fresh)
+        pieces = self._learn("pieces", fresh)
         return [b"".join([pieces[p] for p in own]) for own in cut]
 
 
@@ -117,19 +127,22 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     """(doc_id, piece, start, length, ids_crc32): each document's ids and an end, cut only where longer than ``capacity``."""
     path = path or tokenizer_path()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    kinds = {"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids_crc32": pa.int64()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
         step, end = 4 * capacity, np.array([END], "<u4").tobytes()
-        for b in batches:
-            ids, texts = b["doc_id"].tolist(), [t or "" for t in b["text"]]
-            for i in range(0, len(ids), SUB_BATCH):
+        try:
+            for b in by_bytes(batches, "text", BATCH_BYTES):
                 rows = []
-                for doc, raw in zip(ids[i : i + SUB_BATCH], encoder.encode(texts[i : i + SUB_BATCH])):
+                for doc, raw in zip(b.column("doc_id").to_pylist(), encoder.encode([t or "" for t in b.column("text").to_pylist()])):
                     raw += end
                     rows += [(doc, k, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step])) for k, at in enumerate(range(0, len(raw), step))]
-                yield pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
+        finally:
+            encoder.forget()
 
-    return docs.where("doc_id is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int, list[tuple[int, int]]]]:
@@ -231,8 +244,8 @@ def packed(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -
     slots = docs.sparkSession.createDataFrame(pd.DataFrame(rows, columns=["length", "stripe", "low", "high", "base", "at", "origin", "times", "width"]))
     width = {r[0]: r[8] for r in rows}
     widths = docs.sparkSession.createDataFrame(pd.DataFrame(sorted(width.items()), columns=["length", "width"]))
-    found = ranked(pieces).join(F.broadcast(widths), "length").withColumn("stripe", F.floor(F.col("rank") / F.col("width")))
-    met = found.drop("width").join(F.broadcast(slots.drop("width")), ["length", "stripe"]).where("rank >= low and rank < high")
+    found = ranked(pieces).join(broadcast_if_small(widths), "length").withColumn("stripe", F.floor(F.col("rank") / F.col("width")))
+    met = found.drop("width").join(broadcast_if_small(slots.drop("width")), ["length", "stripe"]).where("rank >= low and rank < high")
     nth = F.col("rank") - F.col("origin")
     return met.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
