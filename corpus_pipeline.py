@@ -2,9 +2,9 @@
 
 Five stages, each written as Parquet in the shared folder and read again as the
 next one's documents. All but the last return the columns of ``documents``.
-Rows without doc_id leave at the first stage; rows that share a doc_id are
-judged as the operators say and stay or go together; an empty table passes
-through every stage.
+Rows without doc_id leave at the first stage; rows that share a doc_id go
+together, as soon as one of them is rejected or contaminated; an empty table
+passes through every stage.
 """
 
 from __future__ import annotations
@@ -23,9 +23,14 @@ def _kept(docs: DataFrame, verdict: DataFrame) -> DataFrame:
     return docs.select(*COLUMNS).join(verdict.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
 
 
+def _all(verdict: DataFrame, good: str) -> DataFrame:
+    """The ids all of whose rows are ``good``."""
+    return verdict.groupBy("doc_id").agg(F.bool_and(F.expr(good)).alias("good")).where("good")
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier, fitted on the labels, accepts."""
-    return _kept(docs, quality.quality_scores(docs, read(spark, sf_dir, "labels")).where("predicted = 1"))
+    return _kept(docs, _all(quality.quality_scores(docs, read(spark, sf_dir, "labels")), "predicted = 1"))
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +40,7 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def keep_uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold too little of the benchmark to be contaminated."""
-    return _kept(docs, decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")).where("not contaminated"))
+    return _kept(docs, _all(decontaminate.contamination(docs, read(spark, sf_dir, "benchmark")), "not contaminated"))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
