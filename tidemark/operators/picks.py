@@ -35,7 +35,7 @@ def generate_picks(scores: DataFrame, best: DataFrame, tally: DataFrame, floor:
     reason = (
         F.when(F.col("precondition").isNotNull(), F.col("precondition"))
         .when(F.col("score").isNull(), F.concat(F.lit("insufficient history for: "), F.col("missing")))
-        .when(weak, F.format_string(f"conviction %.2f below the variant's {floor:.2f} floor", F.abs("score")))
+        .when(weak, F.format_string(f"conviction %.2f below the variant's {floor:.2f} floor", rounded(F.abs("score"), 2)))
         .when(F.col("contract_symbol").isNull(), none)
     )
     go = reason.isNull()

@@ -29,7 +29,7 @@ fragment(
 fragment(
     "picks",
     f"""SELECT s.decision_date, s.variant, s.ticker, s.kind AS k, score, b.contract_symbol IS NOT NULL AND go AS hit, CASE WHEN dayofweek(s.decision_date) IN (0, 6) THEN 'market closed: decision date is a weekend'
-   WHEN score IS NULL THEN 'insufficient history for: ' || missing WHEN abs(score) < 0.2 THEN 'conviction'
+   WHEN score IS NULL THEN 'insufficient history for: ' || missing WHEN abs(score) < 0.2 THEN printf('conviction %.2f below the variant''s 0.20 floor', {R('abs(score)', 2)})
    WHEN b.contract_symbol IS NULL THEN 'no ' || s.kind || ' passed the liquidity screen with modellable Greeks (' || coalesce(n, 0) || ' ' || s.kind || 's in the snapshot)' || CASE WHEN coalesce(detail, '') <> '' THEN '. Failed checks (can overlap): ' || detail ELSE '' END END AS reason,
    CASE WHEN b.contract_symbol IS NOT NULL AND go THEN b.contract_symbol END AS contract_symbol, b.expiration, b.strike, b.dte, b.ask AS entry, b.iv_solved, b.underlying_close, b.delta, b.round_trip_cost_1x FROM
    (SELECT *, CASE WHEN score > 0 THEN 'CALL' ELSE 'PUT' END AS kind, coalesce(abs(score) >= 0.2 AND dayofweek(decision_date) NOT IN (0, 6), FALSE) AS go FROM scores) s
@@ -49,7 +49,7 @@ DIRECTION = "CASE WHEN hit THEN CASE WHEN k = 'CALL' THEN 'BULLISH' ELSE 'BEARIS
 def generate_picks(spark, sf):
     picks, _, _ = V.picks_inputs(spark, sf)
     return picks.select(
-        "decision_date", "variant", "ticker", "action", "direction", F.regexp_replace("reason", "^conviction.*", "conviction").alias("reason"), "composite_score", "contract_symbol", "entry_fill",
+        "decision_date", "variant", "ticker", "action", "direction", "reason", "composite_score", "contract_symbol", "entry_fill",
         settled("breakeven_move_pct", 4).alias("breakeven_move_pct"),
     )
 
@@ -68,16 +68,15 @@ def pick_runs(spark, sf):
 
 @query(
     "explanations",
-    f"""SELECT decision_date, variant, ticker, CASE WHEN hit THEN CAST(expiration AS VARCHAR) || ' ' || CAST(CAST(strike AS BIGINT) AS VARCHAR) || ' ' || lower(k) || ', ' || dte || ' DTE' END AS contract_text,
+    f"""SELECT decision_date, variant, ticker, CASE WHEN hit THEN printf('%s scored %+.4f (%s). %s %.0f %s, %d DTE, selected by delta. Paper hypothesis; not a profit guarantee.', ticker, {R('score', 4)}, lower({DIRECTION}), CAST(expiration AS VARCHAR), strike, lower(k), CAST(dte AS BIGINT))
+     ELSE ticker || ': ABSTAIN. ' || reason END AS short_justification,
     sha256('{{"action":"' || {ACTION} || '","contract_symbol":' || coalesce('"' || contract_symbol || '"', 'null') || ',"decision_date":"' || decision_date || '","direction":' || coalesce('"' || {DIRECTION} || '"', 'null')
      || ',"ticker":"' || ticker || '","variant":"' || variant || '"}}') AS fingerprint FROM picks""",
     "picks",
 )
 def explanations(spark, sf):
     picks, _, _ = V.picks_inputs(spark, sf)
-    e = PK.explain(picks)
-    text = F.regexp_extract("short_justification", r"\). (\S+ \d+ \w+, \d+ DTE)", 1)
-    return e.select("decision_date", "variant", "ticker", F.when(F.col("action") != "ABSTAIN", text).alias("contract_text"), "fingerprint")
+    return PK.explain(picks).select("decision_date", "variant", "ticker", "short_justification", "fingerprint")
 
 
 BSD = D1("spot", "strike", "tl", "0.04::DOUBLE", "iv_solved", "0")
