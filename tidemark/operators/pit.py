@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .asof import salted_join
+from .asof import asof_backward, salted_join
+from .running import running_sums
 
 TIMES = ("event_time", "published_time", "available_time", "ingested_time")
 
@@ -109,6 +110,51 @@ def independent_events_conservative(visible: DataFrame, keys: list[str]) -> Data
     )
 
 
+COUNTS = ("records", "independent_events", "confirmed_independent_events", "unresolved_count")
+
+
+def visibility_steps(records: DataFrame, include_quarantined: bool = False, bucket_seconds: int = 86400) -> DataFrame:
+    """(ticker_at_time, changed_at) with what is visible from then on: records, clusters, confirmed clusters, unresolved records.
+
+    A record adds one when it becomes available and takes it away when a revision
+    hides it. Within a cluster these steps run to the number of its visible
+    records; where that leaves or meets zero, the cluster itself appears or goes.
+    Steps of one instant are added up first, and running sums are cut by time, so
+    neither a story with many copies nor a hot ticker is one task.
+    """
+    df = with_hidden_from(records)
+    if not include_quarantined:
+        df = df.filter(F.col("validation_status") != "QUARANTINED")
+    df = df.filter(F.col("hidden_from").isNull() | (F.col("hidden_from") > F.col("available_time")))
+    step = lambda when, n: F.struct(F.col(when).alias("changed_at"), F.lit(n).cast("long").alias("d"))
+    story = F.coalesce("lineage_cluster_id", F.lit("\u0000"))  # records without a cluster count as one
+    steps = df.select("ticker_at_time", story.alias("_story"), unresolved().alias("_unresolved"), F.explode(F.array(step("available_time", 1), step("hidden_from", -1))).alias("s"))
+    steps = steps.select("ticker_at_time", "_story", "_unresolved", "s.*").filter(F.col("changed_at").isNotNull() & F.col("ticker_at_time").isNotNull())
+    at_once = steps.groupBy("ticker_at_time", "_story", "_unresolved", "changed_at").agg(F.sum("d").alias("d"))
+    bucket = F.floor(F.unix_micros("changed_at") / F.lit(bucket_seconds * 1_000_000))
+    run = running_sums(at_once, ["ticker_at_time", "_story"], bucket, ["changed_at"], {"held": F.col("d")})
+    before = F.col("held") - F.col("d")
+    appears = F.when((F.col("held") > 0) & (before == 0), 1).when((F.col("held") == 0) & (before > 0), -1).otherwise(0)
+    zero = F.lit(0).cast("long")
+    changes = {
+        "records": F.col("d"), "independent_events": F.col("_appears"),
+        "confirmed_independent_events": F.when(F.col("_unresolved"), zero).otherwise(F.col("_appears")), "unresolved_count": F.when(F.col("_unresolved"), F.col("d")).otherwise(zero),
+    }
+    per_ticker = run.withColumn("_appears", appears.cast("long")).groupBy("ticker_at_time", "changed_at").agg(*[F.sum(c).alias(f"d_{n}") for n, c in changes.items()])
+    return running_sums(per_ticker, ["ticker_at_time"], bucket, ["changed_at"], {n: F.col(f"d_{n}") for n in COUNTS}).select("ticker_at_time", "changed_at", *COUNTS)
+
+
+def visibility_counts(records: DataFrame, decisions: DataFrame, include_quarantined: bool = False, bucket_seconds: int = 86400) -> DataFrame:
+    """Per decision (ticker_at_time, decision_time) that sees something: ``COUNTS`` and the optimistic upper bound.
+
+    Equals counting the rows of ``as_of_many`` without making a record x decision pair.
+    """
+    steps = visibility_steps(records, include_quarantined, bucket_seconds)
+    asked = decisions.select("ticker_at_time", "decision_time").distinct()
+    seen = asof_backward(asked, steps, "ticker_at_time", "decision_time", "changed_at", list(COUNTS), bucket_seconds=bucket_seconds).filter(F.col("records") > 0)
+    return seen.withColumn("optimistic_upper_bound", F.col("confirmed_independent_events") + F.col("unresolved_count"))
+
+
 def lineage_breakdown(visible: DataFrame, keys: list[str]) -> DataFrame:
     """Cluster membership, one row per record with its cluster's size.
 
@@ -157,17 +203,33 @@ def bars_as_known(vintages: DataFrame, cutoff: Column) -> DataFrame:
     return latest.select("ticker", "date", "b.close", "b.vintage", "available_time", fault.alias("fault"))
 
 
-def known_contracts(specs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Standard 100-share contracts both known and listed by each decision."""
+def usable_contracts(specs: DataFrame) -> DataFrame:
+    """Standard 100-share contracts with ``usable_from``: when they were both known and listed."""
     ok = (
         F.col("standard_contract") & (F.col("premium_multiplier") == 100) & (F.col("deliverable_shares") == 100)
         & F.col("spec_source").isNotNull()
     )
-    usable = specs.filter(ok).withColumn("usable_from", F.greatest("known_utc", "listed_utc"))
-    pairs = salted_join(usable, decisions, "underlying", "contract_id")
+    return specs.filter(ok).withColumn("usable_from", F.greatest("known_utc", "listed_utc"))
+
+
+def known_contracts(specs: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Standard 100-share contracts both known and listed by each decision, one row per pair."""
+    pairs = salted_join(usable_contracts(specs), decisions, "underlying", "contract_id")
     return pairs.filter(F.col("usable_from") <= F.col("decision_utc"))
 
 
+def known_contract_counts(specs: DataFrame, decisions: DataFrame, bucket_seconds: int = 86400 * 30) -> DataFrame:
+    """(underlying, decision_utc, contracts, first_usable) of decisions that know a contract, by running counts and an as-of read."""
+    usable = usable_contracts(specs).filter(F.col("usable_from").isNotNull())
+    steps = usable.groupBy("underlying", "usable_from").agg(F.count("*").alias("n"))
+    bucket = F.floor(F.unix_micros("usable_from") / F.lit(bucket_seconds * 1_000_000))
+    run = running_sums(steps, ["underlying"], bucket, ["usable_from"], {"contracts": F.col("n")})
+    first = steps.groupBy("underlying").agg(F.min("usable_from").alias("first_usable"))
+    asked = decisions.select("underlying", "decision_utc").distinct()
+    seen = asof_backward(asked, run.join(first, "underlying"), "underlying", "decision_utc", "usable_from", ["contracts", "first_usable"], bucket_seconds=bucket_seconds)
+    return seen.filter(F.col("contracts").isNotNull())
+
+
 def precondition_reason(decision_utc: str = "decision_utc", snapshot: str = "snapshot_utc") -> Column:
     """Why a decision may not run, in priority order; null when it may."""
     from ..functions.clock import market_date

@@ -46,6 +46,10 @@ def _visible(spark, sf):
     return P.as_of_many(V.evidence(spark, sf), _decisions(spark, sf))
 
 
+def _counts(spark, sf):
+    return P.visibility_counts(V.evidence(spark, sf), _decisions(spark, sf))
+
+
 @query(
     "validate_evidence",
     """SELECT record_id, CASE WHEN published_time < event_time THEN 'published_before_event' WHEN available_time < published_time
@@ -102,12 +106,24 @@ def as_of_many(spark, sf):
     "visible_many",
 )
 def independent_events(spark, sf):
-    return P.independent_events(_visible(spark, sf), ["ticker_at_time", "decision_time"])
+    return _counts(spark, sf).select("ticker_at_time", "decision_time", "independent_events", "records")
 
 
 UNRESOLVED = "(lineage_cluster_id IS NULL OR upper(lineage_cluster_id) LIKE 'UNKNOWN%')"
 
 
+@query(
+    "visibility_steps",
+    """WITH e AS (SELECT ticker_at_time AS ticker, coalesce(lineage_cluster_id, '~') AS story, available_time AS a, hidden_from AS z FROM hidden WHERE validation_status <> 'QUARANTINED' AND (hidden_from IS NULL OR hidden_from > available_time)),
+    t AS (SELECT DISTINCT ticker, unnest([a, z]) AS changed_at FROM e)
+    SELECT t.ticker AS ticker_at_time, changed_at, count(e.a) AS records, count(DISTINCT story) AS independent_events FROM t LEFT JOIN e ON e.ticker = t.ticker AND a <= changed_at AND (z IS NULL OR z > changed_at) WHERE changed_at IS NOT NULL GROUP BY 1, 2""",
+    "hidden",
+)
+def visibility_steps(spark, sf):
+    """What every ticker shows from each instant on at which anything changes."""
+    return P.visibility_steps(V.evidence(spark, sf)).select("ticker_at_time", "changed_at", "records", "independent_events")
+
+
 @query(
     "independent_events_conservative",
     f"""SELECT ticker_at_time, decision_time, count(DISTINCT lineage_cluster_id) FILTER (WHERE NOT {UNRESOLVED}) AS confirmed_independent_events,
@@ -116,7 +132,7 @@ UNRESOLVED = "(lineage_cluster_id IS NULL OR upper(lineage_cluster_id) LIKE 'UNK
     "visible_many",
 )
 def independent_events_conservative(spark, sf):
-    return P.independent_events_conservative(_visible(spark, sf), ["ticker_at_time", "decision_time"])
+    return _counts(spark, sf).drop("independent_events", "records")
 
 
 @query(
@@ -271,7 +287,7 @@ def known_contracts(spark, sf):
     # Every underlying is asked at every month end: a small decision table built per underlying.
     per = months.groupBy().agg(F.collect_set("decision_utc").alias("all"))
     d = specs.select("underlying").distinct().select("underlying", F.explode(per.scalar()).alias("decision_utc"))
-    return P.known_contracts(specs, d).groupBy("underlying", "decision_utc").agg(F.count("*").alias("contracts"), F.min("usable_from").alias("first_usable"))
+    return P.known_contract_counts(specs, d)
 
 
 @query(
