@@ -6,11 +6,7 @@ missing value inside its window, is null rather than approximated.
 
 from __future__ import annotations
 
-import bisect
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.clock import decision_time
 from ..functions.guards import clip, is_finite
@@ -76,16 +72,22 @@ def drawdown_from_high(n: int = TRADING_DAYS) -> Column:
     return F.when(F.min(c).over(w) > 0, c / F.max(c).over(w) - 1.0)
 
 
-def running_percentile(values: np.ndarray, min_rows: int, min_values: int) -> np.ndarray:
-    """For each position: share of the values so far at or below the latest one."""
-    out, seen, current = np.full(len(values), np.nan), [], None
-    for i, v in enumerate(values):
-        if not np.isnan(v):
-            bisect.insort(seen, v)
-            current = v
-        if i + 1 >= min_rows and len(seen) >= min_values:
-            out[i] = bisect.bisect_right(seen, current) / len(seen)
-    return out
+def counted_before(df: DataFrame, key: str, place: str, value: str, name: str) -> DataFrame:
+    """(key, place, name): of the rows at or before each place (1, 2, ... per key), how many have no greater ``value``.
+
+    Offline order statistics by divide and conquer: places form a binary tree, and
+    every earlier row meets a later one in exactly one node, as its left half. A
+    row visits one node a level; in a node, one ordering by value counts the left
+    half's rows up to each row of the right half.
+    """
+    rows = df.select(key, F.col(place).alias("_p"), F.col(value).alias("_v"), F.max(place).over(Window.partitionBy(key)).alias("_n"))
+    deep = F.ceil(F.log2(F.col("_n").cast("double"))).cast("int")
+    at = rows.select(key, "_p", "_v", F.explode(F.when(F.col("_n") > 1, F.sequence(F.lit(0), deep - 1)).otherwise(F.array(F.lit(0)))).alias("_level"))
+    low = F.expr("shiftright(_p - 1, _level)")
+    at = at.select(key, "_p", "_v", "_level", (low.bitwiseAND(1) == 1).alias("_right"), F.expr("shiftright(_p - 1, _level + 1)").alias("_node"))
+    upto = Window.partitionBy(key, "_level", "_node").orderBy("_v", "_right").rowsBetween(Window.unboundedPreceding, 0)
+    met = at.select(key, "_p", F.when(F.col("_right"), F.count_if(~F.col("_right")).over(upto)).otherwise(F.lit(0)).alias("_c"))
+    return met.groupBy(key, F.col("_p").alias(place)).agg((F.sum("_c") + 1).alias(name))
 
 
 def with_volatility_percentile(
@@ -93,24 +95,19 @@ def with_volatility_percentile(
 ) -> DataFrame:
     """Add ``vol_percentile``: where the latest volatility sits in its own past.
 
-    The rank is over an ever growing history, so a window would compare every
-    pair. A sorted insert per ticker does it in n log n; a group is one
-    ticker's sessions. Values are compared at twelve decimals, so windows
-    holding the same returns tie whatever order they were summed in.
+    The share of the volatilities so far at or below the latest one; a session
+    without one keeps the standing of the last. Values are compared at twelve
+    decimals, so windows holding the same returns tie whatever order they were
+    summed in.
     """
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        known = pdf["close"].notna().to_numpy()
-        values = np.rint(pdf[vol].to_numpy(dtype="float64", na_value=np.nan)[known] * 1e12)
-        share = np.full(len(pdf), np.nan)
-        share[known] = running_percentile(values, min_rows, min_vols)
-        return pdf.assign(vol_percentile=share)
-
-    schema = T.StructType(df.schema.fields + [T.StructField("vol_percentile", T.DoubleType())])
-    out = df.groupBy("ticker").applyInPandas(run, schema)
-    doubles = [f.name for f in out.schema.fields if isinstance(f.dataType, T.DoubleType)]
-    return out.select(*[F.nanvl(c, F.lit(None)).alias(c) if c in doubles else F.col(c) for c in out.columns])
+    known = F.col("close").isNotNull()
+    so_far = Window.partitionBy("ticker").orderBy("date").rowsBetween(Window.unboundedPreceding, 0)
+    value = F.when(known & ~F.isnan(vol), F.rint(F.col(vol) * 1e12))
+    df = df.withColumn("_v", value)
+    df = df.select("*", F.count("_v").over(so_far).alias("_nth"), F.count_if(known).over(so_far).alias("_row"))
+    ranks = counted_before(df.filter(F.col("_v").isNotNull()), "ticker", "_nth", "_v", "_le")
+    share = F.when(known & (F.col("_row") >= min_rows) & (F.col("_nth") >= min_vols), F.col("_le") / F.col("_nth"))
+    return df.join(ranks, ["ticker", "_nth"], "left").withColumn("vol_percentile", share).drop("_v", "_nth", "_row", "_le")
 
 
 def all_features(bars: DataFrame) -> DataFrame:

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import clip, rounded
 from ..session import spread
@@ -11,6 +10,8 @@ from .bars import by_ticker
 
 # Score weights; sentiment carries none.
 WEIGHTS = {"technical": 0.5, "momentum": 0.35, "volatility": 0.15}
+#: Sessions per block of the exponential means.
+BLOCK = 1024
 FOREST_FEATURES = ("sma_20", "sma_50", "sma_200", "rsi", "macd", "volume_ratio")
 
 
@@ -19,11 +20,34 @@ def _full(n: int, value, c: str = "close") -> Column:
     return F.when(F.count(c).over(w) == n, value(w))
 
 
+def exponential_mean(df: DataFrame, column: str, span: int, name: str, block: int = BLOCK) -> DataFrame:
+    """Add the recursive mean m = q m' + (1 - q) x per ticker, started by its first value, q = 1 - 2 / (span + 1).
+
+    A session is an affine map of the mean before it. Sessions are cut into blocks
+    by ``bar_no``; within one the maps compose to a running sum of values weighted
+    with powers of q. A block reaches the next one through its last mean alone:
+    q to the power of a whole block is far below what a double resolves, so two
+    blocks back nothing is left (``block`` times the logarithm of q must stay
+    below -40).
+    """
+    alpha = 2.0 / (span + 1.0)
+    q = 1.0 - alpha
+    if q**block > 1e-17:
+        raise ValueError("a block is too short for this span")
+    x = df.withColumn("_block", F.floor((F.col("bar_no") - 1) / F.lit(block))).withColumn("_at", (F.col("bar_no") - 1) % block)
+    share = F.when(F.col("bar_no") == 1, 1.0).otherwise(alpha)
+    inside = Window.partitionBy("ticker", "_block").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, 0)
+    x = x.withColumn("_own", F.sum(share * F.col(column) * F.pow(F.lit(q), -F.col("_at"))).over(inside) * F.pow(F.lit(q), F.col("_at")))
+    earlier = Window.partitionBy("ticker").orderBy("bar_no").rowsBetween(Window.unboundedPreceding, -1)
+    carried = F.last(F.when(F.col("_at") == block - 1, F.col("_own")), ignorenulls=True).over(earlier)
+    mean = F.col("_own") + F.pow(F.lit(q), F.col("_at") + 1) * F.coalesce(carried, F.lit(0.0))
+    return x.withColumn(name, mean).drop("_block", "_at", "_own")
+
+
 def indicators(bars: DataFrame) -> DataFrame:
     """Moving averages, RSI, MACD, bands, volume ratio and volatility per bar.
 
-    Exponential averages recurse over a ticker's sessions, so that one step is
-    a grouped map per ticker; all else is windows on the same partitioning.
+    All of it is windows on one partitioning by ticker, exponential averages too.
     """
     df = spread(bars.filter(F.col("close").isNotNull()).select("ticker", "date", "close", "volume"), "ticker")
     prev = F.lag("close").over(by_ticker())
@@ -42,15 +66,9 @@ def indicators(bars: DataFrame) -> DataFrame:
         "*", rsi.alias("rsi"), (F.col("sma_20") + F.col("bb_std") * 2).alias("bb_upper"), (F.col("sma_20") - F.col("bb_std") * 2).alias("bb_lower"), F.try_divide(F.col("volume"), F.col("volume_sma")).alias("volume_ratio"),
     ).drop("_d", "_gain", "_loss")
 
-    def ewm(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        mean = lambda s, n: s.ewm(span=n, adjust=False).mean()
-        macd = mean(pdf["close"], 12) - mean(pdf["close"], 26)
-        return pdf.assign(macd=macd, signal=mean(macd, 9))
-
-    schema = T.StructType(df.schema.fields + [T.StructField("macd", T.DoubleType()), T.StructField("signal", T.DoubleType())])
-    out = df.groupBy("ticker").applyInPandas(ewm, schema)
-    return out.select(*[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes])
+    df = exponential_mean(exponential_mean(df, "close", 12, "_fast"), "close", 26, "_slow")
+    df = exponential_mean(df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow"), "macd", 9, "signal")
+    return df.select(*[F.nanvl(c, F.lit(None)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def latest_rows(ind: DataFrame) -> DataFrame:
