@@ -47,8 +47,8 @@ from .jaccard import mixed
 
 SUPPORT, LONGEST, INSIDE_PERCENT, MOST = 30, 4, 80, 2_000
 SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 1_500_000, 6_000_000, 2_000_000
-#: Words of the corpus per bucket of the exchanges; phrases that a task adds up before it sends them.
-BUCKET_WORDS, TALLY = 4_000_000, 200_000
+#: Words of the corpus per bucket of the exchanges of hashes and of the exact counts; phrases that a task adds up before it sends them.
+BUCKET_WORDS, EXACT_WORDS, TALLY = 4_000_000, 32_000_000, 150_000
 BITS = 26
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = byte_table(b"\t", PIECE_ENDS, b".")
@@ -74,7 +74,7 @@ def _shard_row(lang: str, raw: bytes) -> pa.RecordBatch | None:
 
 
 def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Rows of one language's words in order, with the hash of each word of the vocabulary as ``h``."""
+    """Rows of one language's words in order, as codes into the row's own vocabulary."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[str, list[bytes]] = {}
@@ -106,8 +106,7 @@ def shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
             yield from flush(lang)
 
     own = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text")).where("text is not null")
-    coded = own.mapInArrow(run, SHARD_ROW)
-    return coded.withColumn("h", F.transform("vocabulary", lambda w: F.xxhash64("lang", w)))
+    return own.mapInArrow(run, SHARD_ROW)
 
 
 def bitmap_of(hashes: DataFrame, column: str = "h") -> np.ndarray:
@@ -217,7 +216,7 @@ class Tally:
         columns = [pa.array([lang] * n, pa.string()).dictionary_encode().cast(pa.string()), phrases, pa.array(np.full(n, length, np.int32)), pa.array(counts.astype(np.int64)), pa.array((hashes >> np.uint64(64 - self.bits)).astype(np.int32))]
         self.held.append(pa.table(columns, names=["lang", "phrase", "k", "f", "bucket"]))
         self.rows += n
-        if self.rows > 2 * self.most:
+        if self.rows > 1.5 * self.most:
             self.combine()
             if self.rows > self.most:
                 yield from self.flush()
@@ -261,9 +260,10 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
     local = F.ceil(F.lit(support).cast("decimal(10,0)") * F.col("n").cast("decimal(19,0)") / F.col("total").cast("decimal(19,0)")).cast("long")
     shared = stored.select("lang", "n").join(broadcast_if_small(sizes), "lang").groupBy("lang").agg(F.first("total").alias("total"), (F.lit(support) - F.sum(local - 1)).alias("need"))
     totals = materialize(shared, "collocation-totals")
+    stored = stored.withColumn("h", F.transform("vocabulary", lambda w: F.xxhash64("lang", w)))  # cheaper than its storage
     table = stored.join(broadcast_if_small(totals), "lang").withColumn("local", local)
     all_words = totals.agg(F.sum("total")).first()[0] or 0
-    bits = min(24, max(3, int(np.ceil(np.log2(max(1.0, all_words / BUCKET_WORDS))))))
+    bits, exact_bits = (min(24, max(3, int(np.ceil(np.log2(max(1.0, all_words / size)))))) for size in (BUCKET_WORDS, EXACT_WORDS))
 
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -291,7 +291,7 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
         candidates = candidates | bitmap_of(_union(_each_shard(table, words_bitmap, longer, NAMED, "local", "need"), bits))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(bits)
+        tally = Tally(exact_bits)
         for batch in batches:
             for lang, vocabulary, uses, h, packed in zip(*(batch.column(c) for c in ("lang", "vocabulary", "counts", "h", "codes"))):
                 lang, vocabulary, (codes,) = lang.as_py(), vocabulary.values, opened(packed.as_py())
@@ -324,8 +324,8 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     cuts = phrases.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     part = lambda first, length: F.array_join(F.slice("w", first, length), " ")
     cuts = cuts.select("lang", "phrase", "a", "cut", part(F.lit(1), F.col("cut")).alias("first"), part(F.col("cut") + 1, F.size("w")).alias("rest"))
-    left = frequent.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
-    right = frequent.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
+    left = broadcast_if_small(frequent.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")))
+    right = broadcast_if_small(frequent.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")))
     wide = "decimal(20,0)"
     score = F.expr(f"(cast(2000000 as decimal(10,0)) * cast(a as {wide})) div (cast(l as {wide}) + cast(r as {wide}))")
     lowest = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).withColumn("score", score)
