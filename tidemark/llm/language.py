@@ -125,8 +125,8 @@ def text_evidence(pages: DataFrame, counts: DataFrame, langs: list[str], group:
 
 
 def _votes(evidence: DataFrame, key: str) -> DataFrame:
-    """The languages voted for with each value of ``key``, and how often."""
-    each = evidence.where("vote >= 0").groupBy(key, "vote").agg(F.count("*").cast("double").alias("votes"))
+    """The languages voted for with each value of ``key``, and how often; pages that lack it share nothing."""
+    each = evidence.where("vote >= 0").where(F.col(key) != "").groupBy(key, "vote").agg(F.count("*").cast("double").alias("votes"))
     both = each.groupBy(key).agg(F.collect_list(F.struct("vote", "votes")).alias("both"))
     return both.select(key, F.col("both.vote").alias(f"of_{key}"), F.col("both.votes").alias(f"by_{key}"))
 

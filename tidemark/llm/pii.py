@@ -314,20 +314,27 @@ def _told_apart(kind: Column, made: Column) -> Column:
     return F.when(kind == "phone", made).otherwise(canonical(kind, made))
 
 
+def _shared_kind(kind: Column) -> Column:
+    """Kinds whose surrogates must differ from one another: a man's from a woman's too."""
+    return F.when(kind.isin(*NAMES), "name").otherwise(kind)
+
+
 def collision_exceptions(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, attempt) of the entities whose first draw was taken; stored. ``found``: distinct (kind, canon).
 
-    Draws are settled per kind: of those that want one surrogate the earliest
-    attempt, then the smallest canonical form, keeps it; no surrogate may equal
-    an original. Widths grow with the draws, so the rounds end.
+    Draws are settled per kind, those of all names together: of the entities that
+    want one surrogate the earliest attempt, then the smallest canonical form and
+    kind, keeps it; no surrogate may equal an original. Widths grow with the
+    draws, so the rounds end.
     """
     state = found.withColumn("attempt", F.lit(0))
-    originals = found.select("kind", F.col("canon").alias("made"), F.lit(1).alias("original"))
+    among = _shared_kind(F.col("kind")).alias("among")
+    originals = found.select(among, F.col("canon").alias("made"), F.lit(1).alias("original")).distinct()
     while True:
-        drawn = state.withColumn("made", _let(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key), lambda made: _told_apart(F.col("kind"), made)))
-        first = drawn.groupBy("kind", "made").agg(F.min(F.struct("attempt", "canon")).alias("first"), F.count("*").alias("wanted"))
-        clash = first.join(originals, ["kind", "made"], "left").where("wanted > 1 or original = 1")
-        lost = drawn.join(clash, ["kind", "made"]).where("original = 1 or canon != first.canon").select("kind", "canon", F.lit(1).alias("again"))
+        drawn = state.select("*", among, _let(surrogate(F.col("kind"), F.col("canon"), F.col("attempt"), key), lambda made: _told_apart(F.col("kind"), made)).alias("made"))
+        first = drawn.groupBy("among", "made").agg(F.min(F.struct("attempt", "canon", "kind")).alias("first"), F.count("*").alias("wanted"))
+        clash = first.join(originals, ["among", "made"], "left").where("wanted > 1 or original = 1")
+        lost = drawn.join(clash, ["among", "made"]).where("original = 1 or canon != first.canon or kind != first.kind").select("kind", "canon", F.lit(1).alias("again"))
         lost = materialize(lost, "collisions")
         if lost.isEmpty():
             return state.where("attempt > 0")

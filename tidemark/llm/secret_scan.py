@@ -50,10 +50,16 @@ ENCODINGS = (
 )
 FDR, VETO, BINS, PER_DECADE = 0.01, 3.5, 15_000, 50
 USUAL_CONCENTRATION = 0.065
+#: Matches that are placed one after the other.
+RUN = 256
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
-    """Array of (start, end, value) of all matches, in code points; ``value`` is that group."""
+    """Array of (start, end, value) of all matches, in code points; ``value`` is that group.
+
+    Matches are placed within runs of ``RUN``, then the runs among themselves, so
+    that no array grows match by match over a whole text.
+    """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = whole if group == 0 else F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(whole)).alias("gap"), whole.alias("whole"), value.alias("value"))
@@ -65,8 +71,23 @@ def located(text: Column, pattern: str, group: int = 0) -> Column:
         found = F.struct(start.alias("start"), end.alias("end"), p.value.alias("value"))
         return F.struct(end.alias("at"), F.concat(acc.out, F.array(found)).alias("out"))
 
-    run = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda acc: acc.out)
-    return F.when(text.rlike(pattern), run).otherwise(empty)
+    def placed(all_parts: Column) -> Column:
+        many = F.ceil(F.size(all_parts) / F.lit(RUN)).cast("int")
+        runs = F.transform(F.sequence(F.lit(0), F.greatest(many - 1, F.lit(0))), lambda i: F.aggregate(F.slice(all_parts, i * RUN + 1, F.lit(RUN)), F.struct(F.lit(0).alias("at"), empty.alias("out")), step))
+        return _bound(runs, joined_runs)
+
+    def joined_runs(runs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        begins = F.aggregate(runs, start, lambda acc, r: F.struct((acc.at + r.at).alias("at"), F.concat(acc.out, F.array(acc.at)).alias("out")), lambda acc: acc.out)
+        moved = lambda r, by: F.transform(r.out, lambda s: F.struct((s.start + by).alias("start"), (s.end + by).alias("end"), s.value.alias("value")))
+        return F.flatten(F.zip_with(runs, begins, moved))
+
+    return F.when(text.rlike(pattern), _bound(parts, placed)).otherwise(empty)
+
+
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def base_spans(text: Column) -> Column:
