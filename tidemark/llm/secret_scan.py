@@ -90,6 +90,13 @@ def _bound(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
+def _runs(spans: Column) -> Column:
+    """Sorted spans in runs of ``RUN``, each with the stretch it lies in: (start, end, own)."""
+    many = F.greatest(F.ceil(F.size(spans) / F.lit(RUN)).cast("int") - 1, F.lit(0))
+    cut = F.transform(F.sequence(F.lit(0), many), lambda i: F.slice(spans, i * RUN + 1, F.lit(RUN)))
+    return F.transform(cut, lambda own: F.struct(F.array_min(own.start).alias("start"), F.array_max(own.end).alias("end"), own.alias("own")))
+
+
 def base_spans(text: Column) -> Column:
     """Array of (start, kind number, end, kind), sorted, of the patterns' matches that are long enough."""
     kept = {
@@ -188,7 +195,8 @@ def secret_spans(docs: DataFrame, fdr: float = FDR) -> DataFrame:
     tested = materialize(rows.select("doc_id", "base", F.transform("found", scored).alias("found")), "tested")
     limit = discovery_limit(tested.select(F.explode("found").alias("s")).select(F.when(F.col("s.vetoed"), 0).otherwise(F.col("s.bin")).alias("bin")), fdr)
     admitted = F.filter("found", lambda s: ~s.vetoed & (s.bin >= (limit if limit is not None else BINS + 1)))
-    apart = F.filter(admitted, lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end)))
+    meets = lambda a, b: (b.start < a.end) & (a.start < b.end)
+    apart = _bound(_runs(F.col("base")), lambda runs: F.filter(admitted, lambda s: ~F.exists(runs, lambda r: meets(s, r) & F.exists(r.own, lambda b: meets(s, b)))))
     random = _spans(apart, "random")
     count = lambda kind: F.size(F.filter("base", lambda s: s.kind == kind)).cast("long").alias(f"n_{kind}")
     return tested.select(
