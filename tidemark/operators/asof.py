@@ -85,7 +85,7 @@ def containing_session(df: DataFrame, sessions: DataFrame, when: str, known_by:
     covered = df.withColumn("_row", F.monotonically_increasing_id()) if "row_id" not in df.columns else df.withColumn("_row", F.col("row_id"))
     inside = (F.col(when) >= F.col("open_utc")) & (F.col(when) < F.col("close_utc"))
     hit = F.struct("open_utc", "close_utc", "available_utc", "source")
-    joined = covered.withColumn("_day", F.to_date(when)).join(F.broadcast(days), "_day", "left")
+    joined = covered.withColumn("_day", F.to_date(when)).join(days, "_day", "left")
     rest = [c for c in df.columns]
     per = joined.groupBy("_row", *rest).agg(F.count_if(inside).alias("n_sessions"), F.max(F.when(inside, hit)).alias("s"))
     status = (

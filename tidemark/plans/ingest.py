@@ -136,7 +136,8 @@ def select_expiries(spark, sf):
 
 @query(
     "chain_snapshot_stats",
-    """SELECT ticker, snapshot_date, count(*) AS contract_count, count(*) FILTER (WHERE status = 'OK') AS usable_quotes, count(*) FILTER (WHERE expiration - snapshot_date BETWEEN 21 AND 60) AS contracts_in_entry_band FROM chain GROUP BY 1, 2""",
+    """SELECT ticker, snapshot_date, count(*) FILTER (WHERE named) AS contract_count, count(*) FILTER (WHERE named AND status = 'OK') AS usable_quotes, count(*) FILTER (WHERE named AND expiration - snapshot_date BETWEEN 21 AND 60) AS contracts_in_entry_band,
+    count(*) FILTER (WHERE NOT named) AS unreadable_rows FROM (SELECT *, coalesce(kind IN ('CALL', 'PUT'), FALSE) AND strike IS NOT NULL AND expiration IS NOT NULL AS named FROM chain) GROUP BY 1, 2""",
     "chain",
 )
 def chain_snapshot_stats(spark, sf):
@@ -192,28 +193,33 @@ def parse_feed_xml(spark, sf):
 
 @query(
     "normalize_filings",
-    """SELECT o_orderkey AS doc, CASE WHEN ok THEN o_orderkey || '-' || n END AS "accessionNumber", CASE WHEN ok THEN CASE n WHEN 1 THEN '10-K' ELSE '8-K' END END AS form, CASE WHEN ok THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS "filingDate", CASE WHEN ok THEN 'd' || n END AS "primaryDocument",
-    CASE WHEN NOT ok THEN 'INCONSISTENT_ARRAYS' END AS reject_reason FROM (SELECT *, o_orderkey % 17 <> 0 AS ok FROM orders) CROSS JOIN (VALUES (1), (2)) v(n) WHERE ok OR n = 1""",
+    """SELECT o_orderkey AS doc, CASE WHEN ok THEN o_orderkey || '-' || n END AS "accessionNumber", CASE WHEN ok THEN CASE n WHEN 1 THEN '10-K' ELSE '8-K' END END AS form, CASE WHEN ok THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS "filingDate",
+    CASE WHEN ok THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || 'T16:3' || n || ':00.000Z' END AS "acceptanceDateTime", CASE WHEN ok THEN 'd' || n END AS "primaryDocument", CASE WHEN ok THEN CAST(o_orderdate AS TIMESTAMP) + to_minutes(990 + n) END AS accepted_utc,
+    CASE WHEN ok THEN 'RECENT_SUBMISSIONS_ONLY' END AS coverage, CASE WHEN ok THEN 'CONTEXT_ONLY' END AS usage, CASE WHEN o_orderkey % 19 = 0 THEN 'INVALID_RESPONSE' WHEN NOT ok THEN 'INCONSISTENT_ARRAYS' END AS reject_reason
+    FROM (SELECT *, o_orderkey % 17 <> 0 AND o_orderkey % 19 <> 0 AS ok FROM orders) CROSS JOIN (VALUES (1), (2)) v(n) WHERE ok OR n = 1""",
 )
 def normalize_filings(spark, sf):
     k, d = F.col("o_orderkey"), F.to_date("o_orderdate").cast("string")
-    doc = _json(
-        accessionNumber=F.array(F.concat(k.cast("string"), F.lit("-1")), F.concat(k.cast("string"), F.lit("-2"))), form=F.when(k % 17 == 0, F.array(F.lit("10-K"))).otherwise(F.array(F.lit("10-K"), F.lit("8-K"))), filingDate=F.array(d, d),
-        primaryDocument=F.array(F.lit("d1"), F.lit("d2")),
-    )
+    recent = {
+        "accessionNumber": F.array(F.concat(k.cast("string"), F.lit("-1")), F.concat(k.cast("string"), F.lit("-2"))), "form": F.when(k % 17 == 0, F.array(F.lit("10-K"))).otherwise(F.array(F.lit("10-K"), F.lit("8-K"))),
+        "filingDate": F.array(d, d), "acceptanceDateTime": F.array(*[F.concat(d, F.lit(f"T16:3{n}:00.000Z")) for n in (1, 2)]), "primaryDocument": F.array(F.lit("d1"), F.lit("d2")),
+    }
+    nested = F.struct(F.struct(*[v.alias(c) for c, v in recent.items()]).alias("recent"))
+    doc = F.when(k % 19 == 0, _json(**recent)).otherwise(_json(filings=nested))  # a document without filings.recent is no answer
     return I.normalize_filings(V.table(spark, sf, "orders").select(k.alias("doc"), doc.alias("payload")))
 
 
 @query(
     "normalize_macro_vintages",
-    """SELECT o_orderkey AS doc, CASE WHEN ok THEN CAST(o_orderdate AS DATE) END AS date, CASE WHEN ok THEN CAST(o_custkey AS VARCHAR) END AS value, CASE WHEN ok THEN '2024-01-01' END AS realtime_start, CASE WHEN ok THEN '2024-02-01' END AS realtime_end,
+    """SELECT o_orderkey AS doc, CASE WHEN ok THEN CAST(o_orderdate AS DATE) END AS date, CASE WHEN ok THEN CAST(o_custkey AS VARCHAR) END AS value, CASE WHEN ok THEN DATE '2024-01-01' + CAST(o_orderkey % 31 AS INTEGER) END AS requested_vintage, CASE WHEN ok THEN '2024-01-01' END AS realtime_start, CASE WHEN ok THEN '2024-02-01' END AS realtime_end,
     CASE WHEN NOT ok THEN 'INCOMPLETE_RESPONSE' END AS reject_reason FROM (SELECT *, o_orderkey % 13 <> 0 AS ok FROM orders)""",
 )
 def normalize_macro_vintages(spark, sf):
     k = F.col("o_orderkey")
     obs = F.array(F.struct(F.to_date("o_orderdate").cast("string").alias("date"), F.col("o_custkey").cast("string").alias("value"), F.lit("2024-01-01").alias("realtime_start"), F.lit("2024-02-01").alias("realtime_end")))
     doc = _json(count=F.when(k % 13 == 0, 2).otherwise(1), observations=obs)
-    return I.normalize_macro_vintages(V.table(spark, sf, "orders").select(k.alias("doc"), doc.alias("payload")))
+    asked = F.date_add(F.lit("2024-01-01").cast("date"), (k % 31).cast("int"))
+    return I.normalize_macro_vintages(V.table(spark, sf, "orders").select(k.alias("doc"), doc.alias("payload"), asked.alias("asked")), vintage="asked")
 
 
 @query(
