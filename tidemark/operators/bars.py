@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.clock import bar_available_time, bar_event_time
-from ..functions.guards import INF
+from ..functions.guards import INF, rounded
 from ..session import spread
 
 SPLIT_MATERIALITY = 2.0
@@ -71,7 +71,9 @@ def normalize_bars(bars: DataFrame, tolerance: float = SPLIT_TOLERANCE, material
     """Raw bars to timestamped bars with a return and a status.
 
     The split test reads the same previous close as the return, so one window
-    pass serves both. A flagged date loses only its own return.
+    pass serves both. A flagged date loses only its own return, and says which
+    ratio was announced and how far the close moved. Prices that the raw bars lack
+    stay null.
     """
     df = daily_total_return(spread(bars, "ticker"))
     known = _present("close") & F.col("date").isNotNull()
@@ -92,16 +94,21 @@ def normalize_bars(bars: DataFrame, tolerance: float = SPLIT_TOLERANCE, material
         .when(F.col("daily_total_return").isNull(), "NO_PRIOR_CLOSE")
         .otherwise("OK")
     )
+    moved = F.format_string("a split of %.2f was announced and the close moved by a factor of %.4f", ratio, rounded(F.col("close") / F.col("prev_close"), 4))
+    price = lambda c: F.when(known, F.col(c) if c in bars.columns else F.lit(None).cast("double")).alias(c)
     return df.select(
         "ticker",
         "date",
         F.when(known, bar_event_time("date")).alias("event_time"),
         F.when(known, bar_available_time("date")).alias("available_time"),
+        *[price(c) for c in ("open", "high", "low")],
         F.when(known, F.col("close")).alias("close"),
         "volume",
         F.when(known, F.coalesce("dividend", F.lit(0.0))).alias("dividend"),
         ret.alias("daily_total_return"),
         status.alias("status"),
+        F.when(unadjusted, ratio).alias("split_ratio"),
+        F.when(unadjusted, moved).alias("reason"),
     )
 
 

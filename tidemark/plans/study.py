@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.guards import settled
+from ..functions.guards import rounded, settled
 from ..operators import bars as B
 from ..operators import calendar as C
 from ..operators import evaluate as E
@@ -56,16 +56,33 @@ fragment(
 )
 
 
+fragment(
+    "split_lagged",
+    """SELECT *, lag(close) OVER (PARTITION BY ticker ORDER BY date) AS prev FROM
+  (SELECT * REPLACE (CASE WHEN split = 2 THEN close / 2 ELSE close END AS close) FROM raw_bars)""",
+    "raw_bars",
+)
+fragment(
+    "priced",
+    f"""SELECT *, close IS NOT NULL AS known, close IS NOT NULL AND coalesce({SUSPECT_SQL}, FALSE) AS suspect FROM split_lagged""",
+    "split_lagged",
+)
+
+
 @query(
     "normalize_bars",
-    f"""SELECT ticker, date, {ET('date', 960)} AS event_time, {ET('date', 1980)} AS available_time,
-    close, volume, dividend, {S('r', 9)} AS daily_total_return, status FROM
-    (SELECT *, CASE WHEN close IS NOT NULL THEN 1 END AS k FROM bars) WHERE k = 1
-    UNION ALL SELECT ticker, date, NULL, NULL, close, volume, dividend, NULL, status FROM bars WHERE close IS NULL""",
-    "bars",
+    f"""SELECT ticker, date, CASE WHEN known THEN {ET('date', 960)} END AS event_time, CASE WHEN known THEN {ET('date', 1980)} END AS available_time,
+    {R('close + (volume % 3 - 1) / 100.0::DOUBLE', 4)} AS open, {R('close + (volume % 7) / 100.0::DOUBLE', 4)} AS high, {R('close - (volume % 5) / 100.0::DOUBLE', 4)} AS low, close, volume, CASE WHEN known THEN coalesce(dividend, 0) END AS dividend,
+    CASE WHEN known AND prev > 0 AND NOT suspect THEN {S('(close + coalesce(dividend, 0)) / prev - 1', 9)} END AS daily_total_return,
+    CASE WHEN NOT known THEN 'UNKNOWN' WHEN suspect THEN 'SPLIT_UNADJUSTED' WHEN prev > 0 THEN 'OK' ELSE 'NO_PRIOR_CLOSE' END AS status, CASE WHEN suspect THEN split END AS split_ratio,
+    CASE WHEN suspect THEN printf('a split of %.2f was announced and the close moved by a factor of %.4f', split, {R('close / prev', 4)}) END AS reason FROM priced""",
+    "priced",
 )
 def normalize_bars(spark, sf):
-    return V.bars(spark, sf).withColumn("daily_total_return", settled("daily_total_return", 9))
+    """Bars of a vendor that does not adjust its two-for-one splits."""
+    v = F.col("volume")
+    priced = V.split_bars(spark, sf).select("*", *[rounded(F.col("close") + d / F.lit(100.0), 4).alias(c) for c, d in (("open", v % 3 - 1), ("high", v % 7), ("low", -(v % 5)))])
+    return B.normalize_bars(priced).withColumn("daily_total_return", settled("daily_total_return", 9))
 
 
 @query(

@@ -83,7 +83,7 @@ def bars_table(spark: SparkSession, sf: str) -> DataFrame:
 
     The fact table is scanned a single time; bars are one row per name and day.
     """
-    return materialize(bars(spark, sf), "bars")
+    return materialize(bars(spark, sf).drop("open", "high", "low", "split_ratio", "reason"), "bars")  # the studies read closes
 
 
 def observations(b: DataFrame) -> DataFrame:
