@@ -41,7 +41,7 @@ from .flat import by_bytes
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes, Python's overhead included, of the pieces of text and of the words that a task remembers.
-PIECE_BYTES, WORD_BYTES, ENTRY = 32_000_000, 16_000_000, 200
+PIECE_BYTES, WORD_BYTES, ENTRY = 64_000_000, 32_000_000, 200
 BATCH_BYTES = 1_000_000
 SHARD_ROWS, STRIPES = 200_000, 64
 
