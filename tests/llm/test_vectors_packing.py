@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -103,6 +104,11 @@ def test_worker_memory_is_bounded(monkeypatch):
     for _ in range(2):
         assert encoder.encode(texts) == [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
     assert 0 < len(encoder.pieces) <= 3 and 0 < len(encoder.words) <= 2
+    monkeypatch.setattr(packing, "IDLE_SECONDS", 0.05)
+    encoder.begin()
     encoder.forget()
+    assert encoder.pieces and encoder.words  # a task is at work
+    encoder.end()
+    time.sleep(0.5)
     assert not encoder.pieces and not encoder.words
     assert packing.Encoder.of(packing.tokenizer_path()) is packing.Encoder.of(packing.tokenizer_path())

@@ -2,9 +2,9 @@
 
 Tokenising runs in Arrow batches. A text's tokens are those of its pieces
 between spaces and line ends, since the tokenizer never joins across white
-space; pieces, and the words in them, are remembered by a task up to a fixed
-number of bytes, and everything unusual goes to the tokenizer whole. Only the
-tokenizer itself stays in a worker process when its task ends.
+space; pieces, and the words in them, are remembered by a worker process up to a
+fixed number of bytes, and everything unusual goes to the tokenizer whole. Once
+a process has no tokenizing task for some seconds, only the tokenizer stays.
 
 The packing is planned on the histogram of lengths, at most ``CAPACITY`` rows,
 and applied to all pieces as a join. Documents above a third of the capacity
@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 import sys
+import threading
 import types
 import zlib
 from bisect import bisect_left, insort
@@ -43,6 +44,8 @@ TOKENIZER = "word_bpe_49k.json"
 #: Bytes, Python's overhead included, of the pieces of text and of the words that a task remembers.
 PIECE_BYTES, WORD_BYTES, ENTRY = 64_000_000, 32_000_000, 200
 BATCH_BYTES = 1_000_000
+#: How long a worker process without a tokenizing task remembers.
+IDLE_SECONDS = 2.0
 SHARD_ROWS, STRIPES = 200_000, 64
 
 BETWEEN = re.compile("[ \n\t\r]+").split
@@ -66,16 +69,34 @@ class Encoder:
         self.whole = Tokenizer.from_file(path)
         self.lean = Tokenizer(self.whole.model)
         self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.lock, self.tasks, self.timer = threading.Lock(), 0, None
         self.forget()
 
     def forget(self) -> None:
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-        self.room = {"pieces": PIECE_BYTES, "words": WORD_BYTES}
+        """Drops what was learned from texts, unless a task is at work."""
+        with self.lock:
+            if not self.tasks:
+                self.pieces: dict[str, bytes] = {}
+                self.words: dict[str, bytes] = {}
+                self.room = {"pieces": PIECE_BYTES, "words": WORD_BYTES}
+
+    def begin(self) -> None:
+        with self.lock:
+            self.tasks += 1
+            if self.timer:
+                self.timer.cancel()
+
+    def end(self) -> None:
+        """The next task of this process may go on with what is known; without one, it is dropped soon."""
+        with self.lock:
+            self.tasks -= 1
+            self.timer = threading.Timer(IDLE_SECONDS, self.forget)
+            self.timer.daemon = True
+            self.timer.start()
 
     @staticmethod
     def of(path: str) -> Encoder:
-        """This process's encoder; what it has learned from texts is forgotten with each task."""
+        """This process's encoder."""
         kept = sys.modules.setdefault("_kept_encoders", types.ModuleType("_kept_encoders")).__dict__
         if path not in kept:
             kept[path] = Encoder(path)
@@ -131,6 +152,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
+        encoder.begin()
         step, end = 4 * capacity, np.array([END], "<u4").tobytes()
         try:
             for b in by_bytes(batches, "text", BATCH_BYTES):
@@ -140,7 +162,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
                     rows += [(doc, k, at // 4, min(step, len(raw) - at) // 4, zlib.crc32(raw[at : at + step])) for k, at in enumerate(range(0, len(raw), step))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
         finally:
-            encoder.forget()
+            encoder.end()
 
     return docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
