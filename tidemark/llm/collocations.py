@@ -48,7 +48,7 @@ from .jaccard import mixed
 SUPPORT, LONGEST, INSIDE_PERCENT, MOST = 30, 4, 80, 2_000
 SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 1_500_000, 6_000_000, 2_000_000
 #: Words of the corpus per bucket of the exchanges of hashes and of the exact counts; phrases that a task adds up before it sends them.
-BUCKET_WORDS, EXACT_WORDS, TALLY = 4_000_000, 32_000_000, 150_000
+BUCKET_WORDS, EXACT_WORDS, TALLY = 4_000_000, 32_000_000, 80_000
 BITS = 26
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = byte_table(b"\t", PIECE_ENDS, b".")
@@ -239,6 +239,7 @@ class Tally:
             langs = own.column("lang").combine_chunks().dictionary_encode()
             rows.append((k, squeezed(langs.dictionary.to_pylist(), langs.indices.to_numpy().astype(np.int32), b"".join(words.to_pylist()), sizes, own.column("k").to_numpy().astype(np.int8), own.column("f").to_numpy())))
         yield _packed_rows(rows, {"bucket": pa.int32(), "packed": pa.binary()})
+        pa.default_memory_pool().release_unused()
 
 
 def _added_up(rows: pd.DataFrame, support: int) -> pd.DataFrame:
@@ -324,8 +325,8 @@ def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST
     cuts = phrases.select("lang", "phrase", "a", "w", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("cut"))
     part = lambda first, length: F.array_join(F.slice("w", first, length), " ")
     cuts = cuts.select("lang", "phrase", "a", "cut", part(F.lit(1), F.col("cut")).alias("first"), part(F.col("cut") + 1, F.size("w")).alias("rest"))
-    left = broadcast_if_small(frequent.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l")))
-    right = broadcast_if_small(frequent.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r")))
+    left = frequent.select("lang", F.col("phrase").alias("first"), F.col("f").alias("l"))
+    right = frequent.select("lang", F.col("phrase").alias("rest"), F.col("f").alias("r"))
     wide = "decimal(20,0)"
     score = F.expr(f"(cast(2000000 as decimal(10,0)) * cast(a as {wide})) div (cast(l as {wide}) + cast(r as {wide}))")
     lowest = cuts.join(left, ["lang", "first"]).join(right, ["lang", "rest"]).withColumn("score", score)
