@@ -128,3 +128,29 @@ def test_hash_chain_audit_finds_a_change(spark):
     assert [(r.chain, r.seq) for r in LG.audit_hash_chain(bad).filter("NOT digest_ok").collect()] == [(2, 3)]
     cut = LG.audit_hash_chain(good.filter("NOT (chain = 1 AND seq = 2)")).filter("sequence_gap").collect()
     assert [(r.chain, r.seq) for r in cut] == [(1, 3)]
+
+
+def test_first_fills_equal_brute_force(spark):
+    """Dense quotes over several cells of time, late receipts, quotes from before the submission."""
+    rng = random.Random(8)
+    base = 1_704_207_600
+    at = lambda c: F.timestamp_seconds(c)
+    orders = [(i, rng.choice("CD"), rng.choice(["BUY", "SELL"]), rng.randint(1, 9), round(rng.uniform(0.7, 1.4), 2), base + rng.randint(0, 6000), base + rng.choice([3000, 7000])) for i in range(150)]
+    quotes = []
+    for n in range(1500):
+        s, lag = base + rng.randint(0, 6000), rng.randint(0, 4)
+        quotes.append((n, rng.choice("CD"), round(rng.uniform(0.7, 1.0), 2), round(rng.uniform(1.0, 1.4), 2), rng.randint(0, 9), rng.randint(0, 9), s, s + lag, s - rng.randint(0, 2)))
+    o = spark.createDataFrame(orders, "order_id int, contract_id string, side string, quantity long, limit_price double, s long, e long").withColumns({"submitted_utc": at("s"), "session_close": at("e")}).drop("s", "e")
+    q = spark.createDataFrame(quotes, "quote_no int, contract_id string, bid double, ask double, bid_size long, ask_size long, o long, a long, t long").withColumns(
+        {"observed_utc": at("o"), "available_utc": at("a"), "bid_utc": at("t"), "ask_utc": at("t"), "source": F.lit("s"), "feed_type": F.lit("OPRA"), "delayed": F.lit(False), "size_units": F.lit("CONTRACTS")}
+    ).drop("o", "a", "t")
+    got = {r.order_id: (r.fill_quote, r.fill_price) for r in Q.first_fills(o, q, 60).collect()}
+    usable = {r.order_id: (r.quote_no, r.fill_price) for r in Q.whole_fills(o, q.filter(Q.quote_reject_reason("available_utc").isNull()), 60).collect()}
+    hits = 0
+    for i, c, side, n, limit, s, e in orders:
+        buy = side == "BUY"
+        ok = [(a, ob, no, ask if buy else bid) for no, qc, bid, ask, bs, as_, ob, a, t in quotes if qc == c and s < a < min(s + 60, e) and t >= s + 1 and (ask <= limit and as_ >= n if buy else bid >= limit and bs >= n)]
+        want = min(ok)[2:] if ok else (None, None)
+        hits += bool(ok)
+        assert got[i] == want and usable.get(i, (None, None)) == want
+    assert 20 < hits < 150
