@@ -14,9 +14,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..operators.asof import forward_candidates
 from ..operators.pit import unresolved
-from ..operators.quotes import WINDOW_SECONDS, fill_columns, quote_identity, quote_reject_reason
+from ..operators.quotes import WINDOW_SECONDS, quote_identity, quote_reject_reason, whole_fills
 from ..session import run_dir
 
 
@@ -77,10 +76,8 @@ def latest_marks(quotes: DataFrame) -> DataFrame:
 
 def _fills(orders: DataFrame, quotes: DataFrame, tolerance_seconds: int) -> DataFrame:
     """The first whole fill of each order among these quotes."""
-    pairs = forward_candidates(orders, quotes, "contract_id", "submitted_utc", "available_utc", tolerance_seconds, "session_close")
-    cols = fill_columns("available_utc")
-    judged = pairs.select("order_id", "available_utc", "observed_utc", "quote_no", cols["status"].alias("status"), cols["fill_price"].alias("fill_price")).filter("status = 'FILLED'")
-    return judged.groupBy("order_id").agg(F.min(F.struct("available_utc", "observed_utc", "quote_no", "fill_price")).alias("f")).select("order_id", "f.*")
+    found = whole_fills(orders, quotes, tolerance_seconds)
+    return found.groupBy("order_id").agg(F.min(F.struct("available_utc", "observed_utc", "quote_no", "fill_price")).alias("f")).select("order_id", "f.*")
 
 
 def first_fills(orders: DataFrame, quotes: DataFrame, tolerance_seconds: int = WINDOW_SECONDS) -> DataFrame:
