@@ -88,6 +88,16 @@ def test_forest_finds_a_planted_gain(spark):
     assert got["UP"].prediction == "BUY" and got["DOWN"].prediction == "HOLD"
 
 
+def test_forest_of_rows_without_a_gain_holds(spark):
+    """Large names move too little to gain 2 % in five bars: all rows are of one class."""
+    names = list(TE.FOREST_FEATURES)
+    rows = [(f"2024-01-{1 + i:02d}", 100.0, *[float(i + k) for k in range(len(names))]) for i in range(28)]
+    df = spark.createDataFrame(rows, "d string, close double, " + ", ".join(f"{f} double" for f in names)).select(F.lit("FLAT").alias("ticker"), F.to_date("d").alias("date"), "close", *names)
+    assert tuple(TE.forest_signals(df, trees=3, depth=2).first()) == ("FLAT", "HOLD", 0.0)
+    gaps = df.withColumn("rsi", F.lit(None).cast("double"))
+    assert tuple(TE.forest_signals(gaps, trees=3, depth=2).first()) == ("FLAT", None, 0.5)
+
+
 def test_block_permute_moves_whole_blocks(spark):
     df = spark.createDataFrame([("k", i, i) for i in range(10)], "k string, pos long, y long")
     got = [r.y_perm for r in E.block_permute(df, ["k"], "pos", "y", 3).orderBy("pos").collect()]

@@ -102,7 +102,11 @@ def raw_return_target(bars: DataFrame, horizon: int = 5, threshold: float = 0.02
 
 
 def forest_signals(ind: DataFrame, trees: int = 50, depth: int = 10, seed: int = 42) -> DataFrame:
-    """BUY where a forest gives more than 0.55 to a gain over 2 %, else HOLD; gaps abstain."""
+    """BUY where a forest gives more than 0.55 to a gain over 2 %, else HOLD; gaps abstain.
+
+    The label names both classes, so rows that all fall into one give a model
+    that is sure of it; without a complete row every name abstains.
+    """
     from pyspark.ml.classification import RandomForestClassifier
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
@@ -110,8 +114,11 @@ def forest_signals(ind: DataFrame, trees: int = 50, depth: int = 10, seed: int =
     target = raw_return_target(ind, null_as_zero=True)
     rows = ind.join(target, ["ticker", "date"]).dropna(subset=list(FOREST_FEATURES))
     va = VectorAssembler(inputCols=list(FOREST_FEATURES), outputCol="features")
-    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="target").fit(va.transform(rows).select("features", "target"))
     last = latest_rows(ind)
+    if rows.isEmpty():
+        return last.select("ticker", F.lit(None).cast("string").alias("prediction"), F.lit(0.5).alias("confidence"))
+    label = F.col("target").cast("double").alias("target", metadata={"ml_attr": {"type": "nominal", "vals": ["0", "1"]}})
+    model = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, labelCol="target").fit(va.transform(rows).select("features", label))
     complete = model.transform(va.transform(last.dropna(subset=list(FOREST_FEATURES)))).select("ticker", vector_to_array("probability")[1].alias("p"))
     signal = F.when(F.col("p") > 0.55, "BUY").otherwise("HOLD")
     return last.select("ticker").join(complete, "ticker", "left").select("ticker", signal.alias("prediction"), F.coalesce(rounded("p", 3), F.lit(0.5)).alias("confidence"))
