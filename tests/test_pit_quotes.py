@@ -154,3 +154,28 @@ def test_first_fills_equal_brute_force(spark):
         hits += bool(ok)
         assert got[i] == want and usable.get(i, (None, None)) == want
     assert 20 < hits < 150
+
+def test_busy_accounts_are_cut_and_others_not(spark):
+    rng = random.Random(4)
+    rows = []
+    for account, n in ((1, 40), (2, 4), (3, 6)):
+        held = {}
+        for i in range(n):
+            c = rng.choice("XY")
+            q = rng.randint(1, 5) if not held.get(c) or rng.random() < 0.4 else -rng.randint(1, held[c])
+            held[c] = held.get(c, 0) + q
+            rows.append((account, c, i, 1_700_000_000 + i * 500_000, "BUY" if q > 0 else "SELL", abs(q), round(rng.uniform(1, 2), 2)))
+    f = spark.createDataFrame(rows, "account long, contract string, fill_no long, s long, side string, quantity long, price double").withColumn("at_utc", F.timestamp_seconds("s")).drop("s")
+    sums = lambda n: sorted(tuple(r) for r in LG.cash_and_quantity(f, 5, busy_rows=n).select("account", "fill_no", "cash_cents", "position").collect())
+    gains = lambda df: sorted(tuple(r) for r in LG.realized_pnl(df).collect())
+    cut, together = LG.with_trips(f, busy_rows=10), LG.with_trips(f)
+    assert sums(10) == sums(1000) and gains(cut) == gains(together) == gains(LG.round_trips(LG.cash_and_quantity(f)))
+    assert {r.account for r in cut.filter("trip > 0").select("account").distinct().collect()} == {1} and together.filter("trip > 0").isEmpty()
+
+
+def test_fills_that_share_time_and_number_have_one_order(spark):
+    rows = [(1, "C", 7, "BUY", q, p) for q, p in ((16, 1.3), (13, 1.2), (13, 1.1))]
+    for order in (rows, rows[::-1]):
+        f = spark.createDataFrame(order, "account long, contract string, fill_no long, side string, quantity long, price double").withColumn("at_utc", F.timestamp_seconds(F.lit(0)))
+        got = {(r.quantity, r.price): r.position for r in LG.cash_and_quantity(f).collect()}
+        assert got == {(13, 1.1): 13, (13, 1.2): 26, (16, 1.3): 42}

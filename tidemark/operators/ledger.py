@@ -5,13 +5,17 @@ from __future__ import annotations
 from typing import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.guards import col
 from .quotes import quote_reject_reason
 from .running import running_max, running_sums
 
 FEE_CENTS, MULTIPLIER = 80, 100
+#: Fills of one account that a single task may order.
+BUSY_ROWS = 1_000_000
+#: Fills by time and number; fills that share both come by content, so that results do not depend on the run.
+ORDER = ["at_utc", "fill_no", "quantity", "price"]
 
 
 def premium_cents(price: str | Column, quantity: str | Column, multiplier: int = MULTIPLIER) -> Column:
@@ -20,22 +24,46 @@ def premium_cents(price: str | Column, quantity: str | Column, multiplier: int =
     return F.round(p * col(quantity).cast("decimal(12,0)") * F.lit(multiplier * 100), 0).cast("long")
 
 
-def cash_and_quantity(fills: DataFrame, starting_cents: int = 0, fee_cents: int = FEE_CENTS) -> DataFrame:
+def _amounts(fills: DataFrame, fee_cents: int = FEE_CENTS) -> DataFrame:
+    money, fee = premium_cents("price", "quantity"), F.col("quantity") * fee_cents
+    return fills.select("*", money.alias("money_cents"), fee.alias("fee_cents"))
+
+
+def busy_accounts(fills: DataFrame, rows: int = BUSY_ROWS) -> DataFrame | None:
+    """Accounts with more than ``rows`` fills, at most one per that many rows; None where there is none."""
+    found = fills.groupBy("account").agg(F.count("*").alias("n")).filter(F.col("n") > rows).select("account").collect()
+    return fills.sparkSession.createDataFrame(found, fills.select("account").schema) if found else None
+
+
+def cash_and_quantity(fills: DataFrame, starting_cents: int = 0, fee_cents: int = FEE_CENTS, busy_rows: int = BUSY_ROWS) -> DataFrame:
     """Add money, fee, running account cash and running position quantity.
 
-    Fills: account, contract, fill_no, at_utc, side, quantity, price. Time slices
-    split a busy account; sums are integers, so their order does not matter.
+    Fills: account, contract, fill_no, at_utc, side, quantity, price. One shuffle
+    by account serves both running sums. Only accounts with more than
+    ``busy_rows`` fills are cut into time slices; sums are integers, so their
+    order does not matter.
     """
     buy = F.col("side") == "BUY"
-    money, fee = premium_cents("price", "quantity"), F.col("quantity") * fee_cents
-    df = fills.select(
-        "*", money.alias("money_cents"), fee.alias("fee_cents"),
-        F.when(buy, -(money + fee)).otherwise(money - fee).alias("cash_delta"), F.when(buy, F.col("quantity")).otherwise(-F.col("quantity")).alias("signed_qty"),
+    df = _amounts(fills, fee_cents).select(
+        "*", F.when(buy, -(F.col("money_cents") + F.col("fee_cents"))).otherwise(F.col("money_cents") - F.col("fee_cents")).alias("cash_delta"),
+        F.when(buy, F.col("quantity")).otherwise(-F.col("quantity")).alias("signed_qty"),
     )
-    slice_ = F.floor(F.unix_seconds("at_utc") / F.lit(86400 * 30))
-    cash = running_sums(df, ["account"], slice_, ["at_utc", "fill_no"], {"cash_cents": F.col("cash_delta")})
-    pos = running_sums(cash, ["account", "contract"], slice_, ["at_utc", "fill_no"], {"position": F.col("signed_qty")})
-    return pos.withColumn("cash_cents", F.col("cash_cents") + F.lit(starting_cents))
+    cash, position = F.coalesce(F.col("cash_cents"), F.lit(0)) + F.lit(starting_cents), F.coalesce("position", F.lit(0))
+
+    def whole(rows: DataFrame) -> DataFrame:
+        upto = lambda *keys: Window.partitionBy(*keys).orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, 0)
+        return rows.repartition("account").select("*", F.sum("cash_delta").over(upto("account")).alias("cash_cents")).select(
+            "*", F.sum("signed_qty").over(upto("account", "contract")).alias("position")
+        )
+
+    def sliced(rows: DataFrame) -> DataFrame:
+        slice_ = F.floor(F.unix_seconds("at_utc") / F.lit(86400 * 30))
+        run = running_sums(rows, ["account"], slice_, ORDER, {"cash_cents": F.col("cash_delta")})
+        return running_sums(run, ["account", "contract"], slice_, ORDER, {"position": F.col("signed_qty")})
+
+    busy = busy_accounts(fills, busy_rows)
+    out = whole(df) if busy is None else whole(df.join(busy, "account", "left_anti")).unionByName(sliced(df.join(busy, "account", "left_semi")))
+    return out.withColumns({"cash_cents": cash, "position": position})
 
 
 def round_trips(fills: DataFrame) -> DataFrame:
@@ -46,40 +74,58 @@ def round_trips(fills: DataFrame) -> DataFrame:
     """
     slice_ = F.floor(F.unix_seconds("at_utc") / F.lit(86400 * 30))
     flat = (F.col("position") == 0).cast("long")
-    run = running_sums(fills, ["account", "contract"], slice_, ["at_utc", "fill_no"], {"_flats": flat})
+    run = running_sums(fills, ["account", "contract"], slice_, ORDER, {"_flats": flat})
     return run.withColumn("trip", F.col("_flats") - flat).drop("_flats")
 
 
+def with_trips(fills: DataFrame, fee_cents: int = FEE_CENTS, busy_rows: int = BUSY_ROWS) -> DataFrame:
+    """Fills with money, fee and ``trip``, for the cost basis.
+
+    The basis starts anew at every flat point by itself, so the fills of one
+    account and contract stay together as trip 0; only accounts with more than
+    ``busy_rows`` fills are cut into their round trips.
+    """
+    cols = ["account", "contract", "fill_no", "at_utc", "side", "quantity", "money_cents", "fee_cents", "trip"]
+    together = lambda rows: _amounts(rows, fee_cents).withColumn("trip", F.lit(0).cast("long")).select(*cols)
+    busy = busy_accounts(fills, busy_rows)
+    if busy is None:
+        return together(fills)
+    cut = round_trips(cash_and_quantity(fills.join(busy, "account", "left_semi"), 0, fee_cents, busy_rows)).select(*cols)
+    return together(fills.join(busy, "account", "left_anti")).unionByName(cut)
+
+
 def realized_pnl(fills: DataFrame) -> DataFrame:
     """Average-cost realized P&L in cents per fill; sells release basis in proportion.
 
     Rounding each release makes the fold sequential inside one round trip. Rows
     are partitioned by round trip, sorted on disk if need be, and streamed: the
     task keeps only the current trip's quantity and cost, never a whole group.
+    A row travels as its order, its side, its quantity and its net cash.
     """
     keys = ["account", "contract", "trip"]
-    cols = [*keys, "at_utc", "fill_no", "side", "quantity", "money_cents", "fee_cents"]
+    buy = F.col("side") == "BUY"
+    net = F.when(buy, F.col("money_cents") + F.col("fee_cents")).otherwise(F.col("money_cents") - F.col("fee_cents"))
+    rows = fills.select(*keys, "at_utc", "fill_no", F.coalesce(buy, F.lit(False)).alias("buy"), "quantity", net.alias("net"))
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         trip, held, cost = None, 0, 0
         for pdf in batches:
             costs, gains = [], []
-            rows = zip(zip(*(pdf[k].tolist() for k in keys)), pdf["side"].tolist(), *(pdf[c].tolist() for c in cols[6:]))
-            for key, side, q, money, fee in rows:
+            for key, bought, q, net in zip(zip(*(pdf[k].tolist() for k in keys)), *(pdf[c].tolist() for c in ("buy", "quantity", "net"))):
                 if key != trip:
                     trip, held, cost = key, 0, 0
                 gain = 0
-                if side == "BUY":
-                    held, cost = held + q, cost + money + fee
+                if bought:
+                    held, cost = held + q, cost + net
                 else:
                     basis = cost if q == held else round(cost * q / held)
-                    gain = money - fee - basis
+                    gain = net - basis
                     held, cost = held - q, cost - basis
                 costs.append(cost)
                 gains.append(gain)
             yield pdf[["account", "contract", "fill_no"]].assign(cost_cents=costs, realized_cents=gains)
 
-    ordered = fills.select(*cols).repartition(*keys).sortWithinPartitions(*keys, "at_utc", "fill_no")
+    ordered = rows.repartition(*keys).sortWithinPartitions(*keys, "at_utc", "fill_no", "quantity", "net").drop("at_utc")
     return ordered.mapInPandas(fold, "account long, contract string, fill_no long, cost_cents long, realized_cents long")
 
 

@@ -158,7 +158,7 @@ def cash_and_position(spark, sf):
     "fills",
 )
 def realized_pnl(spark, sf):
-    return LG.realized_pnl(LG.round_trips(LG.cash_and_quantity(V.fills(spark, sf))))
+    return LG.realized_pnl(LG.with_trips(V.fills(spark, sf)))
 
 
 fragment(
