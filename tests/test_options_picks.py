@@ -1,3 +1,7 @@
+import re
+
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -20,6 +24,41 @@ def test_reference_prices_and_parity(spark):
     assert c.gamma == pytest.approx(0.018762017345846895) and c.vega == pytest.approx(0.3752403469169379)
 
 
+def test_generated_methods_stay_short_enough_to_be_compiled(spark, capsys):
+    """The JVM interprets methods beyond 8,000 bytes."""
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = spark.range(10).select(*[(F.col("id") + F.rand(i)).alias(c) for i, c in enumerate("sktrvq")], F.lit("CALL").alias("kind"), *[F.rand(90 + i).alias(f"x{i}") for i in range(14)])
+        PR.with_option_model(rows, "s", "k", "t", "r", "v", "q", "kind", price="price", greeks=True).explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_solver_gives_the_midpoint_that_plain_bisection_ends_on():
+    rng = np.random.default_rng(2)
+    n = 400
+    k, t, q, v = rng.uniform(60, 150, n), rng.integers(1, 400, n) / 365, rng.choice([0.0, 0.03], n), np.exp(rng.uniform(-4, 1.5, n))
+    kind = pd.Series(rng.choice(["CALL", "PUT"], n))
+    s, r, sign = np.full(n, 100.0), np.full(n, 0.04), np.where(kind == "CALL", 1.0, -1.0)
+    o = PR._Options(s, k, t, r, q, sign)
+    p = np.round(o.price(v), 4)
+    got = PR.implied_volatility.func(*[pd.Series(a) for a in (p, s, k, t, r, q)], kind).to_numpy(dtype=float)
+    solved = np.flatnonzero(np.isfinite(got))
+    assert len(solved) > n / 2
+    for i in solved:
+        lo, hi, one = PR.MIN_VOL, PR.MAX_VOL, o.take([i])
+        while True:
+            mid = 0.5 * (lo + hi)
+            at = one.price(np.array([mid]))[0]
+            if abs(at - p[i]) < PR.TOLERANCE or hi - lo < PR.TOLERANCE:
+                break
+            lo, hi = (mid, hi) if at < p[i] else (lo, mid)
+        assert got[i] == mid
+
+
 def test_bad_inputs_price_to_null(spark):
     rows = [(float("nan"), 100.0, 1.0, 0.05, 0.2, 0.0, "CALL"), (100.0, 0.0, 1.0, 0.05, 0.2, 0.0, "CALL"), (100.0, 100.0, 1.0, 0.05, 0.2, 0.0, "STRADDLE"), (100.0, 100.0, None, 0.05, 0.2, 0.0, "PUT")]
     assert all(r.price is None and r.delta is None for r in model(spark, rows).collect())
