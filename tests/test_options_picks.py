@@ -37,6 +37,44 @@ def test_generated_methods_stay_short_enough_to_be_compiled(spark, capsys):
     assert sizes and max(sizes) < 8000
 
 
+CHAIN = "ticker string, snapshot_date date, contract_symbol string, kind string, expiration date, strike double, bid double, ask double, mid double, volume long, open_interest long, status string"
+
+
+def chain_rows(frame):
+    rows = [("A", "2024-01-02", f"c{i}", "CALL" if i % 3 else "PUT", f"2024-02-{1 + i % 28:02d}", 90.0 + i % 20, 4.0, 4.1 + i % 7 / 10, 4.05 + i % 7 / 20, 40 + i % 30, 400 + 20 * i, "OK" if i % 9 else "UNKNOWN") for i in range(60)]
+    return frame(rows, CHAIN), frame([("A", "2024-01-02", 100.0, 0.01)], "ticker string, snapshot_date date, underlying_close double, dividend_yield double")
+
+
+def test_a_filter_on_the_model_compiles_to_short_methods(spark, frame, capsys):
+    """The filter was carried down as copies of the columns' formulas: too long to compile, and then interpreted row by row."""
+    aqe = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        O.enrich_chain(*chain_rows(frame), liquid_only=True).filter(O.eligible()).select("contract_symbol", "delta", "round_trip_cost_1x").explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", aqe)
+    sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) < 8000
+
+
+def test_screening_before_the_solver_loses_no_eligible_contract(frame):
+    chain, context = chain_rows(frame)
+    plain, early = (O.enrich_chain(chain, context, liquid_only=x) for x in (False, True))
+    assert 0 < early.count() < plain.count() == 60
+    want = plain.filter(O.eligible()).orderBy("contract_symbol").collect()
+    assert want and want == early.filter(O.eligible()).orderBy("contract_symbol").collect()
+
+
+def test_solved_greeks_equal_the_model_at_the_solved_volatility(frame):
+    chain, context = chain_rows(frame)
+    e = O.enrich_chain(chain, context).filter("iv_solved is not null").drop("delta", "gamma", "theta_per_day", "vega", "rho", "price")
+    got = O.enrich_chain(chain, context).select("contract_symbol", *PR.GREEKS)
+    want = PR.with_option_model(e, "underlying_close", "strike", "t_years", F.lit(O.RISK_FREE), "iv_solved", "dividend_yield", "kind", greeks=True).select("contract_symbol", *[F.col(g).alias(f"w_{g}") for g in PR.GREEKS])
+    rows = got.join(want, "contract_symbol", "left").collect()
+    assert {r.delta is None for r in rows} == {True, False}
+    assert all(r[g] == pytest.approx(r[f"w_{g}"], rel=1e-12) if r[f"w_{g}"] is not None else r[g] is None for r in rows for g in PR.GREEKS)
+
+
 def test_solver_gives_the_midpoint_that_plain_bisection_ends_on():
     rng = np.random.default_rng(2)
     n = 400
