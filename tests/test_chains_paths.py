@@ -1,14 +1,16 @@
-"""Hash chains are dealt once, from lines to audit."""
+"""Hash chains are dealt once; a path meets only the quotes of its own contracts."""
 
 import pytest
 
 from tidemark.operators import ledger as LG
+from tidemark.operators import picks as PK
 from tidemark.sources import views as V
+from tests.test_options_picks import CH, pick
 
 SF = "/root/testdata/sf0.001"
 
 
-def plan_of(df) -> tuple[str, str]:
+def plan_of(df) -> str:
     return df._jdf.queryExecution().sparkPlan().toString(), df._jdf.queryExecution().executedPlan().toString()
 
 
@@ -30,3 +32,12 @@ def test_audit_across_stretches(frame, stretch):
     # Number 5 exists twice, so number 6 is held against both.
     assert sorted(own) == sorted([(i, True, False) for i in (1, 2, 3, 4, 5, 5, 6, 7, 8, 11, 12, 13)] + [(6, False, False), (10, False, True)])
     assert all(not r.link_ok or r.seq == 1 for r in got if r.chain is None) and len(got) == 17
+
+
+def test_only_quotes_of_the_path_are_ordered(frame):
+    bars = frame([("A", f"2024-01-{d:02d}", 100.0) for d in (2, 3, 4, 5, 8, 9)], "ticker string, date date, close double")
+    held = [("A", "2024-01-03", 2, "CALL", "2024-02-16", 100.0, 9.5, 9.6, "OK"), ("A", "2024-01-03", 1, "CALL", "2024-02-16", 100.0, 9.0, 9.1, "OK")]
+    others = [("A", "2024-01-03", 0, "PUT", "2024-02-16", 100.0, 1.0, 1.1, "OK"), ("B", "2024-01-03", 0, "CALL", "2024-02-16", 100.0, 1.0, 1.1, "OK")]
+    path = PK.mark_path(pick(frame), bars, frame(held + others, CH))
+    assert "LeftSemi" in plan_of(path)[0]
+    assert [(r.day_no, r.method, r.mark) for r in path.orderBy("day_no").limit(1).collect()] == [(1, "MARKET", 9.0)]
