@@ -65,6 +65,38 @@ def test_screening_before_the_solver_loses_no_eligible_contract(frame):
     assert want and want == early.filter(O.eligible()).orderBy("contract_symbol").collect()
 
 
+def test_status_of_all_contracts_needs_the_search_only_for_liquid_ones(frame):
+    chain, context = chain_rows(frame)
+    dear = chain.limit(1).withColumns({"contract_symbol": F.lit("dear"), "bid": F.lit(120.0), "ask": F.lit(121.0), "mid": F.lit(120.5), "status": F.lit("OK")})
+    chain = chain.unionByName(dear)
+    whole, part = ({r.contract_symbol: r for r in O.enrich_chain(chain, context, liquid_model=x).collect()} for x in (False, True))
+    assert len(part) == 61 and {r.model_status for r in part.values()} == {"OK", "NO_TWO_SIDED_QUOTE", "IV_UNSOLVABLE_FROM_MID"}
+    for name, r in part.items():
+        if r.liquidity_screen == "PASS":
+            assert r == whole[name]
+        else:
+            assert r.iv_solved is None and r.delta is None and (r.model_status, r.gate) == (whole[name].model_status, whole[name].gate)
+    assert 0 < sum(r.iv_solved is not None for r in part.values()) < sum(r.iv_solved is not None for r in whole.values())
+
+
+def test_contracts_are_screened_before_they_are_quoted(spark):
+    from tidemark.sources import views as V
+
+    sf, old = "/root/testdata/sf0.001", spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = V.chain(spark, sf, liquid_only=True)._jdf.queryExecution().executedPlan().toString()
+        bars = V.raw_bars(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    steps = re.findall(r"ArrowEvalPython|\w*HashJoin|Filter [^\n]*l_quantity", plan)
+    assert steps.index("ArrowEvalPython") < min(i for i, x in enumerate(steps) if "HashJoin" in x) < min(i for i, x in enumerate(steps) if x.startswith("Filter"))
+    assert bars.count("l_shipdate#") and len(re.findall(r"FileScan parquet \[[^\]]*l_partkey", bars)) == 1
+    key = ["contract_symbol", "snapshot_date", "bid", "ask"]
+    few, all_ = V.chain(spark, sf, liquid_only=True), V.chain(spark, sf)
+    assert few.count() < all_.count() and few.select(key).exceptAll(O.passes_unquoted(all_).select(key)).count() == 0 == O.passes_unquoted(all_).select(key).exceptAll(few.select(key)).count()
+
+
 def test_solved_greeks_equal_the_model_at_the_solved_volatility(frame):
     chain, context = chain_rows(frame)
     e = O.enrich_chain(chain, context).filter("iv_solved is not null").drop("delta", "gamma", "theta_per_day", "vega", "rho", "price")
