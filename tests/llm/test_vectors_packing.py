@@ -112,3 +112,19 @@ def test_worker_memory_is_bounded(monkeypatch):
     time.sleep(0.5)
     assert not encoder.pieces and not encoder.words
     assert packing.Encoder.of(packing.tokenizer_path()) is packing.Encoder.of(packing.tokenizer_path())
+
+
+def test_unknown_words_reach_the_tokenizer_together():
+    encoder, seen = packing.Encoder(packing.tokenizer_path()), []
+    whole, lean = Tokenizer.from_file(packing.tokenizer_path()), encoder.lean
+
+    class Counting:
+        def encode_batch_fast(self, texts, **options):
+            seen.append(len(texts))
+            return lean.encode_batch_fast(texts, **options)
+
+    encoder.lean = Counting()
+    texts = ["", " \t\r\n ", "one\ttwo\n\nthree", *[f"Number {i}, it's (w{i:x}) l\u00e9ger" for i in range(300)], "last\x0bline ", ""]
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert encoder.encode(texts) == want == encoder.encode(texts) and encoder.encode([""]) == [b""]
+    assert sum(seen) == 1

@@ -26,6 +26,7 @@ import sys
 import threading
 import types
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -37,18 +38,19 @@ from pyspark.sql import DataFrame, Window, functions as F
 from tidemark.session import materialize
 
 from .common import broadcast_if_small
-from .flat import by_bytes
+from .flat import BLANK, by_bytes, flat_words, ranges
 
 CAPACITY, END = 2048, 0
 TOKENIZER = "word_bpe_49k.json"
 #: Bytes, Python's overhead included, of the pieces of text and of the words that a task remembers.
 PIECE_BYTES, WORD_BYTES, ENTRY = 64_000_000, 32_000_000, 200
-BATCH_BYTES = 1_000_000
+BATCH_BYTES, WORDS_AT_ONCE = 3_000_000, 4_000
 #: How long a worker process without a tokenizing task remembers.
 IDLE_SECONDS = 2.0
 SHARD_ROWS, STRIPES = 200_000, 64
 
-BETWEEN = re.compile("[ \n\t\r]+").split
+#: Pieces stand between spaces, tabs and line ends.
+BLANKED = bytes(BLANK if c in b"\t\n\r" else c for c in range(256))
 #: Pieces made of these alone are cut here as the tokenizer cuts them: ASCII marks and digits, Latin letters.
 PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
 UNITS = re.compile(r"[a-zß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^a-zß-öø-ÿ0-9]+").findall
@@ -68,7 +70,7 @@ class Encoder:
 
         self.whole = Tokenizer.from_file(path)
         self.lean = Tokenizer(self.whole.model)
-        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.lean.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.lock, self.tasks, self.timer = threading.Lock(), 0, None
         self.forget()
 
@@ -76,7 +78,7 @@ class Encoder:
         """Drops what was learned from texts, unless a task is at work."""
         with self.lock:
             if not self.tasks:
-                self.pieces: dict[str, bytes] = {}
+                self.pieces: dict[bytes, bytes] = {}
                 self.words: dict[str, bytes] = {}
                 self.room = {"pieces": PIECE_BYTES, "words": WORD_BYTES}
 
@@ -104,9 +106,18 @@ class Encoder:
 
     @staticmethod
     def _new(tokenizer, texts: list[str]) -> Iterator[bytes]:
-        return (np.array(e.ids, "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
-
-    def _learn(self, kind: str, fresh: dict[str, bytes]) -> dict[str, bytes]:
+        return (np.asarray(array("I", e.ids), "<u4").tobytes() for e in tokenizer.encode_batch_fast(texts, add_special_tokens=False))
+
+    def _words(self, units: list[str]) -> Iterator[bytes]:
+        """Ids of units without white space: many go as the lines of one text, and the id of a line end parts them."""
+        for at in range(0, len(units), WORDS_AT_ONCE):
+            some = units[at : at + WORDS_AT_ONCE]
+            (e,) = self.lean.encode_batch_fast(["\n".join(some) + "\n"], add_special_tokens=False)
+            ids = np.asarray(array("I", e.ids), "<u4")
+            ends, raw = np.flatnonzero(ids == ids[-1]).tolist(), ids.tobytes()
+            yield from (raw[4 * i : 4 * j] for i, j in zip([0, *[j + 1 for j in ends[:-1]]], ends))
+
+    def _learn(self, kind: str, fresh: dict) -> dict:
         """What is known of a kind with what fits of ``fresh``, and a lookup for this call that holds the rest."""
         known = getattr(self, kind)
         for k, v in fresh.items():
@@ -117,20 +128,37 @@ class Encoder:
         return known
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [BETWEEN(t) for t in texts]
-        missing = {p for own in cut for p in own if p not in self.pieces}
+        flat, ends = self.tokens(texts)
+        raw = memoryview(flat.tobytes())
+        return [bytes(raw[4 * i : 4 * j]) for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+
+    def tokens(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids end to end, and where each text's end. Pieces are told apart by Arrow; each distinct one is looked up once."""
+        own = [t.encode() for t in texts]
+        raw = b" ".join(own).translate(BLANKED)
+        coded = flat_words(raw).dictionary_encode()
+        distinct, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy()
         plain, odd = {}, []
-        for p in missing:
-            if PLAIN(p) and "<|" not in p:
-                plain[p] = UNITS(p.lower())
-            else:
-                odd.append(p)
+        for p in distinct:
+            if p not in self.pieces:
+                text = p.decode()
+                if PLAIN(text) and "<|" not in text:
+                    plain[p] = UNITS(text.lower())
+                else:
+                    odd.append(p)
         unknown = list({u for units in plain.values() for u in units if u not in self.words})
-        words = self._learn("words", dict(zip(unknown, self._new(self.lean, unknown))))
+        words = self._learn("words", dict(zip(unknown, self._words(unknown))))
         fresh = {p: b"".join([words[u] for u in units]) for p, units in plain.items()}
-        fresh.update(zip(odd, self._new(self.whole, odd)))
+        fresh.update(zip(odd, self._new(self.whole, [p.decode() for p in odd])))
         pieces = self._learn("pieces", fresh)
-        return [b"".join([pieces[p] for p in own]) for own in cut]
+        ids = [pieces[p] for p in distinct]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts, lengths = (np.cumsum(sizes) - sizes)[codes], sizes[codes]
+        flat = np.frombuffer(b"".join(ids), "<u4")[ranges(starts, lengths)]
+        blank = np.frombuffer(raw, np.uint8) == BLANK
+        last = np.cumsum([len(t) + 1 for t in own]) - 1  # the blank after each text
+        begins = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        return flat, np.r_[0, np.cumsum(lengths)][np.searchsorted(begins, last)]
 
 
 class _Both(dict):
