@@ -6,6 +6,8 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,3 +153,19 @@ def test_masks_are_finished_early():
     scored = search.rank_block(best, np.arange(1000), present * 500_000, np.ones(70, np.int64))
     assert scored == search.EVALUATED and best.doc.tolist() == list(range(10))
     assert search.rank_block(best, np.arange(1000), present[:, 20:] * 100, np.ones(70, np.int64)) == 0
+
+
+def test_a_bucket_is_added_up_in_parts(monkeypatch):
+    monkeypatch.setattr(collocations, "ADDED_ROWS", 3)
+    rng = random.Random(3)
+    want, rows = Counter(), []
+    for _ in range(9):
+        tally = collocations.Tally(0)
+        tally.bits = 1
+        own = [("de" if rng.random() < 0.5 else "en", f"w{rng.randrange(6)}", rng.randrange(1, 5)) for _ in range(4)]
+        for lang, phrase, n in own:
+            want[lang, phrase] += n
+            list(tally.add(lang, pa.array([phrase]), 1, np.array([n]), np.array([0], np.uint64)))
+        rows += [p for b in tally.flush() for p in b.column("packed").to_pylist()]
+    got = collocations._added_up(pd.DataFrame({"packed": rows}), 5)
+    assert {(r.lang, r.phrase): r.f for r in got.itertuples()} == {k: n for k, n in want.items() if n >= 5}

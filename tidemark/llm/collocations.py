@@ -48,7 +48,9 @@ from .jaccard import mixed
 SUPPORT, LONGEST, INSIDE_PERCENT, MOST = 30, 4, 80, 2_000
 SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 1_500_000, 6_000_000, 2_000_000
 #: Words of the corpus per bucket of the exchanges of hashes and of the exact counts; phrases that a task adds up before it sends them.
-BUCKET_WORDS, EXACT_WORDS, TALLY = 4_000_000, 32_000_000, 80_000
+BUCKET_WORDS, EXACT_WORDS, TALLY = 4_000_000, 8_000_000, 80_000
+#: Rows of a bucket that wait before they are added up.
+ADDED_ROWS = 200_000
 BITS = 26
 PIECE_ENDS = b".,;:!?\n\x0b\x0c\r"
 FOLDED = byte_table(b"\t", PIECE_ENDS, b".")
@@ -243,15 +245,22 @@ class Tally:
 
 
 def _added_up(rows: pd.DataFrame, support: int) -> pd.DataFrame:
-    """One bucket: phrases that reach the support, word by word."""
-    tables = []
-    for packed in rows["packed"]:
+    """One bucket: phrases that reach the support, word by word. What is unpacked is added up before much more is."""
+    whole, tables, waiting = None, [], 0
+    for i, packed in enumerate(rows["packed"]):
         names, lang, raw, sizes, k, f = opened(packed)
         offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
         words = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
         tables.append(pa.table([pa.array(names, pa.string()).take(pa.array(lang)), words, pa.array(k.astype(np.int32)), pa.array(f)], names=["lang", "phrase", "k", "f"]))
-    whole = pa.concat_tables(tables).group_by(["lang", "phrase", "k"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
-    return whole.filter(pc.field("f") >= support).select(["lang", "phrase", "k", "f"]).to_pandas()
+        waiting += len(sizes)
+        if waiting > max(ADDED_ROWS, 0 if whole is None else whole.num_rows) or i + 1 == len(rows):
+            parts = [*([whole] if whole is not None else []), *tables]
+            whole = pa.concat_tables(parts).group_by(["lang", "phrase", "k"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(["lang", "phrase", "k", "f"])
+            tables, waiting = [], 0
+    found = whole.filter(pc.field("f") >= support).to_pandas()
+    del whole, tables
+    pa.default_memory_pool().release_unused()
+    return found
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
