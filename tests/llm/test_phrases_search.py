@@ -169,3 +169,69 @@ def test_a_bucket_is_added_up_in_parts(monkeypatch):
         rows += [p for b in tally.flush() for p in b.column("packed").to_pylist()]
     got = collocations._added_up(pd.DataFrame({"packed": rows}), 5)
     assert {(r.lang, r.phrase): r.f for r in got.itertuples()} == {k: n for k, n in want.items() if n >= 5}
+
+
+def test_repeated_shards_send_little_more(tagged, monkeypatch):
+    """A task adds up its shards before it names or counts anything: eight times the text in one task is far less than eight times the bytes."""
+    sent, spread = [], collocations.spread
+
+    def noted(df, *keys):
+        sent[-1] += df.agg(F.sum(F.length("packed"))).first()[0] or 0
+        return spread(df, *keys)
+
+    monkeypatch.setattr(collocations, "spread", noted)
+    rng = random.Random(8)
+    rows = [("en", some_text(rng, 200, 300)) for _ in range(40)]
+    for times in (1, 8):
+        sent.append(0)
+        assert collocations.frequent_phrases(tagged(rows * times).coalesce(1), support=3 * times, shard_bytes=5_000)[0].count() > 20
+    assert sent[1] < 2 * sent[0]
+
+
+@pytest.mark.parametrize("support", [1, 30, 300, 100_000])
+def test_names_add_up_to_the_support(support):
+    """Tasks that send early and late, counts far beyond a byte, first and last hashes of a bucket."""
+    rng = np.random.default_rng(support)
+    bits, fine, want, rows = 3, 27, Counter(), defaultdict(list)
+    ends = np.array([0, (1 << 64) - 1, 1 << 61, (1 << 61) - 1], np.uint64)
+    for _ in range(4):
+        names = collocations.Names(bits, fine, support, most=60)
+        for _ in range(5):
+            hashes = np.unique(np.r_[ends, rng.integers(0, 1 << 64, 5, np.uint64), (rng.integers(0, 40, 30).astype(np.uint64) << np.uint64(58))])
+            counts = rng.integers(1, max(2, support // 6), len(hashes))
+            for h, n in zip(hashes.tolist(), counts.tolist()):
+                want[h >> (64 - fine)] += n
+            for batch in [*names.add(hashes, counts), *names.flush()]:
+                for r in batch.to_pylist():
+                    rows[r["bucket"]].append(r["packed"])
+    got = [h for k, packed in rows.items() for h in collocations._reached(pd.DataFrame({"bucket": k, "packed": packed}), bits, fine, support)["h"]]
+    assert sorted((h % (1 << 64)) >> (64 - fine) for h in got) == sorted(k for k, n in want.items() if n >= support)
+
+
+def test_phrases_as_numbers_keep_their_words(monkeypatch):
+    """Tasks number their words each for itself and anew; counts, languages and words come back."""
+    monkeypatch.setattr(collocations, "NUMBERED", 12)
+    monkeypatch.setattr(collocations, "ADDED_ROWS", 20)
+    rng, bits = random.Random(5), 2
+    want, rows = Counter(), defaultdict(list)
+    words = [f"w{i}" for i in range(12)] + ["über", "中", "a\u00a0b", "|", "\x1f"]
+    for _ in range(6):
+        tally = collocations.Tally(bits, most=15)
+        for _ in range(6):
+            out = list(tally.restart())
+            lang, n, k = rng.choice(["de", "en", "x y"]), rng.randrange(1, 12), rng.randrange(1, 5)
+            phrases = [" ".join(rng.choice(words) for _ in range(k)) for _ in range(n)]
+            counts = [rng.choice((1, 2, 300, 70_000)) for _ in range(n)]
+            hashes = np.array([int.from_bytes((p * 4).encode()[:3], "big") * 0x9E3779B97F4A7C15 % (1 << 64) for p in phrases], np.uint64)
+            for p, f in zip(phrases, counts):
+                want[lang, p, k] += f
+            out += list(tally.add(lang, pa.array(phrases), k, np.array(counts), hashes))
+            for batch in [*out, *(tally.flush() if rng.random() < 0.3 else [])]:
+                for r in batch.to_pylist():
+                    rows[r["bucket"]].append(r["packed"])
+        for batch in tally.flush():
+            for r in batch.to_pylist():
+                rows[r["bucket"]].append(r["packed"])
+    found = pd.concat([collocations._added_up(pd.DataFrame({"packed": p}), 4) for p in rows.values()])
+    assert {(r.lang, r.phrase, r.k): r.f for r in found.itertuples()} == {k: n for k, n in want.items() if n >= 4}
+    assert len(found) == sum(n >= 4 for n in want.values()) and len(rows) > 1

@@ -1,26 +1,19 @@
-"""Phrase collocations by SON partitioning.
+"""Phrase collocations by candidates from added-up hashes, then exact counts.
 
 Texts are stored as shards: about a quarter of a million words of one language, coded by
-the shard's own vocabulary. Each shard is mined completely at a local support
-lowered in proportion to its share of the language's words; what is frequent in
-some shard is a candidate; a last pass counts all candidates exactly, word by
-word, and scores come from these counts.
-
-A phrase of support s in all is, in some shard, at least as frequent as the
-shard's share of s. The union keeps more than that: a shard that does not name a
-phrase holds at most its local support less one, so a candidate needs the sum of
-its reported counts, each less that much, to reach s less the sum over all
-shards. Mining goes from words to pairs to longer phrases, and a longer phrase
-is mined only where its parts are candidates.
+the shard's own vocabulary. Shards name their words, then pairs of frequent words, then
+longer phrases whose pairs are candidates: each by some bits of its hash, with its count. Counts
+that share these bits are added up; where they reach the support, the phrases are
+candidates. So no frequent phrase is missed, whatever shares its bits. A last pass
+counts all candidates exactly, word by word, and scores come from these counts.
 
 At scale. Frequent words and candidates come back to the shards as bitmaps of
 ``BITS`` bits (8 MB) at every size of input; where two hashes share a bit, a
-phrase too many is counted, never one too few. A shard names each distinct phrase
-once, however often it holds it, in one packed row a bucket of hashes, so a
-phrase in a third of all texts costs some bytes a shard; the last pass adds up a
-task's shards before it sends them. With an absolute support and many shards the
-local support falls to one: then every pair of frequent words is named, and the
-longer phrases whose pairs are candidates. The last ranking takes the first
+phrase too many is counted, never one too few. A task adds up its shards before it
+names anything: a phrase in a third of all texts costs some bytes a task. Hashes are named by
+one bit more than the corpus has words to the power of two, sorted, as differences, so
+that a name takes about two bytes and grows by one bit as the input doubles. The last
+pass adds up phrases as numbers of words and sends them with these words. The last ranking takes the first
 ``most`` per (language, slice) before it takes those of a language.
 
 Defined results: null text has no words; null lang is ``und``; other columns,
@@ -48,7 +41,9 @@ from .jaccard import mixed
 SUPPORT, LONGEST, INSIDE_PERCENT, MOST = 30, 4, 80, 2_000
 SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 1_500_000, 6_000_000, 2_000_000
 #: Words of the corpus per bucket of the exchanges of hashes and of the exact counts; phrases that a task adds up before it sends them.
-BUCKET_WORDS, EXACT_WORDS, TALLY = 4_000_000, 8_000_000, 80_000
+BUCKET_WORDS, EXACT_WORDS, TALLY = 4_000_000, 8_000_000, 600_000
+#: Names that a task adds up before it sends them; words that it has numbers for before it starts anew.
+NAMED_ROWS, NUMBERED = 1_500_000, 500_000
 #: Rows of a bucket that wait before they are added up.
 ADDED_ROWS = 200_000
 BITS = 26
@@ -157,172 +152,241 @@ class Mined:
         self.alive, self.name = alive, name
 
 
-def _each_shard(table: DataFrame, words_bitmap: np.ndarray, mine, schema: str, *columns: str) -> DataFrame:
-    """``mine(row, Mined)`` for every shard; it yields record batches."""
+NAMED = "bucket int, packed binary"
+PACKED = {"bucket": pa.int32(), "packed": pa.binary()}
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                (codes,) = opened(batch.column("codes")[i].as_py())
-                hashes = batch.column("h")[i].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                if len(codes) > 1:
-                    yield from mine({c: batch.column(c)[i] for c in columns}, Mined(codes, hashes, flagged(words_bitmap, hashes)))
-
-    return table.select("h", "codes", *columns).mapInArrow(run, schema)
-
-
-NAMED = "bucket int, need long, packed binary"
-KEY_BYTES = 4
 
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(PACKED.values())], names=list(PACKED))
 
-def _packed_rows(rows: list[tuple], kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds.values())], names=list(kinds))
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """As many bytes of each value as the largest one needs, plane by plane."""
+    return low_planes(values, max(1, (int(values.max()).bit_length() + 7) // 8))
 
-def _named(hashes: np.ndarray, counts: np.ndarray, local: int, need: int, bits: int) -> pa.RecordBatch:
-    """What a shard reports, a row per bucket of hashes: each with its count beyond what a silent shard may hold, and what the sum must reach."""
-    own = counts >= local
-    order = np.argsort(hashes[own])
-    hashes, gain = hashes[own][order], counts[own][order] - (local - 1)
-    gain = gain.astype(np.uint8 if len(gain) and gain.max() < 256 else np.int64)
-    keys = (hashes >> np.uint64(32 - bits)) & np.uint64(0xFFFFFFFF)
-    rows = [(k, need, squeezed(low_planes(keys[i:j], KEY_BYTES), gain[i:j])) for k, i, j in places((hashes >> np.uint64(64 - bits)).astype(np.int64))]
-    return _packed_rows(rows, {"bucket": pa.int32(), "need": pa.int64(), "packed": pa.binary()})
 
+class Names:
+    """The highest ``fine`` bits of hashes with counts up to the support, which share a 64-bit number."""
 
-def _union(named: DataFrame, bits: int) -> DataFrame:
-    """(h): what may be frequent in all, by the highest bits of its hash; two phrases that share them are both kept."""
+    def __init__(self, bits: int, fine: int, support: int, most: int = NAMED_ROWS):
+        self.bits, self.fine, self.support, self.most = bits, fine, np.uint64(support), most
+        self.low = np.uint64(support.bit_length())
+        self.held, self.rows = [], 0
 
-    def reached(rows: pd.DataFrame) -> pd.DataFrame:
-        unpacked = [opened(p) for p in rows["packed"]]
-        keys = np.concatenate([from_planes(u[0]) for u in unpacked])
-        gain = np.concatenate([u[1] for u in unpacked]).astype(np.int64)
-        need = np.repeat(rows["need"].to_numpy(), [len(u[1]) for u in unpacked])
-        order = np.argsort(keys, kind="stable")
-        keys = keys[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        kept = keys[first][np.add.reduceat(gain[order], first) >= np.minimum.reduceat(need[order], first)]
-        return pd.DataFrame({"h": ((np.uint64(rows["bucket"].iloc[0]) << np.uint64(64 - bits)) | (kept << np.uint64(32 - bits))).view(np.int64)})
+    def put(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        self.held.append(keys << self.low | np.minimum(counts.astype(np.uint64), self.support))
+        self.rows += len(keys)
 
-    return spread(named, "bucket").groupBy("bucket").applyInPandas(reached, "h long")
+    def add(self, hashes: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.put(hashes >> np.uint64(64 - self.fine), counts)
+        if self.rows > 1.5 * self.most:
+            self.combine()
+            if self.rows > self.most:
+                yield from self.flush()
 
+    def combine(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts), sorted; counts stop at the support."""
+        both = np.concatenate(self.held) if self.held else np.empty(0, np.uint64)
+        both.sort()
+        keys = both >> self.low
+        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.empty(0, np.int64)
+        both &= (np.uint64(1) << self.low) - np.uint64(1)
+        keys, counts = keys[first], np.minimum(np.add.reduceat(both, first), self.support) if len(first) else both
+        self.held, self.rows = [keys << self.low | counts], len(keys)
+        return keys, counts
 
-class Tally:
+    def flush(self) -> Iterator[pa.RecordBatch]:
+        keys, counts = self.combine()
+        self.held, self.rows = [], 0
+        inside = self.fine - self.bits
+        rows = []
+        for k, i, j in places((keys >> np.uint64(inside)).astype(np.int64)):
+            rows.append((k, squeezed(_planes(np.diff(keys[i:j], prepend=np.uint64(k << inside))), _planes(counts[i:j]))))
+        if rows:
+            yield _packed_rows(rows)
+
+
+def _reached(rows: pd.DataFrame, bits: int, fine: int, support: int) -> pd.DataFrame:
+    """One bucket: hashes whose counts add up to the support, by their highest bits; two phrases that share them are both kept."""
+    whole, base = Names(bits, fine, support), np.uint64(int(rows["bucket"].iloc[0]) << (fine - bits))
+    for packed in rows["packed"]:
+        steps, counts = opened(packed)
+        whole.put(base + np.cumsum(from_planes(steps), dtype=np.uint64), from_planes(counts))
+        if whole.rows > 2 * whole.most:
+            whole.combine()
+            whole.most = max(whole.most, whole.rows)
+    keys, counts = whole.combine()
+    return pd.DataFrame({"h": (keys[counts >= whole.support] << np.uint64(64 - fine)).view(np.int64)})
+
+
+class Phrases:
+    """Counted phrases as numbers of words, from 1 in the order of their coming; 0 is no word."""
+
+    def __init__(self, longest: int):
+        self.words: dict[str, int] = {}
+        self.langs: dict[str, int] = {}
+        self.places = [f"w{j}" for j in range(longest)]
+        self.held: list[pa.Table] = []
+        self.rows = 0
+
+    @staticmethod
+    def numbers(known: dict[str, int], names: list[str]) -> np.ndarray:
+        return np.array([known.setdefault(name, len(known) + 1) for name in names], np.int32)
+
+    def put(self, bucket: np.ndarray, lang: np.ndarray, words: list[np.ndarray], f: np.ndarray) -> None:
+        none = np.zeros(len(f), np.int32)
+        columns = [bucket.astype(np.int32), lang.astype(np.int32), *words, *[none] * (len(self.places) - len(words)), f.astype(np.int64)]
+        self.held.append(pa.table([pa.array(c) for c in columns], names=["bucket", "lang", *self.places, "f"]))
+        self.rows += len(f)
+
+    def combine(self) -> pa.Table:
+        keys = ["bucket", "lang", *self.places]
+        whole = pa.concat_tables(self.held).group_by(keys).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select([*keys, "f"])
+        self.held, self.rows = [whole], whole.num_rows
+        return whole
+
+
+class Tally(Phrases):
     """Exact counts of a task's phrases, added up across its shards and put out packed per bucket."""
 
-    def __init__(self, bits: int, most: int = TALLY):
-        self.bits, self.most, self.held, self.rows = bits, most, [], 0
+    def __init__(self, bits: int, most: int = TALLY, longest: int = LONGEST):
+        super().__init__(longest)
+        self.bits, self.most = bits, most
 
     def add(self, lang: str, phrases: pa.Array, length: int, counts: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n = len(counts)
-        columns = [pa.array([lang] * n, pa.string()).dictionary_encode().cast(pa.string()), phrases, pa.array(np.full(n, length, np.int32)), pa.array(counts.astype(np.int64)), pa.array((hashes >> np.uint64(64 - self.bits)).astype(np.int32))]
-        self.held.append(pa.table(columns, names=["lang", "phrase", "k", "f", "bucket"]))
-        self.rows += n
+        numbers = self.numbers(self.words, [w for p in phrases.to_pylist() for w in p.split(" ")]).reshape(-1, length)
+        yield from self.add_numbers(lang, list(numbers.T), counts, hashes)
+
+    def add_numbers(self, lang: str, words: list[np.ndarray], counts: np.ndarray, hashes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        own = np.full(len(counts), self.numbers(self.langs, [lang])[0])
+        self.put(hashes >> np.uint64(64 - self.bits) if self.bits else np.zeros(len(counts)), own, words, counts)
         if self.rows > 1.5 * self.most:
             self.combine()
             if self.rows > self.most:
                 yield from self.flush()
 
-    def combine(self) -> None:
-        whole = pa.concat_tables(self.held).group_by(["lang", "phrase", "k", "bucket"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"})
-        self.held, self.rows = [whole.select(["lang", "phrase", "k", "f", "bucket"])], whole.num_rows
+    def restart(self) -> Iterator[pa.RecordBatch]:
+        """Between shards: numbers are given anew once there are many."""
+        if len(self.words) > NUMBERED:
+            yield from self.flush()
+            self.words.clear()
 
     def flush(self) -> Iterator[pa.RecordBatch]:
         if not self.held:
             return
-        self.combine()
-        (whole,), self.held, self.rows = self.held, [], 0
-        whole = whole.sort_by([("bucket", "ascending"), ("lang", "ascending"), ("phrase", "ascending")])
+        order = ["bucket", self.places[0], "lang", *self.places[1:]]
+        whole = self.combine().sort_by([(c, "ascending") for c in order])
+        self.held, self.rows = [], 0
+        columns = {c: whole.column(c).to_numpy() for c in whole.column_names}
+        spelled, langs = np.array(list(self.words), object), np.array(list(self.langs), object)
         rows = []
-        for k, i, j in places(whole.column("bucket").to_numpy().astype(np.int64)):
-            own = whole.slice(i, j - i).combine_chunks()
-            words = own.column("phrase").cast(pa.binary()).combine_chunks()
-            sizes = pc.binary_length(words).to_numpy().astype(np.int32)
-            langs = own.column("lang").combine_chunks().dictionary_encode()
-            rows.append((k, squeezed(langs.dictionary.to_pylist(), langs.indices.to_numpy().astype(np.int32), b"".join(words.to_pylist()), sizes, own.column("k").to_numpy().astype(np.int8), own.column("f").to_numpy())))
-        yield _packed_rows(rows, {"bucket": pa.int32(), "packed": pa.binary()})
+        for k, i, j in places(columns["bucket"].astype(np.int64)):
+            words, lang = [columns[c][i:j] for c in self.places], columns["lang"][i:j]
+            used, called = np.unique(np.concatenate([[0], *words]))[1:], np.unique(lang)
+            words = [np.searchsorted(used, w, "right") for w in words]
+            words[0] = np.diff(words[0], prepend=0)
+            rows.append((k, squeezed(langs[called - 1].tolist(), " ".join(spelled[used - 1]).encode(), _planes(np.searchsorted(called, lang)), [_planes(w) for w in words], _planes(columns["f"][i:j]))))
+        yield _packed_rows(rows)
         pa.default_memory_pool().release_unused()
 
 
-def _added_up(rows: pd.DataFrame, support: int) -> pd.DataFrame:
+def _added_up(rows: pd.DataFrame, support: int, longest: int = LONGEST) -> pd.DataFrame:
     """One bucket: phrases that reach the support, word by word. What is unpacked is added up before much more is."""
-    whole, tables, waiting = None, [], 0
-    for i, packed in enumerate(rows["packed"]):
-        names, lang, raw, sizes, k, f = opened(packed)
-        offsets = np.r_[0, np.cumsum(sizes)].astype(np.int32)
-        words = pa.Array.from_buffers(pa.string(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(raw)])
-        tables.append(pa.table([pa.array(names, pa.string()).take(pa.array(lang)), words, pa.array(k.astype(np.int32)), pa.array(f)], names=["lang", "phrase", "k", "f"]))
-        waiting += len(sizes)
-        if waiting > max(ADDED_ROWS, 0 if whole is None else whole.num_rows) or i + 1 == len(rows):
-            parts = [*([whole] if whole is not None else []), *tables]
-            whole = pa.concat_tables(parts).group_by(["lang", "phrase", "k"]).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select(["lang", "phrase", "k", "f"])
-            tables, waiting = [], 0
-    found = whole.filter(pc.field("f") >= support).to_pandas()
-    del whole, tables
+    whole, most = Phrases(longest), ADDED_ROWS
+    for packed in rows["packed"]:
+        langs, spelled, lang, words, f = opened(packed)
+        langs = whole.numbers(whole.langs, langs)
+        known = np.r_[0, whole.numbers(whole.words, spelled.decode().split(" "))].astype(np.int32)
+        words, lang, f = [from_planes(w).astype(np.int64) for w in words], from_planes(lang).astype(np.int64), from_planes(f)
+        words[0] = np.cumsum(words[0])
+        whole.put(np.zeros(len(f)), langs[lang], [known[w] for w in words], f)
+        if whole.rows > 2 * most:
+            most = max(ADDED_ROWS, whole.combine().num_rows)
+    found = whole.combine().filter(pc.field("f") >= support)
+    words, langs = pa.array(list(whole.words), pa.string()), pa.array(list(whole.langs), pa.string())
+    out = []
+    for k in range(1, longest + 1):
+        own = found.filter((pc.field(whole.places[k - 1]) > 0) & (pc.field(whole.places[k]) == 0 if k < longest else True))
+        parts = [words.take(pc.subtract(own.column(c).combine_chunks(), 1)) for c in whole.places[:k]]
+        out.append(pd.DataFrame({"lang": langs.take(pc.subtract(own.column("lang").combine_chunks(), 1)).to_pandas(), "phrase": (pc.binary_join_element_wise(*parts, " ") if k > 1 else parts[0]).to_pandas(), "k": k, "f": own.column("f").to_numpy()}))
+    del whole, found
     pa.default_memory_pool().release_unused()
-    return found
+    return pd.concat(out, ignore_index=True)
 
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f): words and phrases of at least ``support``; (lang, n): all words)."""
     stored = materialize(shards(docs, shard_bytes), "collocation-shards")
-    sizes = stored.groupBy("lang").agg(F.sum("n").alias("total"))
-    local = F.ceil(F.lit(support).cast("decimal(10,0)") * F.col("n").cast("decimal(19,0)") / F.col("total").cast("decimal(19,0)")).cast("long")
-    shared = stored.select("lang", "n").join(broadcast_if_small(sizes), "lang").groupBy("lang").agg(F.first("total").alias("total"), (F.lit(support) - F.sum(local - 1)).alias("need"))
-    totals = materialize(shared, "collocation-totals")
+    totals = materialize(stored.groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
     stored = stored.withColumn("h", F.transform("vocabulary", lambda w: F.xxhash64("lang", w)))  # cheaper than its storage
-    table = stored.join(broadcast_if_small(totals), "lang").withColumn("local", local)
-    all_words = totals.agg(F.sum("total")).first()[0] or 0
+    all_words = totals.agg(F.sum("n")).first()[0] or 0
     bits, exact_bits = (min(24, max(3, int(np.ceil(np.log2(max(1.0, all_words / size)))))) for size in (BUCKET_WORDS, EXACT_WORDS))
+    fine = min(64 - support.bit_length(), max(BITS, all_words.bit_length() + 1))
 
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for h, counts, least, need in zip(*(batch.column(c) for c in ("h", "counts", "local", "need"))):
-                yield _named(h.values.to_numpy(zero_copy_only=False).view(np.uint64), counts.values.to_numpy(zero_copy_only=False), least.as_py(), need.as_py(), bits)
+    def reached(of_shard, *columns: str) -> np.ndarray:
+        """Bitmap of what ``of_shard`` names, as (hashes, counts), at least ``support`` times in all."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names = Names(bits, fine, support)
+            for batch in batches:
+                for row in zip(*(batch.column(c) for c in columns)):
+                    for hashes, counts in of_shard(*row):
+                        yield from names.add(hashes, counts)
+            yield from names.flush()
+
+        named = spread(stored.select(*columns).mapInArrow(run, NAMED), "bucket")
+        return bitmap_of(named.groupBy("bucket").applyInPandas(lambda rows: _reached(rows, bits, fine, support), "h long"))
+
+    def hashes_of(h: pa.ListScalar) -> np.ndarray:
+        return h.values.to_numpy(zero_copy_only=False).view(np.uint64)
+
+    def mined(h: pa.ListScalar, codes: pa.BinaryScalar) -> Mined:
+        hashes = hashes_of(h)
+        return Mined(opened(codes.as_py())[0], hashes, flagged(words_bitmap, hashes))
 
-    words_bitmap = bitmap_of(_union(table.select("h", "counts", "local", "need").mapInArrow(single, NAMED), bits))
+    words_bitmap = reached(lambda h, counts: [(hashes_of(h), counts.values.to_numpy(zero_copy_only=False))], "h", "counts")
 
-    def pairs(row: dict, own: Mined) -> Iterator[pa.RecordBatch]:
-        _, counts, hashes = own.lengthen()
-        yield _named(hashes, counts, row["local"].as_py(), row["need"].as_py(), bits)
+    def pairs(h: pa.ListScalar, codes: pa.BinaryScalar) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        _, counts, hashes = mined(h, codes).lengthen()
+        yield hashes, counts
 
-    pair_bits = bitmap_of(_union(_each_shard(table, words_bitmap, pairs, NAMED, "local", "need"), bits))
+    pair_bits = reached(pairs, "h", "codes")
 
-    def longer(row: dict, own: Mined) -> Iterator[pa.RecordBatch]:
-        _, counts, hashes = own.lengthen()
-        own.keep(flagged(pair_bits, hashes) & (counts >= row["local"].as_py()))
+    def longer(h: pa.ListScalar, codes: pa.BinaryScalar) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        own = mined(h, codes)
+        own.keep(flagged(pair_bits, own.lengthen()[2]))
         for _ in range(longest - 2):
             _, counts, hashes = own.lengthen()
-            own.keep(counts >= row["local"].as_py())
-            yield _named(hashes, counts, row["local"].as_py(), row["need"].as_py(), bits)
+            own.keep(np.ones(len(counts), bool))
+            yield hashes, counts
 
     candidates = pair_bits
     if longest > 2:
-        candidates = candidates | bitmap_of(_union(_each_shard(table, words_bitmap, longer, NAMED, "local", "need"), bits))
+        candidates = candidates | reached(longer, "h", "codes")
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = Tally(exact_bits)
+        tally = Tally(exact_bits, longest=longest)
         for batch in batches:
-            for lang, vocabulary, uses, h, packed in zip(*(batch.column(c) for c in ("lang", "vocabulary", "counts", "h", "codes"))):
-                lang, vocabulary, (codes,) = lang.as_py(), vocabulary.values, opened(packed.as_py())
-                hashes = h.values.to_numpy(zero_copy_only=False).view(np.uint64)
-                frequent = flagged(words_bitmap, hashes)
-                at = np.flatnonzero(frequent)
-                yield from tally.add(lang, vocabulary.take(pa.array(at)), 1, uses.values.to_numpy(zero_copy_only=False)[at], hashes[at])
-                own = Mined(codes, hashes, frequent)
+            for lang, vocabulary, uses, h, codes in zip(*(batch.column(c) for c in ("lang", "vocabulary", "counts", "h", "codes"))):
+                yield from tally.restart()
+                lang, vocabulary, hashes, own = lang.as_py(), vocabulary.values, hashes_of(h), mined(h, codes)
+                at = np.flatnonzero(flagged(words_bitmap, hashes))
+                words = vocabulary.take(pa.array(at))
+                yield from tally.add(lang, words, 1, uses.values.to_numpy(zero_copy_only=False)[at], hashes[at])
+                numbers = np.zeros(len(hashes), np.int32)
+                numbers[at] = tally.numbers(tally.words, words.to_pylist())
                 for _ in range(longest - 1):
                     first, counts, names = own.lengthen()
                     chosen = flagged(candidates, names)
                     own.keep(chosen)
                     first = first[chosen]
                     if len(first):
-                        parts = [vocabulary.take(pa.array(own.codes[first + j])) for j in range(own.length)]
-                        yield from tally.add(lang, pc.binary_join_element_wise(*parts, " "), own.length, counts[chosen], names[chosen])
+                        yield from tally.add_numbers(lang, [numbers[own.codes[first + j]] for j in range(own.length)], counts[chosen], names[chosen])
         yield from tally.flush()
 
-    found = stored.select("lang", "vocabulary", "counts", "h", "codes").mapInArrow(exact, "bucket int, packed binary")
-    both = spread(found, "bucket").groupBy("bucket").applyInPandas(lambda rows: _added_up(rows, support), "lang string, phrase string, k int, f long")
-    return materialize(both, "collocation-phrases"), totals.select("lang", F.col("total").alias("n"))
+    found = spread(stored.select("lang", "vocabulary", "counts", "h", "codes").mapInArrow(exact, NAMED), "bucket")
+    both = found.groupBy("bucket").applyInPandas(lambda rows: _added_up(rows, support, longest), "lang string, phrase string, k int, f long")
+    return materialize(both, "collocation-phrases"), totals
 
 
 def collocations(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, inside_percent: int = INSIDE_PERCENT, most: int = MOST, shard_bytes: int = SHARD_BYTES) -> DataFrame:
