@@ -10,10 +10,10 @@ counts all candidates exactly, word by word, and scores come from these counts.
 At scale. Frequent words and candidates come back to the shards as bitmaps of
 ``BITS`` bits (8 MB) at every size of input; where two hashes share a bit, a
 phrase too many is counted, never one too few. A task adds up its shards before it
-names anything: a phrase in a third of all texts costs some bytes a task. Hashes are named by
-one bit more than the corpus has words to the power of two, sorted, as differences, so
-that a name takes about two bytes and grows by one bit as the input doubles. The last
-pass adds up phrases as numbers of words and sends them with these words. The last ranking takes the first
+names anything: a phrase in a third of all texts costs some bytes a task. Of a hash as many
+bits are named as keep one or two words of the corpus on a value for a support of 30, far from
+the support; sorted, as differences, a name takes about two bytes and one bit more as the
+input doubles. The last pass adds up phrases as numbers of words and sends them with these words. The last ranking takes the first
 ``most`` per (language, slice) before it takes those of a language.
 
 Defined results: null text has no words; null lang is ``und``; other columns,
@@ -55,7 +55,7 @@ SHARD_ROW = "lang string, n long, vocabulary array<string>, counts array<long>,
 
 
 def _shard_row(lang: str, raw: bytes) -> pa.RecordBatch | None:
-    """One shard: its words in order as codes, -1 where a piece ends."""
+    """One shard: its words in order as codes, from 1 by falling frequency, 0 where a piece ends."""
     coded = flat_words(raw).dictionary_encode()
     codes, vocabulary = coded.indices.to_numpy().astype(np.int32), coded.dictionary
     end = pc.index(vocabulary, b".").as_py()
@@ -65,8 +65,12 @@ def _shard_row(lang: str, raw: bytes) -> pa.RecordBatch | None:
     if not len(vocabulary):
         return None
     counts = np.bincount(codes[codes >= 0], minlength=len(vocabulary))
+    order = np.argsort(-counts, kind="stable")
+    place = np.empty(len(order) + 1, np.int64)
+    place[order], place[-1] = np.arange(1, len(order) + 1), 0
+    vocabulary, counts, codes = vocabulary.take(pa.array(order)), counts[order], place[codes]
     spelled = pa.ListArray.from_arrays(pa.array([0, len(vocabulary)], pa.int32()), vocabulary.cast(pa.string()))
-    row = [pa.array([lang]), pa.array([int(counts.sum())]), spelled, pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([squeezed(codes)], pa.binary())]
+    row = [pa.array([lang]), pa.array([int(counts.sum())]), spelled, pa.array([counts.tolist()], pa.list_(pa.int64())), pa.array([squeezed(_planes(codes))], pa.binary())]
     return pa.RecordBatch.from_arrays(row, names=["lang", "n", "vocabulary", "counts", "codes"])
 
 
@@ -126,7 +130,7 @@ class Mined:
     """Phrases of one shard, length by length."""
 
     def __init__(self, codes: np.ndarray, word_hashes: np.ndarray, frequent: np.ndarray):
-        self.codes, self.hashes, self.size = codes.astype(np.int64), word_hashes, len(word_hashes)
+        self.codes, self.hashes, self.size = codes, word_hashes, len(word_hashes)
         good = np.r_[frequent, False][codes]
         self.length = 1
         self.alive, self.name = good, self.codes
@@ -241,7 +245,7 @@ class Phrases:
 
     def combine(self) -> pa.Table:
         keys = ["bucket", "lang", *self.places]
-        whole = pa.concat_tables(self.held).group_by(keys).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select([*keys, "f"])
+        whole = pa.concat_tables(self.held).group_by(keys, use_threads=False).aggregate([("f", "sum")]).rename_columns({"f_sum": "f"}).select([*keys, "f"])
         self.held, self.rows = [whole], whole.num_rows
         return whole
 
@@ -316,12 +320,12 @@ def _added_up(rows: pd.DataFrame, support: int, longest: int = LONGEST) -> pd.Da
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f): words and phrases of at least ``support``; (lang, n): all words)."""
-    stored = materialize(shards(docs, shard_bytes), "collocation-shards")
+    stored = materialize(shards(docs, shard_bytes), "collocation-shards", compression="zstd")
     totals = materialize(stored.groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
     stored = stored.withColumn("h", F.transform("vocabulary", lambda w: F.xxhash64("lang", w)))  # cheaper than its storage
     all_words = totals.agg(F.sum("n")).first()[0] or 0
     bits, exact_bits = (min(24, max(3, int(np.ceil(np.log2(max(1.0, all_words / size)))))) for size in (BUCKET_WORDS, EXACT_WORDS))
-    fine = min(64 - support.bit_length(), max(BITS, all_words.bit_length() + 1))
+    fine = min(64 - support.bit_length(), max(BITS, (16 * all_words // max(1, support)).bit_length()))
 
     def reached(of_shard, *columns: str) -> np.ndarray:
         """Bitmap of what ``of_shard`` names, as (hashes, counts), at least ``support`` times in all."""
@@ -342,7 +346,8 @@ def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LON
 
     def mined(h: pa.ListScalar, codes: pa.BinaryScalar) -> Mined:
         hashes = hashes_of(h)
-        return Mined(opened(codes.as_py())[0], hashes, flagged(words_bitmap, hashes))
+        (packed,) = opened(codes.as_py())
+        return Mined(from_planes(packed).astype(np.int64) - 1, hashes, flagged(words_bitmap, hashes))
 
     words_bitmap = reached(lambda h, counts: [(hashes_of(h), counts.values.to_numpy(zero_copy_only=False))], "h", "counts")
 
