@@ -2,19 +2,20 @@
 
 Texts are stored as shards: about a quarter of a million words of one language, coded by
 the shard's own vocabulary. Shards name their words, then pairs of frequent words, then
-longer phrases whose pairs are candidates: each by some bits of its hash, with its count. Counts
-that share these bits are added up; where they reach the support, the phrases are
-candidates. So no frequent phrase is missed, whatever shares its bits. A last pass
-counts all candidates exactly, word by word, and scores come from these counts.
+longer phrases whose pairs are candidates: each by some bits of its hash, with its
+count. Counts that share these bits are added up; where they reach the support, the
+phrases are candidates. So no frequent phrase is missed, whatever shares its bits. A
+last pass counts all candidates exactly, word by word, and scores come from these counts.
 
 At scale. Frequent words and candidates come back to the shards as bitmaps of
 ``BITS`` bits (8 MB) at every size of input; where two hashes share a bit, a
 phrase too many is counted, never one too few. A task adds up its shards before it
-names anything: a phrase in a third of all texts costs some bytes a task. Of a hash as many
-bits are named as keep one or two words of the corpus on a value for a support of 30, far from
-the support; sorted, as differences, a name takes about two bytes and one bit more as the
-input doubles. The last pass adds up phrases as numbers of words and sends them with these words. The last ranking takes the first
-``most`` per (language, slice) before it takes those of a language.
+names anything: a phrase in a third of all texts costs some bytes a task. A hash is
+named by so many bits that one or two words of the corpus share a value at a support
+of 30, far below it; sorted, as differences, a name takes about two bytes, and one bit
+more as the input doubles. The last pass adds up phrases as numbers of words and sends
+them with these words. The last ranking takes the first ``most`` per (language, slice)
+before it takes those of a language.
 
 Defined results: null text has no words; null lang is ``und``; other columns,
 null ids and repeated rows make no difference to counting (every row counts);
