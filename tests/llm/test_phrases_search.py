@@ -184,7 +184,7 @@ def test_repeated_shards_send_little_more(tagged, monkeypatch):
     rows = [("en", some_text(rng, 200, 300)) for _ in range(40)]
     for times in (1, 8):
         sent.append(0)
-        assert collocations.frequent_phrases(tagged(rows * times).coalesce(1), support=3 * times, shard_bytes=5_000)[0].count() > 20
+        assert collocations.frequent_phrases(tagged(rows * times).coalesce(1), support=3 * times, shard_bytes=20_000)[0].count() > 20
     assert sent[1] < 2 * sent[0]
 
 

@@ -41,6 +41,8 @@ from .jaccard import mixed
 
 SUPPORT, LONGEST, INSIDE_PERCENT, MOST = 30, 4, 80, 2_000
 SHARD_BYTES, BUFFER_BYTES, BATCH_BYTES = 1_500_000, 6_000_000, 2_000_000
+#: Shards of a file: Spark reads thousands of rows of one at once.
+FILE_SHARDS = 32
 #: Words of the corpus per bucket of the exchanges of hashes and of the exact counts; phrases that a task adds up before it sends them.
 BUCKET_WORDS, EXACT_WORDS, TALLY = 4_000_000, 8_000_000, 600_000
 #: Names that a task adds up before it sends them; words that it has numbers for before it starts anew.
@@ -321,7 +323,7 @@ def _added_up(rows: pd.DataFrame, support: int, longest: int = LONGEST) -> pd.Da
 
 def frequent_phrases(docs: DataFrame, support: int = SUPPORT, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES) -> tuple[DataFrame, DataFrame]:
     """((lang, phrase, k, f): words and phrases of at least ``support``; (lang, n): all words)."""
-    stored = materialize(shards(docs, shard_bytes), "collocation-shards", compression="zstd")
+    stored = materialize(shards(docs, shard_bytes), "collocation-shards", compression="zstd", maxRecordsPerFile=FILE_SHARDS)
     totals = materialize(stored.groupBy("lang").agg(F.sum("n").alias("n")), "collocation-totals")
     stored = stored.withColumn("h", F.transform("vocabulary", lambda w: F.xxhash64("lang", w)))  # cheaper than its storage
     all_words = totals.agg(F.sum("n")).first()[0] or 0
