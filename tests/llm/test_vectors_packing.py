@@ -45,6 +45,35 @@ def test_a_block_prunes_without_loss():
     assert got == want
 
 
+def test_block_pairs_stay_in_tasks_of_their_own(spark, monkeypatch):
+    rng, seen, first = random.Random(15), [], topk._first
+    table = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(300)], "vec_id long, embedding array<float>")
+    monkeypatch.setattr(topk, "_first", lambda found, k: (seen.append(found.rdd.getNumPartitions()), first(found, k))[1])
+    topk.top_products(table)
+    assert seen == [int(spark.conf.get("spark.sql.shuffle.partitions"))] * 2
+
+
+def test_products_past_doubles_keep_their_last_digits(spark):
+    rng = random.Random(16)
+    rows = [(i, [2.0**22 + rng.randrange(3), rng.randrange(300) / 256]) for i in range(400)]
+    got = {tuple(r) for r in topk.top_products(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()}
+    assert got == _top(rows)
+
+
+def test_a_block_stays_fast_where_nothing_is_pruned():
+    rng = np.random.default_rng(17)
+    v = rng.normal(size=(20_000, 64))
+    v = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    v[5000:9000] = v[5000]  # copies: ties go to the smaller id
+    own, ids = np.arange(20_000), np.arange(0, 20_000, 20)
+    start = time.process_time()
+    got = set(topk.best_of_block(ids, v[ids], np.full(1000, -np.inf), own, v, None, 5))
+    assert time.process_time() - start < 10
+    for q in ids[::50].tolist() + [5000, 5020]:
+        scored = sorted((-int(s), i) for i, s in enumerate(v @ v[q]) if i != q)[:5]
+        assert {r for r in got if r[0] == q} == {(q, i, -s) for s, i in scored}
+
+
 def _check(docs, frame, capacity=packing.CAPACITY):
     whole = Tokenizer.from_file(packing.tokenizer_path())
     rows = packing.packed(frame, capacity=capacity).collect()
