@@ -201,6 +201,32 @@ def test_ranking_modes(frame):
     assert ranked(frame, rows[::-1], "delta") == ["exact", "cheap", "far"]
 
 
+def test_audit_shows_the_first_five_of_both_modes(frame):
+    rows = [dict(contract_symbol=f"c{i}", delta=0.35 + i / 100, round_trip_cost_1x=30.0 - i, strike=100.0 + i) for i in range(7)]
+    rows.append(dict(contract_symbol="put", kind="PUT", delta=-0.4, open_interest=700))
+    df = frame([tuple({**ROW, **r}.values()) for r in rows], DDL)
+    a = O.selection_audit(df, ["kind"], 0.35).collect()
+    assert sorted(map(repr, a)) == sorted(map(repr, O.selection_audit(df, ["kind"], 0.35, busy_rows=2).collect()))
+    listed = lambda kind, mode: [r.contract_symbol for r in sorted((r for r in a if (r.kind, r.mode) == (kind, mode)), key=lambda r: r.rank)]
+    assert listed("CALL", "delta") == ["c0", "c1", "c2", "c3", "c4"] and listed("CALL", "cost_aware") == ["c6", "c5", "c4", "c3", "c2"]
+    assert listed("PUT", "delta") == listed("PUT", "cost_aware") == ["put"] and len(a) == 12
+    call = next(r for r in a if (r.kind, r.mode, r.rank) == ("CALL", "cost_aware", 2))
+    assert (call.eligible_count, call.alternatives_truncated, call.baseline_contract, call.baseline_strike, call.cost_aware_contract, call.cost_aware_strike) == (7, True, "c0", 100.0, "c6", 106.0)
+    assert call.cost_aware_expiration.isoformat() == "2024-03-15" and call.strike == 105.0 and call.inside_delta_tolerance and call.dte_distance == 0
+    assert abs(call.delta_gap - 0.05) < 1e-12 and abs(call.round_trip_cost_pct_premium - 25 / 2.1 / 100) < 1e-12 and abs(call.signed_theta_pct_premium_per_day + 0.02 / 2.1) < 1e-12
+    put = next(r for r in a if r.kind == "PUT")
+    assert (put.eligible_count, put.alternatives_truncated, put.open_interest, put.gamma, put.vega, put.iv_solved) == (1, False, 700, 0.02, 0.1, 0.3)
+
+
+def test_registered_audit_has_the_alternatives(spark):
+    from __spark_entry__ import queries
+
+    a = queries()["selection_audit"](spark, "/root/testdata/sf0.001")
+    assert {"mode", "rank", "contract_symbol", "expiration", "strike", "delta_gap", "eligible_count", "baseline_contract", "cost_aware_contract"} <= set(a.columns)
+    shown = a.groupBy("ticker", "snapshot_date", "kind", "mode").agg(F.count("*").alias("n"), F.max("rank").alias("last"), F.min("eligible_count").alias("all"))
+    assert shown.filter("n != last OR n != least(all, 5)").isEmpty()
+
+
 def pick(frame, **change):
     base = dict(decision_date="2024-01-02", variant="v", ticker="A", action="PAPER_LONG_CALL", direction="BULLISH", kind="CALL", expiration="2024-02-16", strike=100.0, iv_solved=0.3, entry_fill=4.0, underlying_close=100.0, selection_policy="delta", contract_version="0.5.0")
     return frame([tuple({**base, **change}.values())], "decision_date date, variant string, ticker string, action string, direction string, kind string, expiration date, strike double, iv_solved double, entry_fill double, underlying_close double, selection_policy string, contract_version string")
